@@ -112,9 +112,9 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int = MAX_BITS) -> tup
         a.append(fps[near])
         b.append(fps[near + k])
     for s, n in zip(starts[sizes > SHIFTED], sizes[sizes > SHIFTED]):
-        if links := np.array(forest(np.unique(fps[s : s + n]), bits), np.uint64).reshape(-1, 2):
-            a.append(links[:, 0])
-            b.append(links[:, 1])
+        links = np.array(forest(np.unique(fps[s : s + n]), bits), np.uint64).reshape(-1, 2)
+        a.append(links[:, 0])
+        b.append(links[:, 1])
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
