@@ -2,7 +2,8 @@
 
 The 64 bits are cut into three segments of 22, 21 and 21 bits, each padded with zeros to a vector of the Golay code. If two fingerprints differ in at most 4 bits, sort the segments' errors: the least is 0 or 1, and
   either one segment is equal and another differs in at most 2 bits: key (equal segment, index of the other's codeword or a neighbour's), six orders of two segments,
-  or two segments differ in exactly 1 bit: key (index, index), three pairs. One bit turns the parity of a segment, so of each pair one side brings the nearest codeword's index and the other those of its neighbourhood; both have the same exclusive or of the two parities, which is part of the key.
+  or two segments differ in exactly 1 bit: key (first segment, index of the second), three pairs. One bit turns the parity of a segment. So the side that is even in the first brings that segment as it is and the indices of the second's neighbourhood; the odd side brings the first with each of its bits turned and the second's one index.
+Each key has 34 bits, so chance meetings stay rare among billions of fingerprints.
 So two linked fingerprints share a key for certain; each pair in a bucket is verified by its Hamming distance.
 
 Only distinct fingerprints take part. A bucket yields a spanning forest of its links, never all pairs. A bucket of more than BLOCK fingerprints is dealt into blocks; each pair of blocks is a bucket of its own, so that no task gets a whole large bucket, and no pair is lost.
@@ -56,7 +57,6 @@ def fingerprint_udf(text: pd.Series) -> pd.Series:
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of all keys of each 64-bit fingerprint; keys of different kinds never meet."""
     part = [(fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    odd = [np.bitwise_count(p).astype(np.int64) & 1 for p in part]
     one = [golay.index(p).astype(np.int64) for p in part]
     several = [golay.near(p) for p in part]
     rows, keys, kind = [], [], 0
@@ -68,16 +68,15 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 keys.append(kind << 56 | part[i][r] << 12 | c)
                 kind += 1
     for i, j in ((0, 1), (0, 2), (1, 2)):
-        turned = odd[i] ^ odd[j]
-        # The side that is even in i brings one index of i and j's neighbourhood; the side that is odd in i the reverse.
+        odd = np.bitwise_count(part[i]) & 1 == 1
         r, c = several[j]
-        pick = odd[i][r] == 0
-        rows.append(r[pick])
-        keys.append(kind << 56 | turned[r[pick]] << 24 | one[i][r[pick]] << 12 | c[pick])
-        r, c = several[i]
-        pick = odd[i][r] == 1
-        rows.append(r[pick])
-        keys.append(kind << 56 | turned[r[pick]] << 24 | c[pick] << 12 | one[j][r[pick]])
+        even = ~odd[r]
+        rows.append(r[even])
+        keys.append(kind << 56 | part[i][r[even]] << 12 | c[even])
+        r = np.repeat(np.flatnonzero(odd), SEGMENTS[i][1])
+        turned = part[i][r] ^ np.tile(1 << np.arange(SEGMENTS[i][1]), int(odd.sum()))
+        rows.append(r)
+        keys.append(kind << 56 | turned << 12 | one[j][r])
         kind += 1
     return np.concatenate(rows), np.concatenate(keys)
 
