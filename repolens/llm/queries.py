@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .bpe import encode_documents
 from .exact_dedup import exact_duplicates
+from .langid import identify_languages
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 from .warc import archive_pages
 
 
@@ -27,6 +29,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_hyperdimensional_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +48,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_hyperdimensional_language_id": op4_hyperdimensional_language_id,
+    "op5_gru_toxicity": op5_gru_toxicity,
     "op7_bpe_speculate_verify": op7_bpe_speculate_verify,
     "op9_exact_dedup": op9_exact_dedup,
 }
