@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from . import golay
-from .common import Scratch, small_batches
+from .common import Scratch, prepare
 from .components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -150,7 +150,7 @@ def link_table(fps: DataFrame, tmp: Scratch, block: int = BLOCK) -> DataFrame:
     """Links (u, v) of distinct fingerprints (column fp, long), enough to join each component."""
     keyed = tmp.save(fps.select("fp").mapInArrow(_with_keys, "key long, fp long"), "keyed")
     sizes = tmp.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    member = tmp.save(keyed.join(sizes, "key"), "member")
+    member = tmp.save(keyed.join(sizes.hint("merge"), "key"), "member")  # the same plan at every size
     tmp.drop("keyed", "sizes")
     blocks = F.ceil(F.col("n") / block)
     own = F.pmod(F.xxhash64("fp"), blocks)
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts count as empty; texts without words have the fingerprint 0 and link like others. Null ids never become a component_id unless all ids of the component are null. Rows that repeat an id are returned as often as they occur. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     with Scratch(spark, "simhash") as tmp:
         rows = tmp.save(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")), "rows", keep=True)
         fps = tmp.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps", keep=True)
