@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import prepare
 
 CACHE = 1_000_000
 #: Characters of texts that are encoded together, at least one text.
@@ -232,5 +232,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     Null texts count as empty: no ids, an empty decoded text. Nothing is shuffled; a row depends on its text alone, so repeated rows, null ids and ties need no rule. An empty table gives an empty result. Other columns are not read. path is read on each executor.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(id_col, bpe_udf(path, with_tokens)(F.col(text_col)).alias("b")).select(id_col, "b.*")

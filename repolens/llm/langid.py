@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import prepare
 
 DIMS = 512
 LETTERS = 64
@@ -112,7 +112,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Texts that are null or have no letter, and all texts if there is nothing to learn from, get und with score 0. Equal cosines go to the language that sorts first. Rows are scored one by one, so repeated rows get equal results; a null id is in the held-out fold. An empty table gives an empty result. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     prototypes = learn_prototypes(docs, text_col, lang_col, id_col, train_rows, dims, seed)
     names = list(prototypes)
     matrix = np.array([p / (np.linalg.norm(p) or 1) for p in prototypes.values()], np.float32).reshape(-1, dims)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .bpe import encode_documents
+from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages
 from .simhash import near_duplicates
@@ -45,6 +46,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_gru_toxicity": op5_gru_toxicity,
     "op7_bpe_speculate_verify": op7_bpe_speculate_verify,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_latent_decontamination": op10_latent_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from .common import small_batches
+from .common import prepare
 from .langid import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -331,7 +331,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_toxicity(docs: DataFrame, net: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 of each whole text; null texts and texts without letters have 0, as has everything if there was nothing to learn from. Texts are scored a few million characters at a time."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     made: list[Scorer] = []
 
     @pandas_udf(DoubleType())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, prepare
 
 RECORDS_PER_FILE = 2000
 END = "\r\n\r\n"
@@ -155,6 +155,7 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     A null html is an empty payload, and takes part like any other. A null url is empty; white space in urls becomes %20. Among equal payloads null ids come last, and of rows that repeat the least id one is the response; others refer to its id. An empty table gives an empty result. Other columns are not read.
     """
     spark, id_type = pages.sparkSession, dict(pages.dtypes)[id_col]
+    prepare(spark)
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     with Scratch(spark, "warc") as tmp:
         source, target = f"{tmp.root}/capture", f"{tmp.root}/archive"
