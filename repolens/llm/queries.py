@@ -11,6 +11,9 @@ from .bpe import encode_documents
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
 from .langid import identify_languages
+from .licenses import oracle as licence_sql
+from .licenses import scan_licences
+from .pii import find_personal_data
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 from .warc import archive_pages
@@ -22,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -38,6 +45,10 @@ def op5_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_boosted_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,16 +62,19 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_sentences": op1_licence_sentences,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_hyperdimensional_language_id": op4_hyperdimensional_language_id,
     "op5_gru_toxicity": op5_gru_toxicity,
+    "op6_boosted_personal_data": op6_boosted_personal_data,
     "op7_bpe_speculate_verify": op7_bpe_speculate_verify,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_latent_decontamination": op10_latent_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_licence_sentences": licence_sql(),
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
