@@ -10,6 +10,7 @@ from .common import table
 from .bpe import encode_documents
 from .decontaminate import find_contamination
 from .exact_dedup import exact_duplicates
+from .htmltext import extract_text
 from .langid import identify_languages
 from .licenses import oracle as licence_sql
 from .licenses import scan_licences
@@ -53,6 +54,10 @@ def op7_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_tree_model_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_gru_toxicity": op5_gru_toxicity,
     "op6_boosted_personal_data": op6_boosted_personal_data,
     "op7_bpe_speculate_verify": op7_bpe_speculate_verify,
+    "op8_tree_model_html_text": op8_tree_model_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_latent_decontamination": op10_latent_decontamination,
 }
