@@ -24,7 +24,7 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
 DIM, HIDDEN, ATTENTION = 4, 8, 8
 #: Most labelled documents of each class, in expectation, that are learned from.
-TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 4500
+TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 3500
 #: Windows that run through the network at a time, and words whose projected inputs a worker keeps.
 TOGETHER, CACHE = 4096, 400_000
 
@@ -42,7 +42,7 @@ def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
     left = np.repeat(ends, ends - starts) - np.arange(len(codes))
     codes = np.concatenate([codes, np.zeros(5, np.uint32)])
-    grams = np.full((len(left), 3), GRAM_ROWS, np.int64)
+    grams = np.full((len(left), 3), GRAM_ROWS, np.int32)
     h = codes[: len(left)]
     for k in range(1, 5):
         h = h * np.uint32(0x01000193) ^ codes[k : len(left) + k]
@@ -99,6 +99,13 @@ class Network:
         hits = np.flatnonzero(lead == x[word, 2 * DIM])
         return x, count, grams[hits[np.searchsorted(word[hits], np.arange(len(row)))]]
 
+    def all_inputs(self, spelled: tuple[np.ndarray, np.ndarray, np.ndarray], step: int = 40_000) -> np.ndarray:
+        """Input vectors of many words, some at a time."""
+        row, starts, grams = spelled
+        ends = np.append(starts, len(grams))
+        cut = [(row[k : k + step], starts[k : k + step] - starts[k], grams[starts[k] : ends[min(k + step, len(row))]]) for k in range(0, len(row), step)]
+        return np.concatenate([self.inputs(c)[0] for c in cut]) if cut else np.zeros((0, 2 * DIM + 1), np.float32)
+
     def project(self, x: np.ndarray) -> np.ndarray:
         """Both directions' gate inputs of each word, and a row of zeros at the end for the padding."""
         p = np.einsum("nd,kdh->knh", x, self.w) + self.b[:, None]
@@ -209,7 +216,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
     if len(set(labels)) < 2:
         return None
     net, number = Network.fresh(rng), {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     keep = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in keep], y[keep]
     if len(set(y.tolist())) < 2:
@@ -235,7 +242,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
     epochs = max(epochs, -(-steps * batch // (2 * len(docs))))
 
     def top() -> tuple[np.ndarray, np.ndarray]:
-        logits = net.logits(net.project(net.inputs(spelled)[0]), windows)
+        logits = net.logits(net.project(net.all_inputs(spelled)), windows)
         best = np.maximum.reduceat(logits, first)
         order = np.lexsort((-logits, of))
         return order[first], best
@@ -243,7 +250,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
     for epoch in range(epochs):
         chosen, _ = top()
         if epoch == 0:  # before the network tells windows apart, the largest log-odds do
-            x = net.inputs(spelled)[0]
+            x = net.all_inputs(spelled)
             strength = np.append(np.maximum(x[:, 0], x[:, 2 * DIM]), -9)[windows].max(1)
             chosen = np.lexsort((-strength, of))[first]
         other = first + (rng.random(len(docs)) * np.diff(np.append(first, len(of)))).astype(np.int64)
@@ -307,7 +314,7 @@ class Scorer:
             if new >= self.p.shape[1]:
                 self.p = np.concatenate([self.p[:, :old], np.zeros((2, new + 1, 3 * HIDDEN), np.float32)], axis=1)
             self.p[:, old:new] = self.net.project(self.net.inputs(spell(fresh))[0])[:, :-1]
-        docs = [windows_of(np.fromiter(map(number.__getitem__, words), np.int64, len(words))) for words in cut if words]
+        docs = [windows_of(np.fromiter(map(number.__getitem__, words), np.int32, len(words))) for words in cut if words]
         out = np.zeros(len(texts))
         if docs:
             windows = np.concatenate(docs)
