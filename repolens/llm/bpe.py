@@ -1,12 +1,13 @@
 """BPE encoding by speculation and verification, for tokenizer files with word ends (</w>).
 
-A text is normalised and cut into words as its file says. A new word is first proposed by greedy longest match. A sequence of tokens is what merging gives if each token is (alone, its own merging) and each adjacent pair is (merging the two tokens' text gives the two tokens): merges never cross a boundary that none of its two sides would cross. The pairs of all new words of a batch are tested at once against sorted arrays of known pairs; a pair not seen before is merged once. Only words with a failing token or pair are merged exactly as a whole. Encoded words are kept, CACHE at most.
+A text is normalised and cut into words as its file says. A new word is first proposed by greedy longest match. A sequence of tokens is what merging gives if each token is (alone, its own merging) and each adjacent pair is (merging the two tokens' text gives the two tokens): merges never cross a boundary that none of its two sides would cross. The pairs of all new words of a batch are tested at once against sorted arrays of known pairs; a pair not seen before is merged once. Only words with a failing token or pair are merged exactly as a whole. Encoded words are kept, about CACHE at most, as are verified pairs, PAIRS at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import prepare
+from .common import held, prepare
 
-CACHE = 1_000_000
+CACHE = 400_000
+PAIRS = 2_000_000
 #: Characters of texts that are encoded together, at least one text.
 TOGETHER = 2_000_000
 END = "</w>"
@@ -55,7 +57,8 @@ class WordBpe:
             raise ValueError(f"{path} isn't a BPE with word ends and without a decoder")
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token = [names.get(i, "") for i in range(max(names) + 1)]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         at = self.vocab
         #: A pair of ids, as one number: its rank, and the id that it merges to.
@@ -63,7 +66,7 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.longest = max(map(len, self.vocab)) + len(END)
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.sound: dict[int, bool] = {}
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.merged = 0
@@ -124,6 +127,8 @@ class WordBpe:
         """Whether each pair of adjacent tokens stays as it is when merged together."""
         codes = left.astype(np.int64) << 32 | right
         unique, back = np.unique(codes, return_inverse=True)
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         at = np.minimum(np.searchsorted(self.pairs, unique), max(0, len(self.pairs) - 1))
         known = self.pairs[at] == unique if len(self.pairs) else np.zeros(len(unique), bool)
         fresh = unique[~known]
@@ -154,7 +159,7 @@ class WordBpe:
             if wrong:
                 self.merged += 1
                 p = self.merge(self.units(w))
-            self.cache[w] = (len(p), np.array(p, "<u4").tobytes(), " ".join(self.token[i] for i in p))
+            self.cache[w] = struct.pack(f"<{len(p)}I", *p)
 
     def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text):
@@ -190,24 +195,20 @@ class WordBpe:
             parts = []
             for piece, words in pieces:
                 if words is None:
-                    i = self.special[piece]
-                    parts.append((1, np.array([i], "<u4").tobytes(), piece))
+                    parts.append(struct.pack("<I", self.special[piece]))
                 else:
                     parts += [cache[w] for w in words]
-            out.append((sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), " ".join([p[2] for p in parts if p[0]])))
+            ids = b"".join(parts)
+            out.append((len(ids) // 4, ids, self.decode(ids)))
         return out
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.token[i] for i in np.frombuffer(ids, "<u4").tolist())
-
-
-_loaded: dict[str, WordBpe] = {}
+        token = self.token
+        return " ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def load(path: str) -> WordBpe:
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    return held(("bpe", path), lambda: WordBpe(path))
 
 
 def bpe_udf(path: str, with_tokens: bool = False):

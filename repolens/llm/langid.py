@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import prepare
+from .common import held, prepare
 
 DIMS = 512
 LETTERS = 64
@@ -76,9 +76,8 @@ class Bundler:
         return counts[there].astype(np.float32) @ self.bound[there] if len(codes) else np.zeros(self.bound.shape[1], np.float32)
 
 
-@cache
 def bundler(dims: int, seed: int) -> Bundler:
-    return Bundler(dims, seed)
+    return held(("langid", dims, seed), lambda: Bundler(dims, seed))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

@@ -6,6 +6,7 @@ A word's input is a hashed word embedding, the mean of its hashed character n-gr
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from .common import prepare
+from .common import held, prepare
 from .langid import held_out
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -26,7 +27,7 @@ DIM, HIDDEN, ATTENTION = 4, 8, 8
 #: Most labelled documents of each class, in expectation, that are learned from.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 3500
 #: Windows that run through the network at a time, and words whose projected inputs a worker keeps.
-TOGETHER, CACHE = 4096, 400_000
+TOGETHER, CACHE = 4096, 250_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -339,22 +340,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def with_toxicity(docs: DataFrame, net: Network | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 of each whole text; null texts and texts without letters have 0, as has everything if there was nothing to learn from. Texts are scored a few million characters at a time."""
     prepare(docs.sparkSession)
-    made: list[Scorer] = []
+    key = ("toxicity", uuid.uuid4().hex)
 
     @pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         if net is None:
             return pd.Series(np.zeros(len(texts)))
-        if not made:
-            made.append(Scorer(net))
+        scorer = held(key, lambda: Scorer(net))
         out, some, size = [], [], 0
         for t in texts:
             some.append(t)
             size += len(t or "")
             if size > 1_000_000:
-                out.append(made[0].scores(some))
+                out.append(scorer.scores(some))
                 some, size = [], 0
-        return pd.Series(np.concatenate([*out, made[0].scores(some)]))
+        return pd.Series(np.concatenate([*out, scorer.scores(some)]))
 
     return docs.withColumn(score_col, score(F.col(text_col)))
 
