@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import vocab as V
+from ..functions.jsonrepair import columns as J
 from ..operators import aggregates as A
 from ..operators import batching as B
 from ..operators import graphs as G
@@ -598,3 +599,39 @@ def labels_and_bullets(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     key = F.col("n_nationkey").cast("string")
     return n.select("n_nationkey", X.title_case(F.concat(F.lit("nationKey "), key)).alias("title"), X.summary_bullet(F.col("n_name"), F.lit(None).cast("string"), key).alias("bullet"), X.mermaid_label(F.concat(F.lit("["), "n_name", F.lit(']"'))).alias("label"))
+
+
+# JSON
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, false AS mutated FROM events")
+def json_fast_path(spark, sf_dir):
+    got = J.repaired(table(spark, sf_dir, "events").select("event_id", "props"), "props")
+    return got.select("event_id", F.get_json_object("repaired.json", "$.k").cast("long").alias("k"), F.col("repaired.mutated").alias("mutated"))
+
+
+#: How a text is broken, as a format of the text's number, and the number that repair finds again.
+BROKEN = ['{"k": %d,}', "```json\n{\"k\": %d}\n```", "Here it is: {'k': %d} I hope it helps", '{k: %d, "extra_text": "x"}', '{"k": %d /* c */, // d\n}', '{"k" %d', '{"k": %d]', '{“k”: %d', '{* "k": %d', '{"k": %d, "l": [1, 2}']
+
+
+@query(f"SELECT event_id, event_id % 1000 AS k, event_id % 10 <> 1 AS mutated FROM events WHERE event_id % {len(BROKEN)} <> 5")
+def json_repair(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where(F.col("event_id") % len(BROKEN) != 5).select("event_id")
+    texts = [F.replace(F.lit(b.replace("%d", "%%")), F.lit("%%"), (F.col("event_id") % 1000).cast("string")) for b in BROKEN]
+    broken = e.withColumn("t", F.get(F.array(*texts), (F.col("event_id") % len(BROKEN)).cast("int")))
+    got = J.repaired(broken, "t")
+    return got.select("event_id", F.get_json_object("repaired.json", "$.k").cast("long").alias("k"), F.coalesce("repaired.mutated", F.lit(False)).alias("mutated"))
+
+
+@query("SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS a, event_id % 100 + 0.5 AS b, CAST(event_id % 100 AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS d FROM events")
+def numeric_coercion(spark, sf_dir):
+    n = (F.col("event_id") % 100).cast("string")
+    texts = {"a": F.concat(F.lit(" "), n), "b": F.concat(F.lit("~"), n, F.lit(".5 items")), "c": F.concat(F.lit("about "), n, F.lit(" or more")), "d": F.lit("none")}
+    return table(spark, sf_dir, "events").select("event_id", *(J.number_column(c).alias(k) for k, c in texts.items()))
+
+
+@query("SELECT event_id, event_type || '|x' AS a, event_type || '|y' AS b, event_type || '|b|c' AS c, '' AS d, event_type || '|q' AS e FROM events")
+def string_to_array(spark, sf_dir):
+    k = F.col("event_type")
+    texts = {"a": F.concat(F.lit("- "), k, F.lit("\n* x")), "b": F.concat(F.lit("1. "), k, F.lit("\n2) y")), "c": F.concat(k, F.lit(", b; c")), "d": F.concat(k, F.lit(", as it is, was. It ended.")), "e": F.concat(F.lit("['"), k, F.lit("', 'q']"))}
+    return table(spark, sf_dir, "events").select("event_id", *(F.array_join(J.list_column(c), "|").alias(n) for n, c in texts.items()))
