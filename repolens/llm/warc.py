@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, prepare
 
 RECORDS_PER_FILE = 2000
+FILES_PER_TASK = 2
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:page:"
@@ -143,7 +144,10 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, tmp: Scr
     headers = tmp.save(read_headers(spark, source), "headers")
     resolved = resolve_revisits(headers, tmp, id_type, at_least)
     firsts = resolved.groupBy("path").agg(F.collect_list(F.struct("ord", "first_id", "first_uri", "first_date")).alias("firsts"))  # at most RECORDS_PER_FILE in a list
-    files = read_files(spark, source).join(firsts, "path").withColumn("date", F.lit(date))
+    # As many tasks as the number of files asks for, so that a task holds a few files at any size of the input.
+    files = read_files(spark, source)
+    tasks = -(-files.select("path").count() // FILES_PER_TASK)
+    files = files.repartition(max(1, tasks), "path").join(firsts.repartition(max(1, tasks), "path"), "path").withColumn("date", F.lit(date))
     write_archives(files.mapInArrow(_rewrite, "record binary"), target)
 
 
