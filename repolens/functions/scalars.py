@@ -36,7 +36,7 @@ def js_trim(c: Column) -> Column:
 
 def count_lines(c: Column) -> Column:
     """Line feeds, and one more if the text doesn't end in one; an empty text has no line."""
-    return F.when(c == "", F.lit(0)).otherwise(F.char_length(c) - F.char_length(F.translate(c, "\n", "")) + F.when(F.endswith(c, F.lit("\n")), 0).otherwise(1)).cast("long")
+    return F.when(c == "", F.lit(0)).otherwise(F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit(""))) + F.when(F.endswith(c, F.lit("\n")), 0).otherwise(1)).cast("long")
 
 
 def basename(path: Column) -> Column:
