@@ -82,7 +82,7 @@ def extract(text: str) -> tuple[str, list[str]]:
         if m.start() or end < len(text):
             # A structure that closes early in a text that begins with it is more likely damaged than complete.
             rest = text[end:].strip()
-            if not m.start() and re.match(r"[,}\]\"]", rest):
+            if not m.start() and (re.match(r"[,}\]\"]", rest) or rest[:1] not in ("{", "[") and rest.count("}") > rest.count("{")):
                 return text, []
             return text[m.start() : end], ["Extracted JSON from surrounding text"]
         return text, []

@@ -15,6 +15,8 @@ LITERALS = {"true": True, "false": False, "null": None, "True": True, "False": F
 ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 #: Marks that models use among themselves, and code fences.
 TOKEN = re.compile(r"<(?:\|?/?[\w:=]+\|?)>|\[/?(?:EOS|PAD|UNK|CLS|SEP|MASK|BOS|INST)\]|```\w*")
+#: A property, its quotes escaped, that ended up in the string before it.
+EMBEDDED = re.compile(r'\\"\s*,\s*(?:\\n\s*)*\\"[A-Za-z]\w*\\"\s*:')
 AHEAD = 400
 NEXT_KEY = re.compile(r"\s*[\"'“”]?[A-Za-z_$][\w$ .\-]{0,80}[\"'“”]\s*:")
 DEEPEST = 500
@@ -34,6 +36,8 @@ class Reader:
         self.open: list[str] = []
         #: A name that stands for a whole broken property.
         self.pending = ""
+        #: Whether the last value had lost its beginning.
+        self.lost = False
 
     def note(self, what: str) -> None:
         if what not in self.repairs:
@@ -69,7 +73,21 @@ class Reader:
 
     def document(self) -> object:
         self.space()
-        return self.value()
+        got = self.value()
+        while isinstance(got, dict) and self.goes_on():
+            self.note("Removed early closers")
+            before, more = self.at, self.object(opened=True)
+            got |= more
+            if self.at == before:
+                break
+        return got
+
+    def goes_on(self) -> bool:
+        """Whether the outermost object closed too early: properties follow, and more closers than openers."""
+        rest = self.text[self.at :]
+        if rest.count("}") <= rest.count("{") or rest.lstrip()[:1] in "{[":
+            return False
+        return bool(re.match(r"[\s,]*[^{}\[\]\"]{0,300}\"?[\w$]+\"\s*:", rest))
 
     def value(self) -> object:
         if len(self.open) > DEEPEST:
@@ -149,6 +167,7 @@ class Reader:
                     return self.value()
                 if follow in (",", "}", "]", "") or "\n" in self.text[end + 1 : end + 3]:
                     self.at = end + 1
+                    self.lost = True
                     self.note("Added missing opening quote")
                     return word
                 self.at = end  # stray word before a quoted value
@@ -212,6 +231,11 @@ class Reader:
 
     def escape(self, out: list[str]) -> None:
         c = self.peek(1)
+        if c == '"' and (m := EMBEDDED.match(self.text, self.at)):
+            end = re.compile(r'(?<!\\)"').search(self.text, m.end())
+            self.at = end.start() if end else self.n
+            self.note("Removed properties within a string")
+            return
         if c == "u" and re.fullmatch("[0-9a-fA-F]{4}", self.text[self.at + 2 : self.at + 6]):
             code = int(self.text[self.at + 2 : self.at + 6], 16)
             self.at += 6
@@ -306,6 +330,9 @@ class Reader:
             if self.skip_stray(in_array=True):
                 continue
             got = self.value()
+            if self.lost and isinstance(got, str):
+                got = self.mended(got, out)
+            self.lost = False
             if got is not MISSING:
                 out.append(got)
             if self.at == before:
@@ -315,6 +342,20 @@ class Reader:
         self.open.pop()
         return out
 
+    def mended(self, name: str, others: list) -> str:
+        """A dotted name without its opening quote whose first part is corrupt takes the beginning of a neighbour that has the rest of it."""
+        first, _, rest = name.partition(".")
+        parts = rest.split(".")
+        known = [x for x in others if isinstance(x, str) and "." in x]
+        if len(parts) < 2 or any(x.startswith(first + ".") for x in known):
+            return name
+        for x in reversed(known):
+            at = x.find(f".{parts[0]}.{parts[1]}.") if len(parts) > 2 else x.find(f".{parts[0]}.")
+            if at > 0:
+                self.note("Restored package prefix")
+                return f"{x[:at]}.{rest}"
+        return name
+
     def is_property(self) -> bool:
         """Whether a quoted text and a colon follow."""
         return bool(re.compile(r"\"[^\"\n\\]{1,120}\"\s*:(?!:)").match(self.text, self.at))
@@ -438,7 +479,7 @@ class Reader:
             self.at = m.end()
             self.note("Removed artifact text")
             return True
-        if not in_array and (m := re.compile(r"[A-Za-z]\w*(?:-\w+)+:[^\n\"{\[]*(?:\n(?=\s*[\"}])|$)").match(text, at)):
+        if not in_array and (m := re.compile(r"[A-Za-z]\w*(?:-\w+)+:[^\n\"{\[]*(?:\n\s*-[^\n]*)*(?:\n(?=\s*[\"}])|$)").match(text, at)):
             self.at = m.end()
             self.note("Removed stray text before property")
             return True

@@ -43,6 +43,8 @@ CASES = [
     ('{"a": 1}\nI hope this is {what you need', {"a": 1}),
     ('"{\\"a\\": 1}"', {"a": 1}),
     ('[{"a": 1} {"a": 2}]', [{"a": 1}, {"a": 2}]),
+    ('{"a": 1},\nstray "b": 2,\n"c": 3\n}', {"a": 1, "b": 2, "c": 3}),
+    ('{"r": ["com.acme.lib.util.A", libs.lib.util.B", "com.acme.lib.util.C"]}', {"r": ["com.acme.lib.util.A", "com.acme.lib.util.B", "com.acme.lib.util.C"]}),
     ('{"a": "caf\\u00e9 \\ud83d\\ude00",}', {"a": "café 😀"}),
 ]
 
