@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -53,6 +53,11 @@ def business_activities(summaries: DataFrame) -> DataFrame:
     return rows.select("projectName", "ppos", F.col("p.name").alias("process"), F.posexplode("p.keyBusinessActivities").alias("pos", "a")).select("projectName", "ppos", "process", "pos", "a.*")
 
 
+def guarded(data: Column, ddl: str) -> Column:
+    """Items of a category stored as JSON; what isn't such a list is an empty one."""
+    return F.coalesce(F.from_json(data, ddl), F.array().cast(ddl))
+
+
 def categories(summaries: DataFrame) -> DataFrame:
     """A row per category in fixed order, with its data as JSON; what is missing or no list is an empty one, and still there."""
     there = set(summaries.columns)

@@ -23,6 +23,7 @@ from ..operators import select as S
 from ..operators import windows as W
 from ..sources import ingest as I
 from ..sources import store
+from . import report as O
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -422,6 +423,57 @@ def flowcharts(spark, sf_dir):
     return G.mermaid(n, steps.select(F.col("process").alias("graph"), "pos", "source", "target", F.lit("solid").alias("kind")))
 
 
+
+def nation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project per region: its nations are services, components and activities."""
+    n = table(spark, sf_dir, "nation")
+    items = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    by = n.groupBy("n_regionkey").agg(items.alias("x"))
+    named = lambda x: F.struct(x["n_name"].alias("name"), x["n_nationkey"].cast("string").alias("description"))
+    service = lambda x: F.struct(x["n_name"].alias("name"), F.lit("s").alias("description"), F.array(F.struct(F.concat(x["n_name"], F.lit("E")).alias("name"), F.lit("e").alias("description"), F.when(x["n_nationkey"] % 2 == 0, F.array(F.lit("a"))).alias("attributes"))).alias("entities"))
+    activities = F.transform("x", lambda x: F.struct(x["n_name"].alias("activity"), F.lit("d").alias("description")))
+    architecture = F.struct(F.transform("x", named).alias("internalComponents"), F.transform("x", lambda x: F.struct(x["n_name"].alias("from"), F.when(x["n_nationkey"] % 3 > 0, F.lit("db")).alias("to"), F.lit("d").alias("description"))).alias("dependencies"))
+    return by.select(F.col("n_regionkey").cast("string").alias("projectName"), F.concat(F.lit("about "), F.col("n_regionkey").cast("string")).alias("appDescription"), F.lit("m").alias("llmModels"), F.transform("x", service).alias("potentialMicroservices"), F.array(F.struct(F.lit("main").alias("name"), activities.alias("keyBusinessActivities"))).alias("businessProcesses"), F.array(architecture).alias("inferredArchitecture"))
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS "projectName", CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, n_name AS name, n_name || 'E' AS entity, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS attributes FROM nation""")
+def microservices(spark, sf_dir):
+    m = N.microservices(nation_summaries(spark, sf_dir))
+    return m.select("projectName", "pos", "name", F.col("entities")[0]["name"].alias("entity"), F.size(F.col("entities")[0]["attributes"]).alias("attributes"))
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS "projectName", CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, 'main' AS process, n_name AS activity FROM nation""")
+def business_activities(spark, sf_dir):
+    return N.business_activities(nation_summaries(spark, sf_dir)).select("projectName", "pos", "process", "activity")
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS "projectName", n_name AS source, 'db' AS target FROM nation WHERE n_nationkey % 3 > 0""")
+def inferred_dependencies(spark, sf_dir):
+    return N.inferred_architecture(nation_summaries(spark, sf_dir), "dependencies").select("projectName", F.col("from").alias("source"), F.col("to").alias("target"))
+
+
+@query("""SELECT CAST(r_regionkey AS VARCHAR) AS "projectName", ord, category, label, empty FROM region, (VALUES (0, 'technologies', 'Technologies', true), (1, 'businessProcesses', 'Business Processes', false), (2, 'boundedContexts', 'Bounded Contexts', true), (3, 'potentialMicroservices', 'Potential Microservices', false), (4, 'inferredArchitecture', 'Inferred Architecture', false)) AS v(ord, category, label, empty)""")
+def category_rows(spark, sf_dir):
+    return N.categories(nation_summaries(spark, sf_dir)).select("projectName", "ord", "category", "label", (F.col("data") == "[]").alias("empty"))
+
+
+@query(f"""SELECT '1' AS "projectName", 'about 1' AS "appDescription", 'm' AS "llmModels", count(*) AS "fileCount", CAST(sum(lines) AS BIGINT) AS "linesOfCode" FROM ({DOC_FILES}) WHERE code AND project = 'src1'""")
+def overview(spark, sf_dir):
+    own = S.fields_of(nation_summaries(spark, sf_dir), "1", ["projectName", "appDescription", "llmModels"])
+    return O.overview(S.of_project(doc_files(spark, sf_dir), "src1"), own)["app-stats"]
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND user_id = 3")
+def interactive_filter(spark, sf_dir):
+    return O.filtered(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), {"event_type": "click", "user_id": 3}, [("event_id", True)]).select("event_id", "event_type")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS n FROM events")
+def guarded_categories(spark, sf_dir):
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('[{"name": "'), "event_type", F.lit('"}]'))).when(F.col("event_id") % 3 == 1, "broken")
+    return table(spark, sf_dir, "events").select("event_id", F.size(N.guarded(text, "array<struct<name:string,description:string>>")).alias("n"))
+
+
 # Retrieval
 
 
