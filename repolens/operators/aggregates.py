@@ -45,7 +45,8 @@ def code_smells(sources: DataFrame, project: str | None = None) -> DataFrame:
     rows = of_project(sources, project)
     of_functions = rows.select("filepath", F.explode("summary.publicFunctions.codeSmells").alias("s")).select("filepath", F.explode("s").alias("smellType"), F.lit(0).alias("level"))
     of_files = rows.select("filepath", F.explode("summary.codeQualityMetrics.fileSmells").alias("smellType"), F.lit(1).alias("level"))
-    pairs = of_functions.unionByName(of_files).groupBy("smellType", "filepath").agg(F.count_distinct("level").alias("levels"))
+    levels = F.max(F.when(F.col("level") == 0, 1).otherwise(0)) + F.max(F.col("level"))
+    pairs = of_functions.unionByName(of_files).groupBy("smellType", "filepath").agg(levels.alias("levels"))
     return pairs.groupBy("smellType").agg(F.sum("levels").alias("occurrences"), F.count(F.lit(1)).alias("affectedFiles")).orderBy(F.desc("occurrences"), "smellType")
 
 
