@@ -79,3 +79,30 @@ def list_column(c: Column) -> Column:
         F.when((F.size(lines) >= 2) & (mean(lines) < 60), lines),
         none,
     )
+
+
+#: Least lengths for matches by beginning or end, by middle, and by edit distance; the largest distance.
+SHORTEST_END, SHORTEST_MIDDLE, SHORTEST_FUZZY, FARTHEST = 2, 4, 4, 2
+
+
+def nearest_name(fragment: Column, known: list[str]) -> Column:
+    """The known property that a fragment stands for: equal, else the shortest that it begins, else that it ends, else equal or begun without separators, else the shortest that holds it, else the nearest by edit distance. Case doesn't count; null if none fits."""
+    if not known:
+        return F.lit(None).cast("string")
+    f, plain = F.lower(fragment), F.regexp_replace(F.lower(fragment), "[^a-z0-9]", "")
+    n = F.char_length(fragment)
+    ranked, place = [], lambda tier, a, b: F.struct(F.lit(tier).alias("tier"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+    for name in known:
+        low, bare = F.lit(name.lower()), F.lit("".join(c for c in name.lower() if c.isalnum()))
+        size, middle, distance, zero = F.lit(len(name)), F.position(f, low), F.levenshtein(f, low), F.lit(0)
+        rank = (
+            F.when(f == low, place(0, zero, zero))
+            .when((n >= SHORTEST_END) & F.startswith(low, f), place(1, size, zero))
+            .when((n >= SHORTEST_END) & F.endswith(low, f), place(2, size, zero))
+            .when((n >= SHORTEST_END) & (plain == bare), place(3, zero, zero))
+            .when((n >= SHORTEST_END) & (plain != "") & F.startswith(bare, plain), place(4, size, zero))
+            .when((n >= SHORTEST_MIDDLE) & (middle > 1), place(5, size, middle))
+            .when((n >= SHORTEST_FUZZY) & (distance <= F.least(F.lit(FARTHEST), F.greatest(F.lit(1), F.floor(n / 3)))), place(6, distance, zero))
+        )
+        ranked.append(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), F.lit(name).alias("name"))))
+    return F.when(n > 0, F.array_min(F.array_compact(F.array(*ranked)))["name"])

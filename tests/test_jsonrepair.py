@@ -137,3 +137,10 @@ def test_columns(spark):
     kind = schema(spark, "a int, b array<string>")
     data = {r["i"]: (r["parsed"], r["parsed_error"]) for r in columns.parsed(rows, "t", kind).collect()}
     assert data[2][0]["a"] == 2 and data[2][1] is None and data[4][0] is None
+
+
+@pytest.mark.parametrize("fragment,name", [("NAME", "name"), ("pur", "purpose"), ("ame", "name"), ("user_id", "userId"), ("user_i", "userId"), ("Refere", "internalReferences"), ("pupose", "purpose"), ("x", None), ("zzzzzz", None), ("", None)])
+def test_nearest_name(spark, fragment, name):
+    known = ["name", "nameOfLongerKind", "purpose", "userId", "internalReferences", "externalReferencesList"]
+    assert spark.range(1).select(columns.nearest_name(F.lit(fragment), known).alias("x")).first()["x"] == name
+    assert spark.range(1).select(columns.nearest_name(F.lit("a"), []).alias("x")).first()["x"] is None
