@@ -17,7 +17,7 @@ from .licenses import scan_licences
 from .pii import find_personal_data
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
-from .warc import archive_pages
+from .warc import BASE32, archive_pages
 
 
 def tokenizer_path() -> str:
@@ -79,7 +79,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_latent_decontamination": op10_latent_decontamination,
 }
 
+#: Base32 of a hexadecimal SHA-1 h: five digits make four letters.
+BASE32_SQL = " || ".join(f"substr('{BASE32}', CAST(((CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT) >> {15 - 5 * k}) & 31) + 1 AS INTEGER), 1)" for i in range(8) for k in range(4))
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_revisits": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, regexp_replace(coalesce(url, ''), '[\\x00-\\x20\\x7f]+', '%20', 'g') AS url FROM pages),
+        f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url FROM p JOIN f USING (h)
+    """,
     "op1_licence_sentences": licence_sql(),
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
