@@ -65,14 +65,23 @@ class WordBpe:
         self.rank = {at[a] << 20 | at[b]: (k, at[a + b]) for k, (a, b) in enumerate(pairs) if a + b in at}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.longest = max(map(len, self.vocab)) + len(END)
+        #: Length of the longest inner token that begins with three letters.
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            if len(t) > 2 and not t.endswith(END):
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         self.library = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.sound: dict[int, bool] = {}
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.merged = 0
 
+    @staticmethod
+    def letters(word: str) -> str:
+        return word if word.isascii() and word.isalnum() else "".join([LETTERS[b] for b in word.encode("utf-8", "surrogatepass")])
+
     def units(self, word: str) -> list[int]:
-        return self.split_token("".join(LETTERS[b] for b in word.encode("utf-8", "surrogatepass")) + END)
+        return self.split_token(self.letters(word) + END)
 
     def split_token(self, token: str) -> list[int]:
         """Ids of a token's letters; the last carries the word's end."""
@@ -102,15 +111,16 @@ class WordBpe:
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match, from the left; the last token carries the word's end."""
-        text = "".join(LETTERS[b] for b in word.encode("utf-8", "surrogatepass"))
+        text, vocab = self.letters(word), self.vocab
         out, k, n = [], 0, len(text)
         while k < n:
-            i = self.vocab.get(text[k:] + END) if n - k <= self.longest else None
+            i = vocab.get(text[k:] + END) if n - k <= self.longest else None
             if i is not None:
                 out.append(i)
                 break
-            for j in range(min(n, k + self.longest), k, -1):
-                if j < n and (i := self.vocab.get(text[k:j])) is not None:
+            for j in range(min(n - 1, k + self.reach.get(text[k : k + 3], 2)), k, -1):
+                i = vocab.get(text[k:j])
+                if i is not None:
                     out.append(i)
                     k = j
                     break
