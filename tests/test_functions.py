@@ -59,7 +59,7 @@ def test_texts(spark):
     assert one(spark, X.table_cell(F.lit(None).cast("string"))) == ""
 
 
-@pytest.mark.parametrize("url,out", [("mongodb://u:p@h:1/x", "mongodb://REDACTED:REDACTED@h:1/x"), ("http://h/a@b", "http://h/a@b"), ("nonsense", V.REDACTED_URL), ("http://u@h", "http://REDACTED:REDACTED@h")])
+@pytest.mark.parametrize("url,out", [("postgres://u:p@h:1/x", "postgres://REDACTED:REDACTED@h:1/x"), ("http://h/a@b", "http://h/a@b"), ("nonsense", V.REDACTED_URL), ("http://u@h", "http://REDACTED:REDACTED@h")])
 def test_redact_url(spark, url, out):
     assert one(spark, X.redact_url(F.lit(url))) == out
 
