@@ -53,6 +53,16 @@ def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, starts * 3, grams.ravel()
 
 
+def spell_many(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """spell() of many words, some at a time."""
+    parts, at = [], 0
+    for k in range(0, len(words), step):
+        row, starts, grams = spell(words[k : k + step])
+        parts.append((row, starts + at, grams))
+        at += len(grams)
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else spell(words)
+
+
 def window_starts(n: int) -> range:
     """Starts of windows over n words: each word is in a window, all but the ends in two."""
     return range(0, max(1, n - STRIDE), STRIDE)
@@ -100,7 +110,7 @@ class Network:
         hits = np.flatnonzero(lead == x[word, 2 * DIM])
         return x, count, grams[hits[np.searchsorted(word[hits], np.arange(len(row)))]]
 
-    def all_inputs(self, spelled: tuple[np.ndarray, np.ndarray, np.ndarray], step: int = 40_000) -> np.ndarray:
+    def all_inputs(self, spelled: tuple[np.ndarray, np.ndarray, np.ndarray], step: int = 20_000) -> np.ndarray:
         """Input vectors of many words, some at a time."""
         row, starts, grams = spelled
         ends = np.append(starts, len(grams))
@@ -109,8 +119,11 @@ class Network:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """Both directions' gate inputs of each word, and a row of zeros at the end for the padding."""
-        p = np.einsum("nd,kdh->knh", x, self.w) + self.b[:, None]
-        return np.concatenate([p, np.zeros((2, 1, 3 * HIDDEN), np.float32)], axis=1).astype(np.float32)
+        p = np.zeros((2, len(x) + 1, 3 * HIDDEN), np.float32)
+        for k in range(2):
+            p[k, :-1] = x @ self.w[k]
+            p[k, :-1] += self.b[k]
+        return p
 
     def forward(self, p: np.ndarray, ids: np.ndarray, keep: bool = False):
         """Logits of windows. ids: (windows, WINDOW) rows of p, -1 after a window's end."""
@@ -224,7 +237,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
         return None
     check = rng.random(len(docs)) < 0.2
     words = list(number)
-    spelled = spell(words)
+    spelled = spell_many(words)
     size = np.diff(np.append(spelled[1], len(spelled[2])))
     seen = {c: (np.zeros(WORD_ROWS), np.zeros(GRAM_ROWS)) for c in (0, 1)}
     for d, c in zip(docs, y.tolist()):
@@ -234,9 +247,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
         seen[c][1][grams[grams < GRAM_ROWS]] += 1
     n1 = int(y.sum())
     net.word[:, 0], net.gram[:, 0] = (log_odds(seen[1][k], seen[0][k], n1, len(y) - n1) for k in (0, 1))
-    windows = [windows_of(d) for d in docs]
-    of = np.repeat(np.arange(len(docs)), [len(w) for w in windows])
-    windows = np.concatenate(windows)
+    counts = [len(window_starts(1 + int((d[1:] != d[:-1]).sum()))) for d in docs]
+    of, windows = np.repeat(np.arange(len(docs)), counts), np.empty((sum(counts), WINDOW), np.int32)
+    at = 0
+    for d, n in zip(docs, counts):
+        windows[at : at + n] = windows_of(d)
+        at += n
     first = np.searchsorted(of, np.arange(len(docs)))
     adam, slow = Adam(0.01), Adam(0.003)  # embeddings are learned slowly, so that few documents aren't learned by heart
     batch = max(32, min(batch, len(docs) // 16))
