@@ -25,15 +25,20 @@ def extension_stats(sources: DataFrame, project: str | None = None) -> DataFrame
     return out.orderBy(F.desc("files"), F.desc("lines"), "fileExtension")
 
 
-def functions(sources: DataFrame, project: str | None = None) -> DataFrame:
-    """A row per public function that has a complexity."""
-    rows = of_project(sources, project).select("filepath", F.coalesce("summary.namespace", "filepath").alias("namespace"), F.explode("summary.publicFunctions").alias("f"))
+def zipped(items: str, *fields: str) -> Column:
+    """An array of structs with some fields of a nested array; scans then read these fields alone, which explode() of whole structs would not ensure."""
+    return F.arrays_zip(*(F.col(f"{items}.{f}").alias(f) for f in fields))
+
+
+def functions(sources: DataFrame, project: str | None, *fields: str) -> DataFrame:
+    """A row per public function that has a complexity, with some of its fields."""
+    rows = of_project(sources, project).select("filepath", F.coalesce("summary.namespace", "filepath").alias("namespace"), F.explode(zipped("summary.publicFunctions", "cyclomaticComplexity", *fields)).alias("f"))
     return rows.where(F.col("f.cyclomaticComplexity").isNotNull())
 
 
 def top_complex_functions(sources: DataFrame, project: str | None = None, limit: int = V.TOP_FUNCTIONS) -> DataFrame:
     """The functions of the largest complexity; ties by name and file."""
-    f = functions(sources, project).select(
+    f = functions(sources, project, "name", "linesOfCode", "codeSmells").select(
         F.concat("namespace", F.lit("::"), "f.name").alias("functionName"), F.col("filepath").alias("filePath"), F.col("f.cyclomaticComplexity").alias("complexity"),
         F.coalesce("f.linesOfCode", F.lit(0.0)).alias("linesOfCode"), F.coalesce("f.codeSmells", F.array().cast("array<string>")).alias("codeSmells"),
     )
@@ -55,7 +60,7 @@ def code_quality(sources: DataFrame, project: str | None = None) -> DataFrame:
     cc, loc = F.col("f.cyclomaticComplexity"), F.coalesce("f.linesOfCode", F.lit(0.0))
     n = F.count(F.lit(1))
     mean = lambda c: F.coalesce(F.bround(F.sum(c) / n, 2), F.lit(0.0))
-    return functions(sources, project).agg(
+    return functions(sources, project, "linesOfCode").agg(
         n.alias("totalFunctions"), mean(cc).alias("averageComplexity"), F.count_if(cc > V.HIGH_COMPLEXITY).alias("highComplexityCount"), F.count_if(cc > V.VERY_HIGH_COMPLEXITY).alias("veryHighComplexityCount"),
         mean(loc).alias("averageFunctionLength"), F.count_if(loc > V.LONG_FUNCTION_LINES).alias("longFunctionCount"),
     )
@@ -64,7 +69,7 @@ def code_quality(sources: DataFrame, project: str | None = None) -> DataFrame:
 def database_statistics(sources: DataFrame, project: str | None = None) -> DataFrame:
     """Stored procedures (functions included) and triggers, in one pass."""
     size = lambda c: F.coalesce(F.sum(F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))), F.lit(0))
-    return of_project(sources, project).agg(size("summary.storedProcedures").alias("totalProcedures"), size("summary.triggers").alias("totalTriggers"))
+    return of_project(sources, project).agg(size("summary.storedProcedures.name").alias("totalProcedures"), size("summary.triggers.name").alias("totalTriggers"))
 
 
 def project_stats(sources: DataFrame) -> DataFrame:

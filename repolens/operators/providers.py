@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import vocab as V
+from .aggregates import zipped
 from .select import in_values, of_project
 
 
@@ -75,7 +76,9 @@ def job_summary(jobs: DataFrame) -> DataFrame:
 def stored_object_list(sources: DataFrame, project: str | None = None) -> DataFrame:
     """A row per stored procedure, function and trigger; a complexity that isn't known counts as LOW."""
     rows = of_project(sources, project)
-    of = lambda items, kind: rows.select("filepath", F.explode(items).alias("o")).select("filepath", F.col("o.name").alias("name"), kind.alias("objectType"), F.col("o.complexity").alias("complexity"), F.col("o.linesOfCode").alias("linesOfCode"))
+    there = {f.name for f in sources.schema["summary"].dataType["triggers"].dataType.elementType.fields}
+    fields = ("name", "complexity", "linesOfCode", *(["objectType"] if "objectType" in there else []))
+    of = lambda items, kind: rows.select("filepath", F.explode(zipped(items, *fields)).alias("o")).select("filepath", F.col("o.name").alias("name"), kind.alias("objectType"), F.col("o.complexity").alias("complexity"), F.col("o.linesOfCode").alias("linesOfCode"))
     found = of("summary.storedProcedures", F.coalesce("o.objectType", F.lit("PROCEDURE"))).unionByName(of("summary.triggers", F.lit("TRIGGER")))
     return found.withColumn("complexity", F.when(F.upper("complexity").isin(*V.COMPLEXITIES), F.upper("complexity")).otherwise(V.COMPLEXITIES[0]))
 
