@@ -95,7 +95,7 @@ _held: dict[object, object] = {}
 
 
 def held(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker keeps from task to task, for one operator at a time: workers are reused, and the caches of all operators together would outgrow an executor."""
+    """What a Python worker keeps from task to task, for one operator at a time: workers are reused, and the caches of all operators together would outgrow an executor. An operator that keeps nothing calls it to have others' caches dropped."""
     if key not in _held:
         _held.clear()
         gc.collect()

@@ -23,7 +23,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from . import golay
-from .common import Scratch, prepare
+from .common import Scratch, held, prepare
 from .components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -51,6 +51,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 @pandas_udf(LongType())
 def fingerprint_udf(text: pd.Series) -> pd.Series:
+    held("simhash", dict)
     return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
 
 
@@ -119,6 +120,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int = MAX_BITS) -> tup
 
 
 def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("simhash", dict)
     for batch in batches:
         fp = batch.column("fp").to_numpy(zero_copy_only=False)
         for at in range(0, len(fp), 4096):
@@ -129,6 +131,7 @@ def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a bucket that may go on in the next batch waits. A bucket has 2 * BLOCK rows at most, give or take how evenly the hash deals."""
+    held("simhash", dict)
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def done(n: int) -> pa.RecordBatch:

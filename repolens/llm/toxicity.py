@@ -254,7 +254,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
         windows[at : at + n] = windows_of(d)
         at += n
     first = np.searchsorted(of, np.arange(len(docs)))
-    adam, slow = Adam(0.01), Adam(0.003)  # embeddings are learned slowly, so that few documents aren't learned by heart
+    # Embeddings are learned slowly, and more so from few documents, which they would learn by heart.
+    adam, slow = Adam(0.01), Adam(0.003 * min(1.0, len(docs) / 4000))
     batch = max(32, min(batch, len(docs) // 16))
     epochs = max(epochs, -(-steps * batch // (2 * len(docs))))
 
