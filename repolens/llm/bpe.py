@@ -9,6 +9,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import held, prepare
 
-CACHE = 400_000
-PAIRS = 2_000_000
+CACHE = 250_000
+PAIRS = 1_000_000
 #: Characters of texts that are encoded together, at least one text.
-TOGETHER = 2_000_000
+TOGETHER = 1_000_000
 END = "</w>"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -48,8 +49,6 @@ class WordBpe:
     """Encoder and decoder of one tokenizer file, equal to the tokenizers library with add_special_tokens=False, no truncation and no padding; decode as with skip_special_tokens=False."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -70,12 +69,19 @@ class WordBpe:
         for t in self.vocab:
             if len(t) > 2 and not t.endswith(END):
                 self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.cache: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.sound: dict[int, bool] = {}
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
         self.merged = 0
 
+    @cached_property
+    def library(self):
+        """Loaded when a text needs it, as it takes tens of MB."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def letters(word: str) -> str:
         return word if word.isascii() and word.isalnum() else "".join([LETTERS[b] for b in word.encode("utf-8", "surrogatepass")])

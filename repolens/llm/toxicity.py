@@ -27,7 +27,7 @@ DIM, HIDDEN, ATTENTION = 4, 8, 8
 #: Most labelled documents of each class, in expectation, that are learned from.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 3500
 #: Windows that run through the network at a time, and words whose projected inputs a worker keeps.
-TOGETHER, CACHE = 4096, 250_000
+TOGETHER, CACHE = 4096, 100_000
 
 
 def words_of(text: str | None) -> list[str]:
