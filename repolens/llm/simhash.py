@@ -6,6 +6,8 @@ The 64 bits are cut into three segments of 22, 21 and 21 bits, each padded with
 Each key has 34 bits, so chance meetings stay rare among billions of fingerprints.
 So two linked fingerprints share a key for certain; each pair in a bucket is verified by its Hamming distance.
 
+Where a stage asks for it, texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more are linked too. Candidates come from a prefix filter, which is exact: of each set, ordered alike everywhere (shingles that a sample finds often come last), the first fifth and one more are keys, and two such sets share a key. Each candidate is verified on the whole sets.
+
 Only distinct fingerprints take part. A bucket yields a spanning forest of its links, never all pairs. A bucket of more than BLOCK fingerprints is dealt into blocks; each pair of blocks is a bucket of its own, so that no task gets a whole large bucket, and no pair is lost.
 """
 
@@ -29,24 +31,53 @@ from .components import connected_components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 MAX_BITS = 4
 BLOCK = 2048
+#: Words of a shingle, and least Jaccard similarity (numerator, denominator), of near copies told by their sets of shingles.
+WORDS, SIMILAR = 5, (4, 5)
+#: Documents, in expectation, that the order of shingles is drawn from; shingles that OFTEN or more of them have come last, COMMON of these at most. The order decides the number of candidates, never what is found.
+ORDER_DOCS, OFTEN, COMMON = 4000, 3, 50_000
 #: Buckets up to this size are compared by shifted rows, larger ones by a search.
 SHIFTED = 12
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text: A-Z in lower case, words between ASCII white space, shingles of width words (repeats included; fewer words: the whole sequence), XXH64; a bit is 1 if set in over half the shingles. No word, or null: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+def hashes(words: list[bytes], width: int, seed: int) -> list[int]:
+    """XXH64 of the shingles of width words (repeats included; fewer words: the whole sequence)."""
     joined, last = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     of = xxhash.xxh64_intdigest
-    h = [of(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist())]
+    return [of(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist())]
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def of_words(words: list[bytes], width: int = 4, seed: int = 42) -> int:
+    if not words:
+        return 0
+    h = hashes(words, width, seed)
     set_bits = np.zeros(64, np.int64)
-    for k in range(0, last, 65536):
+    for k in range(0, len(h), 65536):
         set_bits += np.unpackbits(np.array(h[k : k + 65536], ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_bits * 2 > last).tobytes(), "big")
+    return int.from_bytes(np.packbits(set_bits * 2 > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of a whole text: A-Z in lower case, words between ASCII white space, shingles of width words (repeats included; fewer words: the whole sequence), XXH64; a bit is 1 if set in over half the shingles. No word, or null: 0."""
+    return of_words(words_of(text), width, seed)
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the shingles of WORDS words, sorted."""
+    return np.unique(np.array(hashes(words, WORDS, 42) if words else [], np.uint64))
+
+
+def prefix(h: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The least hashes of a sorted set by (count among common ones, hash): so many that two sets of Jaccard similarity SIMILAR share one."""
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+    return h[: len(h) - -(-SIMILAR[0] * len(h) // SIMILAR[1]) + 1] if len(h) else h
 
 
 @pandas_udf(LongType())
@@ -167,8 +198,69 @@ def link_table(fps: DataFrame, tmp: Scratch, block: int = BLOCK) -> DataFrame:
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Components of documents whose SimHash fingerprints differ in at most 4 bits.
+def _set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("simhash", dict)
+    for batch in batches:
+        sets = [shingles(words_of(t)).view(np.int64) for t in batch.column("t").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(sets, pa.list_(pa.int64()))], ["c", "s"])
+
+
+def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that OFTEN or more of about ORDER_DOCS texts have, and in how many."""
+    share = min(1.0, ORDER_DOCS / max(1, docs.count()))
+    some = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("c")).where(F.pmod("c", F.lit(1_000_000)) < int(1_000_000 * share))
+    found = some.mapInArrow(_set, "c long, s array<long>").select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch, name: str) -> DataFrame:
+    """Links (u, v) of the pairs (a, b: hashes of texts; u, v: fingerprints) whose sets of shingles are similar. Only texts of pairs are shuffled."""
+    wanted = tmp.save(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), f"{name}wanted")
+    texts = docs.select(F.xxhash64(text_col).alias("c"), F.col(text_col).alias("t")).join(wanted, "c", "left_semi").groupBy("c").agg(F.first("t").alias("t"))
+    sets = tmp.save(texts.mapInArrow(_set, "c long, s array<long>"), f"{name}sets")
+    of = lambda k: sets.select(F.col("c").alias(k), F.col("s").alias(f"s{k}")).hint("merge")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    good = pairs.join(of("b"), "b").join(of("a"), "a").where(SIMILAR[1] * shared >= SIMILAR[0] * (F.size("sa") + F.size("sb") - shared))
+    links = tmp.save(good.select("u", "v").distinct(), f"{name}links")
+    tmp.drop(f"{name}wanted", f"{name}sets")
+    return links
+
+
+def similar_links(keyed: DataFrame, links: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch) -> DataFrame:
+    """links, and enough links (u, v) of fingerprints to join all texts that are similar. keyed: key, c (hash of the text), fp, n (size of the set).
+
+    First each text of a bucket is held against the bucket's least and greatest one, so that a large group costs a pair or two for each of its texts. Then all pairs of a bucket that aren't joined yet are held against each other.
+    """
+    one = F.struct("c", "fp", "n")
+    ends = keyed.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("f <> g").select("key", "lo", "hi")
+    ends = tmp.save(ends, "ends")
+    member = tmp.save(keyed.join(ends.hint("merge"), "key"), "met")
+    tmp.drop("ends")
+    near = lambda m, n: (SIMILAR[1] * F.least(m, n) >= SIMILAR[0] * F.greatest(m, n))
+
+    def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+        swap = F.col(f"{x}c") > F.col(f"{y}c")
+        either = lambda k, a, b: F.when(swap, F.col(f"{a}{k}")).otherwise(F.col(f"{b}{k}"))
+        return df.where(near(F.col(f"{x}n"), F.col(f"{y}n"))).select(either("c", y, x).alias("a"), either("c", x, y).alias("b"), either("fp", y, x).alias("u"), either("fp", x, y).alias("v"))
+
+    first = pairs(member.where("fp <> lo.fp"), "", "lo.").unionByName(pairs(member.where("fp <> hi.fp"), "", "hi."))
+    first = tmp.save(first.distinct(), "first")
+    links = links.unionByName(similar_pairs(first, docs, text_col, tmp, "first"))
+    stars = tmp.save(connected_components(links, tmp, "joined").withColumnRenamed("node", "fp"), "joined")
+    rooted = tmp.save(member.select("key", "c", "fp", "n").distinct().join(stars, "fp", "left").select("key", "c", "fp", "n", F.coalesce("root", "fp").alias("root")), "metroots")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("f"), F.max("root").alias("g")).where("f <> g").select("key")
+    still = tmp.save(rooted.join(apart.hint("merge"), "key"), "still")
+    x, y = (still.select("key", *(F.col(k).alias(f"{side}{k}") for k in ("c", "fp", "n", "root"))) for side in "xy")
+    rest = pairs(x.join(y.hint("merge"), "key").where("xroot < yroot"), "x", "y").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    rest = tmp.save(rest, "rest")
+    tmp.drop("met", "metroots", "still")
+    return links.unionByName(similar_pairs(rest, docs, text_col, tmp, "rest"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, similar: bool = False) -> DataFrame:
+    """Components of documents whose SimHash fingerprints differ in at most 4 bits; if similar, also of those whose sets of five-word shingles have a Jaccard similarity of at least 0.8 (words as for fingerprints; of fewer words the whole sequence is the only shingle; texts without words have none).
 
     Returns a row per input row: id_col, fingerprint (16 hex digits), component_id (the least id that links reach).
 
@@ -177,9 +269,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prepare(spark)
     with Scratch(spark, "simhash") as tmp:
-        rows = tmp.save(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")), "rows", keep=True)
+        if similar:
+            common, counts = common_shingles(docs, text_col)
+
+            def with_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held("simhash", dict)
+                for batch in batches:
+                    fps, sizes, keys = [], [], []
+                    for t in batch.column("t").to_pylist():
+                        words = words_of(t)
+                        h = shingles(words)
+                        fps.append(of_words(words))
+                        sizes.append(len(h))
+                        keys.append(prefix(h, common, counts).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "c", "fp", "n", "keys"])
+
+            read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("c"))
+            featured = tmp.save(read.mapInArrow(with_prefix, f"id {dict(docs.dtypes)[id_col]}, c long, fp long, n int, keys array<long>"), "featured")
+            rows = tmp.save(featured.select("id", "fp"), "rows", keep=True)
+        else:
+            rows = tmp.save(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")), "rows", keep=True)
         fps = tmp.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps", keep=True)
-        stars = tmp.save(connected_components(link_table(fps, tmp, block), tmp), "stars")
+        links = link_table(fps, tmp, block)
+        if similar:
+            links = similar_links(featured.select(F.explode("keys").alias("key"), "c", "fp", "n"), links, docs, text_col, tmp)
+        stars = tmp.save(connected_components(links, tmp), "stars")
         rooted = tmp.save(fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
         leasts = tmp.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "leasts")
         of_fp = tmp.save(rooted.join(leasts, "root").select("fp", "component_id"), "of_fp", keep=True)

@@ -104,6 +104,37 @@ def test_near_duplicates(spark, block):
     assert near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_by_five_words(spark, monkeypatch):
+    """Edits that turn more than 4 bits; components equal to brute force over both kinds of links, whatever the order of shingles."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "One\x0b"), (4, "one two")]
+    for g in range(30):
+        base = rng.choices(words, k=rng.choice([8, 40, 100, 300]))
+        for _ in range(5 if g else 60):
+            near = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 60)):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((len(rows), " ".join(near)))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (simhash.words_of(t) for _, t in rows)]
+    fps = [fingerprint(t) for _, t in rows]
+    comp, bits, missed = list(range(len(rows))), 0, 0
+    for a in range(len(rows)):
+        for b in range(a):
+            near = len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]) > 0
+            bits = (fps[a] ^ fps[b]).bit_count()
+            missed += near and bits > 4
+            if (near or bits <= 4) and comp[a] != comp[b]:
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    assert missed > 100
+    for often in (3, 10**6):
+        monkeypatch.setattr(simhash, "OFTEN", often)
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows), similar=True).collect()}
+        assert got == dict(enumerate(comp))
+    assert near_duplicates(docs(spark, []), similar=True).count() == 0
+
+
 def test_fingerprint_is_spark_xxhash(spark):
     text = "A b c D e"
     hashes = [r[0] & (1 << 64) - 1 for r in spark.sql("select xxhash64(s) from values ('a b c d'), ('b c d e') as t(s)").collect()]
