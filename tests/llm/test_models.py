@@ -311,6 +311,37 @@ def test_contamination(spark):
     assert decontaminate.find_contamination(docs(spark, rows[:3]), benchmark.where("false")).count() == 0
 
 
+def test_contamination_of_short_items_and_amid_rare_words(spark):
+    """All pairs that the verification accepts at any window, by brute force; a single window's cosine misses some of them."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(2000)]
+    items = [(i, rng.choices(vocabulary, k=1 + i % 20)) for i in range(100)]
+    rows = []
+    for d in range(400):
+        junk = d % 2
+        around = [f"{rng.getrandbits(60):x}" if junk else rng.choice(vocabulary) for _ in range(rng.randint(20, 120))]
+        words = list(items[d % 100][1])
+        if d >= 200 and len(words) > 8:
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        cut = rng.randint(0, len(around))
+        rows.append((d, " ".join(around[:cut] + words + around[cut:]), None))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = decontaminate.find_contamination(docs(spark, rows), benchmark).collect()
+    brute = set()
+    for d, t, _ in rows:
+        w = decontaminate.words_of(t)
+        for i, q in items:
+            answer = q[-max(1, min(len(q), max(3, len(q) // 5))) :]
+            for start, _ in decontaminate.passage_spans(len(w)):
+                near = w[max(0, start - len(q)) : start + decontaminate.WINDOW + len(q)]
+                enough = len(set(q) & set(near)) >= 0.7 * len(set(q)) - 1e-9 and decontaminate.lcs(q, near) >= 0.7 * len(q)
+                if enough and decontaminate.lcs(answer, near) >= 0.5 * len(answer):
+                    brute.add((d, i))
+    assert len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute and brute >= {(d, d % 100) for d in range(400)}
+    assert all(0 <= r["cosine"] <= 1 for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 16, 17, 32, 33, 100])
 def test_passages_cover_every_word(n):
     spans = decontaminate.passage_spans(n)
