@@ -86,8 +86,8 @@ RULES = (
     ("Public-Domain", ("PublicDomain",)),
 )
 
-#: Each known sentence holds one of these; texts without them aren't cut.
-TRIGGER = "licens|permission|redistribut|software|the license|public domain|either version|copyright|apache"
+#: Each known sentence holds one of these; texts without them aren't cut. Each lies within a word, as lines are joined and white space is folded only when a text is cut.
+TRIGGER = "licens|permission|redistribut|software|dedicated|either|copyright|apache"
 #: Regular expressions of the cutting and the normalising, alike in Java and RE2.
 JOIN_COMMA, JOIN_LOWER, STOP, OTHER = r",[ \t]*\r?\n", r"\r?\n[ \t]*([a-z])", r"[.!?;:]+([ \t\r\n]|$)", r"[^a-z0-9.+\-\n]+"
 

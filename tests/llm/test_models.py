@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm import decontaminate, htmltext, langid, pii, toxicity
 from repolens.llm.boosting import boost, calibrate
-from repolens.llm.licenses import RULES, SENTENCES, scan_licences
+from repolens.llm.licenses import RULES, SENTENCES, TRIGGER, scan_licences
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, t string, score double, held_out boolean, ids string, base string"
 
@@ -53,6 +53,14 @@ def test_licences(spark):
     assert scan_licences(docs(spark, [])).count() == 0
 
 
+def test_licences_in_wrapped_sentences(spark):
+    """No other word of these texts is a trigger."""
+    texts = ["This work is dedicated to the public\ndomain.", "This work is dedicated to the public  domain.", "This work is dedicated to the public\tdomain.", "this work is dedicated to\n the public\xa0domain", "Dedicated to the public\ndomain."]
+    got = {r["doc_id"]: r["licences"] for r in scan_licences(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "Public-Domain", 1: "Public-Domain", 2: "Public-Domain", 3: "Public-Domain", 4: ""}
+    assert all(any(re.search(TRIGGER, w) for w in s.split()) for s in SENTENCES)
+
+
 def test_licence_rules_are_reachable():
     assert {i for _, run in RULES for i in run} <= set(SENTENCES.values())
     text = "licens permission redistribut software"
