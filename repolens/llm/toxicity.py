@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +27,12 @@ WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 16
 DIM, HIDDEN, ATTENTION = 4, 8, 8
 #: Most labelled documents of each class, in expectation, that are learned from.
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 1500, 3500
-#: Windows that run through the network at a time, and words whose projected inputs a worker keeps.
-TOGETHER, CACHE = 4096, 100_000
+#: Most characters of the texts that are learned from; the rows that lie beyond it, in the order of a hash of the id, are left out.
+TRAIN_CHARACTERS = 16_000_000
+#: Texts with a word of more letters than this are scored as others are, but not learned from.
+TRAIN_WORD = 10_000
+#: Windows that run through the network at a time, words whose projected inputs a worker keeps, and letters that are spelled at a time (of a longer word: read at a time).
+TOGETHER, CACHE, LETTERS = 4096, 100_000, 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -35,13 +40,18 @@ def words_of(text: str | None) -> list[str]:
 
 
 def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word its row, and where its n-grams begin in the third array: the rows of the n-grams of three to five letters of all words with their bounds, GRAM_ROWS where a word ends before. Of a very long word the first and last 32 letters count."""
+    """Of each word its row, and where its n-grams begin in the third array: the rows of the n-grams of three to five letters of all words with their bounds, GRAM_ROWS where a word ends before."""
     row = np.array([zlib.crc32(w.encode("utf-8", "replace")) % WORD_ROWS for w in words], np.int64)
-    marked = [f"<{w}>" if len(w) <= 64 else f"<{w[:32]}|{w[-32:]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     ends = np.cumsum(np.array([len(m) for m in marked], np.int64))
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    codes = np.frombuffer("".join(marked).encode("utf-32-le", "replace"), np.uint32)
-    left = np.repeat(ends, ends - starts) - np.arange(len(codes))
+    return row, starts * 3, gram_rows("".join(marked), np.repeat(ends, ends - starts)).ravel()
+
+
+def gram_rows(text: str, end: np.ndarray | None = None) -> np.ndarray:
+    """(letters, 3) rows of the n-grams of three to five letters that begin at each letter, GRAM_ROWS where they would reach beyond its end (of the text, if not given)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    left = (len(codes) if end is None else end) - np.arange(len(codes))
     codes = np.concatenate([codes, np.zeros(5, np.uint32)])
     grams = np.full((len(left), 3), GRAM_ROWS, np.int32)
     h = codes[: len(left)]
@@ -50,14 +60,27 @@ def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if k >= 2:
             mixed = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D + 2 * k)
             grams[:, k - 2] = np.where(left > k, (mixed ^ mixed >> np.uint32(13)) % np.uint32(GRAM_ROWS), GRAM_ROWS)
-    return row, starts * 3, grams.ravel()
+    return grams
+
 
+def portions(words: list[str], letters: int = LETTERS) -> Iterator[list[str]]:
+    """Words in order, some at a time: so many that they hold about the given number of letters, one at least."""
+    some, size = [], 0
+    for w in words:
+        if some and size + len(w) > letters:
+            yield some
+            some, size = [], 0
+        some.append(w)
+        size += len(w) + 2
+    if some:
+        yield some
 
-def spell_many(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def spell_many(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """spell() of many words, some at a time."""
     parts, at = [], 0
-    for k in range(0, len(words), step):
-        row, starts, grams = spell(words[k : k + step])
+    for some in portions(words):
+        row, starts, grams = spell(some)
         parts.append((row, starts + at, grams))
         at += len(grams)
     return tuple(np.concatenate(p) for p in zip(*parts)) if parts else spell(words)
@@ -110,6 +133,24 @@ class Network:
         hits = np.flatnonzero(lead == x[word, 2 * DIM])
         return x, count, grams[hits[np.searchsorted(word[hits], np.arange(len(row)))]]
 
+    def inputs_of(self, words: list[str]) -> np.ndarray:
+        """Input vectors of words of any length: a word of more than LETTERS letters is read in pieces that share four, so that each n-gram is in a piece, and those that two pieces share are counted once."""
+        out = [np.zeros((0, 2 * DIM + 1), np.float32)]
+        for some in portions(words):
+            out.append(self.inputs(spell(some))[0] if len(some[0]) <= LETTERS else self._long(some[0])[None])
+        return np.concatenate(out)
+
+    def _long(self, word: str) -> np.ndarray:
+        marked, own = f"<{word}>", np.concatenate([self.gram, np.zeros((1, DIM), np.float32)])
+        total, count, most = np.zeros(DIM), 0, np.float32(-9)
+        for k in range(0, len(marked), LETTERS):
+            grams = gram_rows(marked[k : k + LETTERS + 4])[:LETTERS]
+            there = grams < GRAM_ROWS
+            total += own[grams].sum((0, 1), dtype=np.float64)
+            count += int(there.sum())
+            most = max(most, np.where(there, own[:, 0][grams], np.float32(-9)).max())
+        return np.concatenate([self.word[zlib.crc32(word.encode("utf-8", "replace")) % WORD_ROWS], total / count, [most]]).astype(np.float32)
+
     def all_inputs(self, spelled: tuple[np.ndarray, np.ndarray, np.ndarray], step: int = 20_000) -> np.ndarray:
         """Input vectors of many words, some at a time."""
         row, starts, grams = spelled
@@ -206,8 +247,7 @@ class Network:
 
 
 def windows_of(ids: np.ndarray) -> np.ndarray:
-    """(windows, WINDOW) of a document's word rows, padded with -1. A word that repeats on end counts once."""
-    ids = ids[np.concatenate([[True], ids[1:] != ids[:-1]])]
+    """(windows, WINDOW) of a document's word rows, padded with -1."""
     starts = np.array(window_starts(len(ids)))
     padded = np.concatenate([ids, np.full(WINDOW, -1, ids.dtype)])
     return padded[starts[:, None] + np.arange(WINDOW)]
@@ -230,7 +270,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
     if len(set(labels)) < 2:
         return None
     net, number = Network.fresh(rng), {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    cut = [words_of(t) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in c], np.int32) if max(map(len, c), default=0) <= TRAIN_WORD else np.zeros(0, np.int32) for c in cut]
+    del cut
     keep = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in keep], y[keep]
     if len(set(y.tolist())) < 2:
@@ -247,7 +289,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
         seen[c][1][grams[grams < GRAM_ROWS]] += 1
     n1 = int(y.sum())
     net.word[:, 0], net.gram[:, 0] = (log_odds(seen[1][k], seen[0][k], n1, len(y) - n1) for k in (0, 1))
-    counts = [len(window_starts(1 + int((d[1:] != d[:-1]).sum()))) for d in docs]
+    counts = [len(window_starts(len(d))) for d in docs]
     of, windows = np.repeat(np.arange(len(docs)), counts), np.empty((sum(counts), WINDOW), np.int32)
     at = 0
     for d, n in zip(docs, counts):
@@ -331,7 +373,7 @@ class Scorer:
             number.update(zip(fresh, range(old, new)))
             if new >= self.p.shape[1]:
                 self.p = np.concatenate([self.p[:, :old], np.zeros((2, new + 1, 3 * HIDDEN), np.float32)], axis=1)
-            self.p[:, old:new] = self.net.project(self.net.inputs(spell(fresh))[0])[:, :-1]
+            self.p[:, old:new] = self.net.project(self.net.inputs_of(fresh))[:, :-1]
         docs = [windows_of(np.fromiter(map(number.__getitem__, words), np.int32, len(words))) for words in cut if words]
         out = np.zeros(len(texts))
         if docs:
@@ -342,15 +384,25 @@ class Scorer:
         return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_positive: int = TRAIN_POSITIVE, train_negative: int = TRAIN_NEGATIVE, seed: int = 5) -> Network | None:
-    """Train on labelled texts outside the held-out fold. Of more labels than train_positive and train_negative, samples by a hash of the id that have so many in expectation; whole texts of these reach the driver. Labels other than 0 and 1, ids labelled both ways, and null ids or texts are left out; a repeated label counts once."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_positive: int = TRAIN_POSITIVE, train_negative: int = TRAIN_NEGATIVE, train_characters: int = TRAIN_CHARACTERS, seed: int = 5) -> Network | None:
+    """Train on labelled texts outside the held-out fold. Of more labels than train_positive and train_negative, samples by a hash of the id that have so many in expectation; whole texts of these reach the driver, train_characters in all at most. Labels other than 0 and 1, ids labelled both ways, and null ids or texts are left out; a repeated label counts once."""
     labels = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).where("y = z").select(id_col, "y")
     counts = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = lambda c, most: int(1_000_000 * min(1, most / max(1, counts.get(c, 0))))
     labels = labels.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.when(F.col("y") == 1, share(1, train_positive)).otherwise(share(0, train_negative)))
-    # At most some thousands of ids after the sample.
-    rows = docs.select(id_col, F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(labels), id_col).collect()
-    rows.sort(key=lambda r: (str(r[id_col]), r["t"]))
+    # At most some thousands of ids after the sample; their texts' lengths come first.
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(labels.select(F.col(id_col).alias("_id"), "y")), "_id")
+    lengths = sorted(((r["h"], r["_id"], r["n"]) for r in texts.select("_id", F.xxhash64("_id").alias("h"), F.char_length("t").alias("n")).collect()), key=lambda r: (r[0], r[2]))
+    left_out, total = set(), 0
+    for _, i, n in lengths:
+        if total + n > train_characters:
+            left_out.add(i)
+        else:
+            total += n
+    if left_out:
+        texts = texts.where(~F.col("_id").isin(*left_out))
+    rows = texts.collect()
+    rows.sort(key=lambda r: (str(r["_id"]), r["t"]))
     return train([r["t"] for r in rows], [int(r["y"]) for r in rows], seed)
 
 
