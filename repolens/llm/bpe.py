@@ -6,6 +6,7 @@ A text is normalised and cut into words as its file says. A new word is first pr
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import struct
 import unicodedata
@@ -25,6 +26,8 @@ CACHE = 250_000
 PAIRS = 1_000_000
 #: Characters of texts that are encoded together, at least one text.
 TOGETHER = 1_000_000
+#: Letters up to which a scan for the least pair is faster than a heap.
+SCANNED = 48
 END = "</w>"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -99,7 +102,9 @@ class WordBpe:
         return [self.vocab[x] for x in letters if x in self.vocab]
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging: again and again the leftmost pair of least rank."""
+        """Exact merging: again and again the leftmost pair of least rank. Long sequences go by a heap, so that time grows as n log n."""
+        if len(ids) > SCANNED:
+            return self.merge_long(ids)
         rank, none = self.rank, (1 << 60, -1)
         todo = [rank.get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
         while todo:
@@ -115,6 +120,29 @@ class WordBpe:
                 todo[k] = rank.get(best[1] << 20 | ids[k + 1], none)
         return ids
 
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap of rank and place, as one number, over a doubly linked list; entries that a merge has outdated are passed over."""
+        n, at = len(ids), self.rank.get
+        ids, before, after = list(ids), list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [found[0] << 40 | k for k, (a, b) in enumerate(zip(ids, ids[1:])) if (found := at(a << 20 | b))]
+        heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
+        while heap:
+            best = pop(heap)
+            k = best & (1 << 40) - 1
+            j = after[k]
+            if ids[k] < 0 or j >= n or not (found := at(ids[k] << 20 | ids[j])) or found[0] != best >> 40:
+                continue
+            new, ids[j], j = found[1], -1, after[j]
+            ids[k], after[k] = new, j
+            if j < n:
+                before[j] = k
+                if found := at(new << 20 | ids[j]):
+                    push(heap, found[0] << 40 | k)
+            if (i := before[k]) >= 0 and (found := at(ids[i] << 20 | new)):
+                push(heap, found[0] << 40 | i)
+        return [i for i in ids if i >= 0]
+
     def propose(self, word: str) -> list[int]:
         """Greedy longest match, from the left; the last token carries the word's end."""
         text, vocab = self.letters(word), self.vocab
