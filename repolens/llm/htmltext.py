@@ -25,11 +25,16 @@ from .common import prepare
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[a-zA-Z/!?][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: The attribute itself (quoted values are taken out before), and values that hide an element.
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+HIDING = re.compile(r"style\s*=[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*[\"']?true", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea svg math iframe object canvas audio video select datalist".split())
+#: Elements whose content is no text of the page: scripts and styles, what is never shown, parts of forms. HTML ends all but the last ones at the first end tag, whatever stands between, and "/" in a start tag closes none.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: The same, but these may nest, and drawings may be closed by their start tag.
+NESTED = frozenset("template select datalist svg".split())
 #: Block elements, by group.
 GROUPS = {
     "text": "p dd dt address summary",
@@ -71,6 +76,31 @@ class Node:
     inherited: frozenset[str] = field(default_factory=frozenset)
 
 
+@cache
+def ends_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I)
+
+
+def after_nested(page: str, tag: str, at: int) -> int:
+    """Where an element ends whose start tag ends at a place: after the end tag that closes it, those of the same name within it aside; the page's end if none does."""
+    depth = 1
+    while m := TOKEN.search(page, at):
+        at, name = m.end(), (m[2] or "").lower()
+        if name == tag:
+            depth += -1 if m[1] else not (tag == "svg" and m[3].endswith("/"))
+            if not depth:
+                return at
+        elif name in RAW and not m[1]:
+            end = ends_of(name).search(page, at)
+            at = end.end() if end else len(page)
+    return len(page)
+
+
+def is_hidden(attributes: str) -> bool:
+    low = attributes.lower()
+    return ("hidden" in low or "none" in low) and bool(HIDING.search(attributes) or HIDDEN.search(QUOTED.sub('""', attributes)))
+
+
 def parse(page: str | None) -> list[Node]:
     """Nodes in page order; a parent comes before its children."""
     nodes, stack, names = [Node("html", -1)], [0], ["html"]
@@ -110,9 +140,11 @@ def parse(page: str | None) -> list[Node]:
                 link = False
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end = ends_of(tag).search(page, at)
+            at = end.end() if end else len(page)
+            run.append((" ", link))
+        elif tag in NESTED:
+            at = at if tag == "svg" and m[3].endswith("/") else after_nested(page, tag, at)
             run.append((" ", link))
         elif tag == "br":
             run.append((" ", link))
@@ -135,7 +167,7 @@ def parse(page: str | None) -> list[Node]:
                         close(k)
                         break
             said = "".join(v for x in ATTRIBUTE.findall(m[3]) for v in (" ", *x)) if m[3] else ""
-            nodes.append(Node(tag, stack[-1], frozenset(p.lower() for p in PART.findall(said)), bool(m[3] and HIDDEN.search(m[3]))))
+            nodes.append(Node(tag, stack[-1], frozenset(p.lower() for p in PART.findall(said)), bool(m[3]) and is_hidden(m[3])))
             stack.append(len(nodes) - 1)
             names.append(tag)
     flush()
@@ -218,6 +250,8 @@ def example_page(rng: random.Random) -> str:
         body.append(f"<p><b>{text('c', 3, 30)}<br>")
     for _ in range(rng.randint(0, 9)):
         body.append(some(*[para] * 6, lambda: f"<h2>{text('c', 1, 6, '')}</h2>", lambda: f"<ul>{''.join(f'<li>{text(chr(99), 2, 20)}</li>' for _ in range(rng.randint(2, 5)))}</ul>", lambda: f"<blockquote>{para()}</blockquote>", lambda: f"<pre>{text('c', 3, 20)}</pre>", lambda: f"<table><tr><td>{text('c', 1, 5, '')}<td>{text('c', 1, 5, '')}</table>", lambda: f"<figure><img src=x><figcaption>{text('c', 3, 12)}</figcaption></figure>", lambda: f"<div class=ad>{text('x', 2, 12)}</div>", lambda: f"<aside{attr('related', 'pullout')}>{links()}</aside>")())
+    unseen = lambda: some("", "", "", "", f'<div {some("hidden", "style=display:none", "style='color:red; display: none'", "aria-hidden=true")}><p>{text("x", 3, 60)}</p>{some("", links())}</div>', f'<p {some("hidden", "style=display:none")}>{text("x", 3, 40)}</p>')
+    body.insert(rng.randint(0, len(body)), unseen())
     inner = "".join(body)
     nav = some(f"<nav>{links()}</nav>", f"<div{attr('menu', 'nav', 'navbar')}>{links()}</div>", f"<header>{text('x', 1, 5, '')}{links()}</header>", f"<header><h2>{text('x', 1, 4, '')}</h2><nav>{links()}</nav></header>", links())
     ad = lambda: some(f'<div class="{some("ad", "ads", "banner", "sponsor", "promo-box")}">{text("x", 3, 16)}</div>', "", "")
@@ -227,7 +261,7 @@ def example_page(rng: random.Random) -> str:
     foot = some(f"<footer>&copy; {text('x', 3, 25)}</footer>", f"<footer><p>{text('x', 2, 20)}</p>{links()}</footer>", f"<div{attr('footer', 'copyright', 'legal')}>&copy; {text('x', 2, 15)}</div>", f"<footer>{links()}</footer>")
     main = some(f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="{some("content", "post", "entry-content", "article-body", "main")}">{inner}</div>', f'<div id="{some("content", "story", "main-text")}">{inner}</div>', f"<div><div>{inner}</div></div>" if len(inner) > 300 else f"<article>{inner}</article>")
     middle = [main + comments() if rng.random() < 0.7 else main.replace("</article>", comments() + "</article>")]
-    return f"<html><head><title>{word('x')}</title></head><body>{notice()}{nav}{ad()}{side()}{''.join(middle)}{ad()}{side()}{notice()}{foot}" + some("</body></html>", "")
+    return f"<html><head><title>{word('x')}</title></head><body>{notice()}{unseen()}{nav}{ad()}{side()}{''.join(middle)}{ad()}{side()}{notice()}{foot}" + some("</body></html>", "")
 
 
 def train(pages: list[str], epochs: int = 40, seed: int = 3) -> Model:
