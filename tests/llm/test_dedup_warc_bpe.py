@@ -1,13 +1,14 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from repolens.llm import golay, simhash
+from repolens.llm import exact_dedup, golay, simhash
 from repolens.llm.bpe import WordBpe, encode_documents
 from repolens.llm.components import connected_components
 from repolens.llm.common import Scratch
@@ -51,6 +52,34 @@ def test_exact_duplicates(spark, weak):
     assert exact_duplicates(docs(spark, []), **more).count() == 0
 
 
+def test_filter_of_the_index(spark):
+    """It is sized from the entries, lets all of them through, and few others."""
+    assert exact_dedup.bitmaps_for(0) == exact_dedup.bitmaps_for(2048) == 1 and exact_dedup.bitmaps_for(2049) == 2
+    assert exact_dedup.bitmaps_for(10**12) == exact_dedup.MOST_BITMAPS
+    rows = spark.range(40_000).select("id", exact_dedup.sha256(F.col("id").cast("string")).alias("d"))
+    entries = rows.where("id % 4 = 0")
+    n = exact_dedup.bitmaps_for(10_000)
+    passed = {r["id"] for r in exact_dedup.probe(rows, exact_dedup.build_filter(entries, n), n).collect()}
+    others = sum(1 for i in passed if i % 4)
+    assert passed >= set(range(0, 40_000, 4)) and 0 < others < 30_000 / 10
+
+
+def test_lookup_consults_the_filter(spark, monkeypatch):
+    """Only texts that pass the filter are verified; without the filter's rows nothing is."""
+    seen, whole = [], exact_dedup.probe
+
+    def counted(rows, bits, bitmaps):
+        out = whole(rows, bits, bitmaps)
+        seen.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(exact_dedup, "probe", counted)
+    rows = [(i, f"text {i}") for i in range(500)] + [(1000 + i, f"text {i}") for i in range(20)]
+    got = exact_duplicates(docs(spark, rows)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == expected_exact(rows)
+    assert seen[0][0] == 520 and 40 <= seen[0][1] < 60
+
+
 def test_golay_covers_two_errors():
     v = np.arange(0, 1 << 23, 4099)
     row, key = golay.near(v)
@@ -190,5 +219,17 @@ def test_bpe_equals_the_library(spark):
     assert got == want
     assert encode_documents(docs(spark, []), path).count() == 0
     coder = WordBpe(path)
+    for n in (47, 48, 49, 200, 3000):  # beyond SCANNED a heap merges
+        for word in ("".join(rng.choices("aabcdest", k=n)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "ab" * (n // 2)):
+            assert np.frombuffer(coder.encode([word])[0][1], "<u4").tolist() == library.encode(word, add_special_tokens=False).ids
     for _, ids, decoded in coder.encode([t or "" for t in texts]):
         assert coder.decode(ids) == decoded
+
+
+def test_long_words_take_little_more_than_linear_time():
+    coder, rng = WordBpe(tokenizer_path()), random.Random(3)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    began = time.process_time()
+    ids = np.frombuffer(coder.encode([word])[0][1], "<u4").tolist()
+    assert time.process_time() - began < 30
+    assert ids == Tokenizer.from_file(tokenizer_path()).encode(word, add_special_tokens=False).ids
