@@ -87,6 +87,22 @@ def test_stages_keep_the_columns(spark, tables):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "BPE"]
 
 
+def test_decisions_are_by_row(spark, tables, tmp_path):
+    """One doc_id with several texts: each row is decided on its own. Rows that repeat doc_id and text leave one. Null ids stay."""
+    folder, _, items = tables
+    schema = spark.read.parquet(f"{folder}/documents.parquet").schema
+    long = " ".join(f"word{k}" for k in range(200))
+    rows = [(1, "only here", "en", "a", 9), (1, "Same text", "en", "a", 9), (2, "same text", "en", "a", 9), (3, items[3][1], "en", "a", 9), (3, "clean words", "en", "a", 9), (4, long, "en", "a", 9), (5, long + " more", "en", "a", 9), (5, "other words", "en", "a", 9), (6, "twice", "en", "b", 5), (6, "twice", "en", "a", 5), (None, "same text", "en", "a", 9)]
+    docs = spark.createDataFrame(rows, schema)
+    texts = lambda df: sorted(((r["doc_id"], r["text"], r["source"]) for r in df.collect()), key=str)
+    left = corpus_pipeline.exact_dedup(spark, docs, folder)
+    assert texts(left) == sorted([r[:2] + r[3:4] for r in rows if r[1] != "Same text" and r[3] != "b"], key=str) and left.schema == schema
+    left = corpus_pipeline.simhash_near_dedup(spark, docs, folder)
+    assert (5, "other words", "a") in texts(left) and (4, long, "a") in texts(left) and (5, long + " more", "a") not in texts(left)
+    left = corpus_pipeline.decontamination(spark, docs, folder)
+    assert [r[1] for r in rows if (r[0], r[1], r[3]) not in texts(left)] == [items[3][1]]
+
+
 def test_empty_documents(spark, tables, tmp_path):
     folder, _, _ = tables
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
