@@ -215,17 +215,19 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     return h[order], n[order]
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch, name: str) -> DataFrame:
-    """Links (u, v) of the pairs (a, b: hashes of texts; u, v: fingerprints) whose sets of shingles are similar. Only texts of pairs are shuffled."""
-    wanted = tmp.save(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), f"{name}wanted")
+def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch, name: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) of the pairs (a, b: hashes of texts; u, v: fingerprints) whose sets of shingles are similar, and the sets (c, s). Only texts of pairs whose sets aren't known are shuffled."""
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = tmp.save(wanted if known is None else wanted.join(known.select("c"), "c", "left_anti"), f"{name}wanted")
     texts = docs.select(F.xxhash64(text_col).alias("c"), F.col(text_col).alias("t")).join(wanted, "c", "left_semi").groupBy("c").agg(F.first("t").alias("t"))
     sets = tmp.save(texts.mapInArrow(_set, "c long, s array<long>"), f"{name}sets")
+    sets = sets if known is None else known.unionByName(sets)
     of = lambda k: sets.select(F.col("c").alias(k), F.col("s").alias(f"s{k}")).hint("merge")
     shared = F.size(F.array_intersect("sa", "sb"))
     good = pairs.join(of("b"), "b").join(of("a"), "a").where(SIMILAR[1] * shared >= SIMILAR[0] * (F.size("sa") + F.size("sb") - shared))
     links = tmp.save(good.select("u", "v").distinct(), f"{name}links")
-    tmp.drop(f"{name}wanted", f"{name}sets")
-    return links
+    tmp.drop(f"{name}wanted")
+    return links, sets
 
 
 def similar_links(keyed: DataFrame, links: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch) -> DataFrame:
@@ -247,7 +249,8 @@ def similar_links(keyed: DataFrame, links: DataFrame, docs: DataFrame, text_col:
 
     first = pairs(member.where("fp <> lo.fp"), "", "lo.").unionByName(pairs(member.where("fp <> hi.fp"), "", "hi."))
     first = tmp.save(first.distinct(), "first")
-    links = links.unionByName(similar_pairs(first, docs, text_col, tmp, "first"))
+    more, sets = similar_pairs(first, docs, text_col, tmp, "first")
+    links = links.unionByName(more)
     stars = tmp.save(connected_components(links, tmp, "joined").withColumnRenamed("node", "fp"), "joined")
     rooted = tmp.save(member.select("key", "c", "fp", "n").distinct().join(stars, "fp", "left").select("key", "c", "fp", "n", F.coalesce("root", "fp").alias("root")), "metroots")
     apart = rooted.groupBy("key").agg(F.min("root").alias("f"), F.max("root").alias("g")).where("f <> g").select("key")
@@ -256,7 +259,9 @@ def similar_links(keyed: DataFrame, links: DataFrame, docs: DataFrame, text_col:
     rest = pairs(x.join(y.hint("merge"), "key").where("xroot < yroot"), "x", "y").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     rest = tmp.save(rest, "rest")
     tmp.drop("met", "metroots", "still")
-    return links.unionByName(similar_pairs(rest, docs, text_col, tmp, "rest"))
+    more, _ = similar_pairs(rest, docs, text_col, tmp, "rest", sets)
+    tmp.drop("firstsets", "restsets")
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, similar: bool = False) -> DataFrame:
