@@ -308,11 +308,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
         return order[first], best
 
     for epoch in range(epochs):
-        chosen, _ = top()
         if epoch == 0:  # before the network tells windows apart, the largest log-odds do
             x = net.all_inputs(spelled)
             strength = np.append(np.maximum(x[:, 0], x[:, 2 * DIM]), -9)[windows].max(1)
             chosen = np.lexsort((-strength, of))[first]
+        else:
+            chosen, _ = top()
         other = first + (rng.random(len(docs)) * np.diff(np.append(first, len(of)))).astype(np.int64)
         pick = np.concatenate([chosen, other[y == 0]])
         target = np.concatenate([y, np.zeros(int((y == 0).sum()))])
