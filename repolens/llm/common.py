@@ -25,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where it is unset (tests on one machine), a temporary folder."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where it is unset and the executor runs in the driver (tests on one machine), a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = tempfile.mkdtemp(prefix="repolens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -36,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that lineage ends at files that survive the loss of executors.
 
-    Used as a context manager: on exit, tables that weren't made with keep=True are deleted.
+    Used as a context manager: on exit, tables that weren't made with keep=True are deleted. Kept ones, which lazy results read, are deleted when the application's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -64,13 +67,15 @@ class Scratch:
         if not any(self.made.values()):
             self._delete(self.root)
             return
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
         for path, keep in self.made.items():
             if not keep:
                 self._delete(path)
 
 
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
-    """Send the package to executors, and bound what one Arrow batch holds, as texts may be long; a smaller setting of the session stays."""
+    """Send the package to executors, and bound what one Arrow batch holds, as texts may be long; a smaller setting of the session stays. The bound isn't taken back, as results are lazy and run under the session's settings of that time."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
