@@ -1,6 +1,6 @@
 """Personal data by candidate gradient boosting, in DataFrame operations only.
 
-Base spans (e-mail and IP addresses, card and phone numbers in their plain forms) always stay. Generators of high recall propose further spans: obfuscated addresses, numbers without a country code, cards with other separators, IPv6. Boosted trees over format and context features score these; those above a threshold calibrated for each kind are added, unless they overlap a base span or an added one of higher score.
+Base spans (e-mail and IP addresses, card and phone numbers in their plain forms) always stay. Generators of high recall propose further spans: obfuscated addresses, numbers without a country code, cards with other separators, IPv6. Boosted trees over format and context features score these; those above a threshold calibrated for each kind are added, from the highest score on, unless they overlap a base span or one added before. Spans are placed and chosen in time that grows with a text's length, up to the square root of its matches.
 
 No table holds labels of such spans. The trees are trained on synthetic examples (examples()): formats in sentences against numbers that look alike (dates, versions, order numbers, prices). Their features come from the same Column expressions that run over documents. Trees and thresholds are part of the plan.
 """
@@ -26,9 +26,10 @@ BASE = {
 }
 #: Generators: kind, pattern, and a cheap pattern without which a text has no match.
 GENERATORS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{dot\}|\.) ?[A-Za-z0-9-]++)++", r"(?i)[(\[{]at[)\]}]"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++", r" at [A-Za-z0-9-]+ dot "),
+    ("email", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[(\[{] ?at ?[)\]}] ?[a-z0-9-]++(?: ?(?:[(\[{] ?dot ?[)\]}]|\.) ?[a-z0-9-]++)++", r"(?i)[(\[{] ?at ?[)\]}]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ (?:at|AT) [A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)++", r" (?:at|AT) [A-Za-z0-9-]+ (?:dot|DOT) "),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"),
+    ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}+)?(?![0-9A-Za-z:])", r"[0-9A-Fa-f]::"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| \. )[0-9]{1,3}){3}(?![0-9])", r"[0-9] ?[\[( ]\.[\]) ]"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[./_ -]{1,3}[0-9]{4}){3}(?![0-9])", r"[0-9]{4}[./_ -]{1,3}[0-9]{4}[./_ -]"),
     ("phone", r"(?<![0-9+.])(?:\([0-9]{2,5}\)|00[0-9]{1,3}|[0-9]{2,5})[ ./-]{1,2}[0-9]{2,5}(?:[ ./-][0-9]{2,5}){1,4}(?![0-9])", r"[0-9)][ ./-]{1,2}[0-9]{2}"),
@@ -51,6 +52,28 @@ def _empty(kind: str) -> Column:
 SPAN = "struct<s:int,e:int,m:string,b:string,a:string>"
 
 
+def scan(items: Column, start: Column, step, out: str) -> Column:
+    """An output (of type out) of each item of an array: step(state, item) -> struct(state, out), from left to right.
+
+    An aggregate that appends to an array copies it each time. So items go in blocks of about the square root of their number: outputs are appended to a block's array, and blocks to an array of blocks.
+    """
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda k: F.slice(items, k * size + 1, size))
+    none = F.array().cast(f"array<{out}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        both = F.transform(F.array(step(acc["state"], x)), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+        return both[0]
+
+    def block(acc: Column, items: Column) -> Column:
+        # The block before is put away while this one is made from its last state.
+        new = F.aggregate(items, F.struct(acc["now"]["state"].alias("state"), none.alias("outs")), one)
+        return F.struct(new.alias("now"), F.concat(acc["blocks"], F.array(acc["now"]["outs"])).alias("blocks"))
+
+    first = F.struct(F.struct(start.alias("state"), none.alias("outs")).alias("now"), F.array().cast(f"array<array<{out}>>").alias("blocks"))
+    return F.when(F.size(items) > 0, F.aggregate(blocks, first, block, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["now"]["outs"]))))).otherwise(none)
+
+
 def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """Leftmost non-overlapping matches with what stands around them: s, e (code points), m, b (24 characters before), a (8 after). The pieces between matches give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -58,20 +81,24 @@ def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
         found = F.when(guard, found).otherwise(_empty("string"))
 
     def placed(m: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), _empty(SPAN).alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + F.char_length(x["p"])
+        def step(at: Column, x: Column) -> Column:
+            s = at + F.char_length(x["p"])
             e = s + F.char_length(x["m"])
             span = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(24)).alias("b"), F.left(x["n"], F.lit(8)).alias("a"))
-            return F.struct(e.alias("at"), x["m"].alias("last"), F.concat(acc["out"], F.array(span)).alias("out"))
+            return F.struct(e.alias("state"), span.alias("out"))
+
+        # One pass sees pieces and matches once: (piece before, match, piece after).
+        def rows(pieces: Column) -> Column:
+            return F.zip_with(F.arrays_zip(F.slice(pieces, 1, F.size(m)).alias("p"), m.alias("m")), F.slice(pieces, 2, F.size(m)), lambda x, n: F.struct(x["p"].alias("p"), x["m"].alias("m"), n.alias("n")))
 
-        # One aggregate sees pieces and matches once: (piece before, match, piece after).
-        rows = F.zip_with(F.arrays_zip(F.slice(pieces, 1, F.size(m)).alias("p"), m.alias("m")), F.slice(pieces, 2, F.size(m)), lambda x, n: F.struct(x["p"].alias("p"), x["m"].alias("m"), n.alias("n")))
-        return F.aggregate(rows, start, step, lambda acc: acc["out"])
+        return scan_once(rows(F.split(text, pattern, -1)), F.lit(0), step, SPAN)
 
-    return F.when(F.size(found) > 0, placed(found)).otherwise(_empty(SPAN))
+    return F.when(F.size(found) > 0, F.transform(F.array(found), placed)[0]).otherwise(_empty(SPAN))
+
+
+def scan_once(items: Column, start: Column, step, out: str) -> Column:
+    """scan() of an array that is computed once: a variable of a lambda stands for it."""
+    return F.transform(F.array(items), lambda x: scan(x, start, step, out))[0]
 
 
 def digits(m: Column) -> Column:
@@ -123,7 +150,7 @@ def features(kind: str, x: Column) -> list[Column]:
         F.coalesce(F.array_max(F.transform(groups, lambda g: F.char_length(g))), F.lit(0)),
         yes(m.rlike(r"(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)") & m.rlike(r"^[0-9]{1,4}[-./ ][0-9]{1,2}[-./ ][0-9]{1,4}")),
         yes(m.rlike(r"(?i)(?:com|org|net|edu|gov|io|info|co|uk|de|fr|es|it|eu)$")),
-        yes(m.rlike(r"(?i)[(\[{](?:at|dot)[)\]}]|[\[(]\.[\])]")),
+        yes(m.rlike(r"(?i)[(\[{] ?(?:at|dot) ?[)\]}]|[\[(]\.[\])]|::")),
         yes(m.rlike(r"^(?:00|\()")),
         F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("[ ./_-]"), F.lit(0)))),
     ]
@@ -147,12 +174,15 @@ def examples(n: int = 200, seed: int = 17) -> list[tuple[str, str, str, str, int
 
     reach, odd = ["mail me", "contact", "write to", "reach"], ["order no", "invoice", "version", "date", "ref", "total", "page", "serial", "isbn", "section"]
     for _ in range(n):
-        at, dot = rng.choice([("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", ".")])
+        at, dot = rng.choice([("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", "."), ("(At)", "."), (" ( at ) ", " ( dot ) "), ("{AT}", "{DOT}")])
         add("email", reach, f"{word()}.{word()}{at}{word()}{dot}{rng.choice(['com', 'org', 'net', 'de', 'fr'])}", 1)
-        add("email", reach, f"{word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}", 1)
+        add("email", reach, f"{word()} {(how := rng.choice([str, str, str.upper]))('at')} {word()} {how('dot')} {rng.choice(['com', 'org', 'net'])}", 1)
         add("email", ["stay", "look", "arrive"], f"{word()} at {word()} dot {word()}", 0)
         add("email", ["see", "note"], f"{word()} (at) {word()}. {word()}", 0)
         add("ip", ["ip", "host", "server"], ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8)), 1)
+        part = lambda k: ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(k))
+        add("ip", ["ip", "host", "server"], rng.choice([f"{part(rng.randint(1, 4))}::{part(rng.randint(1, 3))}", f"{part(rng.randint(1, 4))}::"]), 1)
+        add("ip", ["see", "call"], f"{rng.choice(['add', 'Face', 'be', 'cafe', 'a', 'dad'])}::{rng.choice(['add', 'bed', 'fade', 'c', ''])}", 0)
         add("ip", ["ip", "host", "server"], rng.choice(["[.]", "(.)"]).join(str(rng.randrange(256)) for _ in range(4)), 1)
         add("ip", odd, " . ".join(str(rng.randrange(999)) for _ in range(4)), 0)
         add("ip", odd, ":".join(number(2) for _ in range(8)), 0)
@@ -184,6 +214,32 @@ def train(spark: SparkSession, precision: float = 0.98, seed: int = 17) -> tuple
 
 
 ADDED = "struct<s:int,e:int,k:int,score:double>"
+PLACE = "struct<s:int,k:int,e:int>"
+
+
+def chosen(base: Column, proposed: Column) -> Column:
+    """All base spans, and of the proposed ones those that meet neither a base span nor an added one of higher score (of equal scores: that sorts before), taken in this order. Spans (s, k, e) in no order.
+
+    Spans in order of their starts fall into clusters: a new one begins where a span meets none before it. Only spans of a cluster are held against each other.
+    """
+    rank = lambda x, is_base, score: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), F.lit(is_base).alias("base"), score.alias("score"))
+    spans = F.array_sort(F.concat(F.transform(base, lambda x: rank(x, True, F.lit(0.0))), F.transform(proposed, lambda x: rank(x, False, x["score"]))))
+    begins = lambda end, x: F.struct(F.greatest(end, x["e"]).alias("state"), (x["s"] >= end).alias("out"))
+
+    def greedy(cluster: Column) -> Column:
+        order = F.array_sort(F.transform(cluster, lambda x: F.struct((~x["base"]).alias("o"), (-x["score"]).alias("p"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+        free = lambda acc, x: ~F.exists(acc, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+        place = lambda x: F.array(F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+        return F.aggregate(order, _empty(PLACE), lambda acc, x: F.when(~x["o"] | free(acc, x), F.concat(acc, place(x))).otherwise(acc))
+
+    def clusters(spans: Column) -> Column:
+        marks = scan_once(spans, F.lit(-1), begins, "boolean")
+        starts = F.filter(F.transform(marks, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+        return F.transform(F.array(starts), lambda at: F.transform(at, lambda i, j: F.slice(spans, i + 1, F.coalesce(F.get(at, j + 1), F.size(spans)) - i)))[0]
+
+    places = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    swept = F.transform(F.array(spans), lambda x: F.flatten(F.transform(clusters(x), greedy)))[0]
+    return F.when(F.size(proposed) > 0, swept).otherwise(places(base))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98) -> DataFrame:
@@ -202,12 +258,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = F.transform(matches(F.col("t"), pattern, F.col("t").rlike(guard)), scored(kind))
         proposed.append(F.filter(found, passes(kind)).cast(f"array<{ADDED}>"))
     rows = rows.select("id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.concat(*(F.transform(k, place(k)) for k in KINDS)).alias("base"), F.concat(*proposed).alias("proposed"))
-    meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
-    better = lambda y, x: (y["score"] > x["score"]) | ((y["score"] == x["score"]) & (F.struct(y["s"], y["k"], y["e"]) < F.struct(x["s"], x["k"], x["e"])))
-    free = F.filter("proposed", lambda x: ~F.exists("base", lambda y: meets(x, y)))
-    rows = rows.withColumn("free", free)
-    added = F.filter("free", lambda x: ~F.exists("free", lambda y: meets(x, y) & better(y, x)))
-    rows = rows.withColumn("added", F.transform(added, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+    rows = rows.select("id", *(f"n_{k}" for k in KINDS), "base", chosen(F.col("base"), F.col("proposed")).alias("all"))
     names = F.array(*map(F.lit, KINDS))
     text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    return rows.select(F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.array_distinct(F.concat("base", "added"))).alias("spans"))
+    return rows.select(F.col("id").alias(id_col), *(f"n_{k}" for k in KINDS), F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.col("all")).alias("spans"))

@@ -199,6 +199,38 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == 0
 
 
+def test_chosen_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(0, [], []), (1, [(0, 5, 0)], []), (2, [], [(0, 4, 1, 0.9), (3, 8, 3, 0.5), (7, 9, 1, 0.1)]), (3, [(2, 3, 0), (2, 6, 3)], [(0, 2, 1, 0.5), (5, 7, 1, 0.5), (0, 2, 1, 0.5)])]
+    for i in range(4, 60):
+        span = lambda: (a := rng.randrange(120), a + rng.randint(1, 12), rng.randrange(4))
+        rows.append((i, [span() for _ in range(rng.randint(0, 4))], [(*span(), rng.choice([0.1, 0.2, 0.5])) for _ in range(rng.randint(0, 40))]))
+    table = spark.createDataFrame(rows, "id int, base array<struct<s:int,e:int,k:int>>, proposed array<struct<s:int,e:int,k:int,score:double>>")
+    got = {r["id"]: sorted((x["s"], x["e"], x["k"]) for x in r["all"]) for r in table.select("id", pii.chosen(F.col("base"), F.col("proposed")).alias("all")).collect()}
+    for i, base, proposed in rows:
+        taken = list(base)
+        for s, e, k, _ in sorted(proposed, key=lambda x: (-x[3], x[0], x[2], x[1])):
+            if not any(s < y[1] and y[0] < e for y in taken):
+                taken.append((s, e, k))
+        assert got[i] == sorted(taken), i
+    assert got[2] == [(0, 4, 1), (7, 9, 1)]
+
+
+def test_many_spans_in_one_text(spark):
+    """Base spans of 20,000 numbers, as Python's re finds them."""
+    text = " ".join(f"+49 30 {k:08d}{',' * (k % 3)}" if k % 2 else f"call 555-{k % 1000:03d}-{k % 10000:04d} now" for k in range(20_000))
+    r = pii.find_personal_data(docs(spark, [(1, text, None)])).first()
+    base = plain_base(text)
+    assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and r["n_phone"] == 10_000
+    assert len(r["spans"].split(",")) == len(base) + 10_000
+
+
+def test_proposed_forms(spark):
+    texts = ["mail bob (At) foo.com", "bob ( at ) foo ( dot ) org", "X AT foo DOT com", "from fe80::1", "host 2001:db8::ff00:42", "use std::add", "Face::bed"]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(7)] == ["email:5:21", "email:0:26", "email:0:16", "ip:5:12", "ip:5:22", "", ""]
+
+
 def test_boosted_trees_agree_as_columns(spark):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 6, (400, 3)).astype(float)
