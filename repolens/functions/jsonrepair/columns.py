@@ -35,7 +35,9 @@ def repaired(df: DataFrame, text: str, out: str = "repaired", schema: DataType |
     """df with struct(json, repairs, steps, mutated, error) of a text column. Without a schema, texts that parse strictly are passed on as they are. A null text is an error."""
     ship(df.sparkSession)
     c = F.col(text)
-    good = F.lit(False) if schema is not None else F.coalesce(F.try_parse_json(c).isNotNull() & F.ltrim(c).rlike(r"^\s*[{\[]"), F.lit(False))
+    # The JVM's parser stops after the first value, so the text stands within an object whose last property must be reached.
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"text":'), c, F.lit(',"_end_of_text":true}'))), "$._end_of_text", "boolean")
+    good = F.lit(False) if schema is not None else F.coalesce(whole & F.ltrim(c).rlike(r"^\s*[{\[]"), F.lit(False))
     fine = F.struct(c.alias("json"), F.array().cast("array<string>").alias("repairs"), F.array().cast("array<string>").alias("steps"), F.lit(False).alias("mutated"), F.lit(None).cast("string").alias("error"))
     rest = _udf(schema)(F.when(~good, F.coalesce(c, F.lit(""))))
     return df.withColumn(out, F.when(good, fine).otherwise(rest))

@@ -92,8 +92,8 @@ def extract(text: str) -> tuple[str, list[str]]:
 def strip_comments(text: str) -> tuple[str, list[str]]:
     out, at, n = [], 0, len(text)
     while at < n:
-        m = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*.*?\*/|[^"/]+|.', re.S).match(text, at)
-        if not (m[0].startswith("//") or m[0].startswith("/*") and len(m[0]) > 3):
+        m = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*.*?\*/|<!--.*?-->|[^"/<]+|.', re.S).match(text, at)
+        if not (m[0].startswith("//") or m[0].startswith(("/*", "<!--")) and len(m[0]) > 3):
             out.append(m[0])
         at = m.end()
     got = "".join(out)
@@ -139,6 +139,10 @@ SURFACE: tuple[Phase, ...] = (
 )
 
 
+#: Properties, their quotes escaped, over several lines of a string: the reader parts them from it.
+LEAKED = re.compile(r'[^\\]\\"\s*,[ \t]*\n\s*\\"[A-Za-z]\w*\\"\s*:')
+
+
 def parse(text: str | None) -> Result:
     """Data of a text. Empty texts and texts without any brace or bracket are errors."""
     out = Result()
@@ -157,6 +161,8 @@ def parse(text: str | None) -> Result:
     except (ValueError, RecursionError):
         pass
     for phases in (STRUCTURE, SURFACE):
+        if phases is SURFACE and LEAKED.search(text):
+            break
         trial, repairs, steps = text, [], []
         for name, phase in phases:
             changed, notes = phase(trial)

@@ -6,6 +6,9 @@ It reads the grammar of JSON and, wherever the text departs from it, makes the l
 from __future__ import annotations
 
 import re
+import sys
+import threading
+from collections.abc import Callable
 
 from .words import ARTIFACT_KEY, BULLETS, CLOSING_QUOTES, FILLER, FRAGMENTS, OPENING_QUOTES
 
@@ -19,7 +22,9 @@ TOKEN = re.compile(r"<(?:\|?/?[\w:=]+\|?)>|\[/?(?:EOS|PAD|UNK|CLS|SEP|MASK|BOS|I
 EMBEDDED = re.compile(r'\\"\s*,\s*(?:\\n\s*)*\\"[A-Za-z]\w*\\"\s*:')
 AHEAD = 400
 NEXT_KEY = re.compile(r"\s*[\"'“”]?[A-Za-z_$][\w$ .\-]{0,80}[\"'“”]\s*:")
-DEEPEST = 500
+#: Open structures, beyond which a text is no data.
+DEEPEST = 5000
+STACK = 256 << 20
 
 MISSING = object()
 
@@ -28,6 +33,35 @@ class Hopeless(ValueError):
     pass
 
 
+#: Openers up to which Python's own stack will do.
+SHALLOW = 200
+
+
+def deeply(work: Callable[[], object]) -> object:
+    """What work returns, on a thread whose stack is large enough for DEEPEST open structures."""
+    got: list[object] = []
+    wrong: list[BaseException] = []
+
+    def run() -> None:
+        try:
+            got.append(work())
+        except Exception as e:  # noqa: BLE001  raised again by the caller's thread
+            wrong.append(e)
+
+    limit, size = sys.getrecursionlimit(), threading.stack_size(STACK)
+    try:
+        sys.setrecursionlimit(max(limit, 8 * DEEPEST))
+        thread = threading.Thread(target=run)
+        thread.start()
+        thread.join()
+    finally:
+        sys.setrecursionlimit(limit)
+        threading.stack_size(size)
+    if wrong:
+        raise wrong[0]
+    return got[0]
+
+
 class Reader:
     def __init__(self, text: str):
         self.text, self.n, self.at = text, len(text), 0
@@ -60,6 +94,10 @@ class Reader:
                 end = self.text.find("*/", self.at)
                 self.at = self.n if end < 0 else end + 2
                 self.note("Removed comments")
+            elif c == "<" and self.text.startswith("<!--", self.at):
+                end = self.text.find("-->", self.at)
+                self.at = self.n if end < 0 else end + 3
+                self.note("Removed comments")
             else:
                 return
 
@@ -102,6 +140,12 @@ class Reader:
             return self.object()
         if c == "[":
             return self.array()
+        if c == '"' and re.compile(r"\"\[\s*\"").match(self.text, self.at):  # an array in the place of a string
+            self.at += 1
+            got = self.array()
+            self.at += self.peek() == '"'
+            self.note("Removed quotes around an array")
+            return got
         if c and (c in OPENING_QUOTES or c in CLOSING_QUOTES or c == "'" or c == "`"):
             if m := re.compile(r"\"[\w$]+\"\s*:\s*(?=[\"{\[\d])").match(self.text, self.at):
                 if self.open and self.open[-1] == "object":  # the property's name once more
@@ -274,6 +318,10 @@ class Reader:
             return True
         between = self.text[at : at + AHEAD]
         stripped = between.lstrip()
+        if stripped.startswith("<!--"):
+            return True
+        if self.open and self.open[-1] == "array" and re.match(r"[^\s\",\[\]{}:]+\s*,\s*\"", stripped):
+            return True  # one stray word, then the next element
         if "\n" in between[: len(between) - len(stripped)]:
             return True
         if stripped[0] in "\"“" or stripped[0] == "+" or stripped[0] == "/":
@@ -386,6 +434,9 @@ class Reader:
             if c == "}":
                 self.at += 1
                 break
+            if c == "{" and out and len(self.open) > 1 and self.open[-2] == "array":
+                self.note("Added missing closing brace")
+                break
             if c == "]":
                 if len(self.open) < 2 or self.open[-2] != "array":
                     self.at += 1
@@ -504,6 +555,10 @@ class Reader:
             self.at = m.end()
             self.note("Removed truncation marks")
             return True
+        if m := re.compile(r"[^\x00-\x7f“”„]+(?=\"[^\"\n]*\"\s*(?:[,\]:}\n]|$))").match(text, at):
+            self.at = m.end()
+            self.note("Removed stray text before value")
+            return True
         if c in OPENING_QUOTES or c in "'`{[\\" or c in CLOSING_QUOTES:
             return False
         m = WORD.match(text, at)
@@ -555,12 +610,17 @@ class Reader:
         """A property's name, with quotes or without; None if there is none."""
         c = self.peek()
         if c in OPENING_QUOTES or c in "'`" or c in CLOSING_QUOTES:
-            m = re.compile(r"[\"“”'`]([^\"“”\n\\]*)[\"“”'`](?=\s*[:=])").match(self.text, self.at)
+            m = c == "'" and re.compile(r"'([^'\"\n\\]*)'(?=\s*[:=])").match(self.text, self.at)
+            m = m or re.compile(r"[\"“”'`]([^\"“”\n\\]*)[\"“”'`](?=\s*[:=])").match(self.text, self.at)
             if m:
                 self.at = m.end()
                 if c != '"':
                     self.note("Normalised quotes")
                 return self.clean_key(m[1])
+            if m := re.compile(r"\"([A-Za-z_$][\w$\-]*)\s*:\s*\"\s*(?=[\[{\d]|-\d|true\b|false\b|null\b|\"[^\"\n]*\"\s*[,}\n])").match(self.text, self.at):
+                self.at = m.end()  # "name:" value has the colon within the quotes
+                self.note("Moved the colon out of a property name")
+                return self.clean_key(m[1])
             if m := re.compile(r"\"([A-Za-z_$][\w$\-]*)\s*:\s*(?=[\"{\[\d]|true|false|null)").match(self.text, self.at):
                 self.at = m.end(1)  # "name: "value" lacks the closing quote
                 self.note("Added missing quote of property name")
@@ -638,7 +698,7 @@ class Reader:
 def read(text: str) -> tuple[object, list[str]]:
     """The value that a text holds, and the repairs that were made."""
     reader = Reader(text)
-    got = reader.document()
+    got = deeply(reader.document) if text.count("{") + text.count("[") > SHALLOW else reader.document()
     if got is MISSING or not isinstance(got, dict | list):
         raise Hopeless("no object or array")
     return got, reader.repairs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -11,24 +11,27 @@ from ..functions import vocab as V
 def token_batches(items: DataFrame, group: str, order: list[str], text: str, max_tokens: int, ratio: float = V.BATCH_RATIO, chars_per_token: float = V.CHARS_PER_TOKEN) -> DataFrame:
     """Next-fit batches of a group's texts in order: group, batch, item (0, 1, ...), text.
 
-    A batch takes texts while their tokens fit into max_tokens * ratio; a longer text is cut to fit a batch of its own. The order makes this a fold: it runs over the lengths of a group's texts, in the JVM, and its state is the start of each batch. Groups run in parallel; a group's lengths are in one task.
+    A batch takes texts while their tokens fit into max_tokens * ratio; a longer text is cut to fit a batch of its own. The order makes this a fold: it runs over the lengths of a group's texts, in the JVM, and its state is the start of each batch. Groups run in parallel; a group's places and lengths are in one task, its texts are joined to them afterwards.
     """
     limit = max_tokens * ratio
     most = int(limit * chars_per_token)
-    rows = items.where(F.col(text).isNotNull()).select(group, F.struct(*order).alias("ord"), F.col(text).alias("text"))
-    tokens = F.when(F.char_length("text") / chars_per_token > limit, F.lit(float(limit))).otherwise(F.char_length("text") / chars_per_token)
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("ord", tokens.alias("n"), F.when(F.char_length("text") / chars_per_token > limit, F.substring("text", 1, most)).otherwise(F.col("text")).alias("text")))).alias("items"))
+    cut = F.when(F.char_length(text) / chars_per_token > limit, F.substring(text, 1, most)).otherwise(F.col(text))
+    # Texts that share a place are told apart by their rank there.
+    rows = items.where(F.col(text).isNotNull()).select(F.col(group).alias("_g"), F.struct(*order).alias("_o"), cut.alias("_t"), F.least(F.char_length(text) / chars_per_token, F.lit(float(limit))).alias("_n"))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_g", "_o").orderBy("_t")))
+    lists = rows.groupBy("_g").agg(F.sort_array(F.collect_list(F.struct("_o", "_k", "_n"))).alias("places"))
     start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("used"), F.array(F.lit(0)).alias("starts"))
 
     def fold(acc, x):
-        new = (acc["used"] + x["n"] > limit) & (acc["at"] > F.element_at(acc["starts"], -1))
-        return F.struct((acc["at"] + 1).alias("at"), F.when(new, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), F.when(new, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"))
-
-    starts = lists.withColumn("starts", F.aggregate("items", start, fold, lambda acc: acc["starts"]))
-    batches = starts.select(group, "items", F.posexplode("starts").alias("batch", "from"), F.col("starts"))
-    end = F.coalesce(F.get("starts", F.col("batch") + 1), F.size("items"))
-    cut = batches.select(group, "batch", F.slice("items", F.col("from") + 1, end - F.col("from")).alias("items"))
-    return cut.select(group, "batch", F.posexplode("items").alias("item", "x")).select(group, "batch", "item", F.col("x.text").alias("text"))
+        new = (acc["used"] + x["_n"] > limit) & (acc["at"] > F.element_at(acc["starts"], -1))
+        return F.struct((acc["at"] + 1).alias("at"), F.when(new, x["_n"]).otherwise(acc["used"] + x["_n"]).alias("used"), F.when(new, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"))
+
+    starts = lists.withColumn("starts", F.aggregate("places", start, fold, lambda acc: acc["starts"]))
+    batches = starts.select("_g", "places", F.posexplode("starts").alias("batch", "from"), F.col("starts"))
+    end = F.coalesce(F.get("starts", F.col("batch") + 1), F.size("places"))
+    places = batches.select("_g", "batch", F.posexplode(F.slice("places", F.col("from") + 1, end - F.col("from"))).alias("item", "x")).select(F.col("_g").alias("_h"), "batch", "item", F.col("x._o").alias("_p"), F.col("x._k").alias("_l"))
+    both = rows.join(places, F.col("_g").eqNullSafe(F.col("_h")) & F.col("_o").eqNullSafe(F.col("_p")) & (F.col("_k") == F.col("_l")))
+    return both.select(F.col("_g").alias(group), "batch", "item", F.col("_t").alias("text"))
 
 
 def strategies(batches: DataFrame, group: str) -> DataFrame:

@@ -44,6 +44,8 @@ class Outcome:
 
 
 Model = Callable[[str, str], Response]
+#: Looks at a response, and gives it back, or another one in its place.
+Check = Callable[[Response], Response]
 
 
 def candidates(chain: Sequence[Candidate], start: int = 0) -> list[Candidate]:
@@ -66,30 +68,33 @@ def crop(prompt: str, response: Response, most_completion: int) -> str:
     return prompt[: int(len(prompt) * ratio)]
 
 
-def attempt(model: Model, prompt: str, name: str, events: list[str], retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> Response | None:
-    """Up to ATTEMPTS calls while the model is overloaded (or its answer invalid), with growing random pauses; the last response if none is better, None if the model raised."""
+def attempt(model: Model, prompt: str, name: str, events: list[str], retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None, check: Check | None = None) -> Response | None:
+    """Up to ATTEMPTS calls while the model is overloaded, its answer invalid (as it says, or as check finds) or it raises, with growing random pauses. The last response if none is better, also where later calls raised; None if there was no response at all. A TypeError is a mistake in the model's code, and isn't retried."""
     rng, last = rng or random.Random(), None
     for k in range(V.ATTEMPTS):
         try:
-            last = model(prompt, name)
-        except Exception:  # noqa: BLE001  an unexpected failure isn't retried
+            last = check(model(prompt, name)) if check else model(prompt, name)
+        except TypeError:
             return last
-        if last.status == OVERLOADED:
-            events.append("OVERLOAD_RETRY")
-        elif last.status == INVALID and retry_invalid:
-            events.append("HOPEFUL_RETRY")
+        except Exception:  # noqa: BLE001  whatever it is, the next call may do better
+            pass
         else:
-            return last
+            if last.status == OVERLOADED:
+                events.append("OVERLOAD_RETRY")
+            elif last.status == INVALID and retry_invalid:
+                events.append("HOPEFUL_RETRY")
+            else:
+                return last
         if k + 1 < V.ATTEMPTS:
             sleep(min(V.MOST_DELAY_S, V.LEAST_DELAY_S * 2**k * (1 + rng.random())))
     return last
 
 
-def complete(model: Model, prompt: str, chain: Sequence[Candidate], retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep) -> Outcome:
+def complete(model: Model, prompt: str, chain: Sequence[Candidate], retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep, check: Check | None = None) -> Outcome:
     """The first completed answer of the chain. An error ends it. A prompt that is too long goes to the next model, and is cropped where there is none, as long as that makes it shorter."""
     out, k = Outcome(), 0
     while k < len(chain):
-        response = attempt(model, prompt, chain[k].name, out.events, retry_invalid, sleep)
+        response = attempt(model, prompt, chain[k].name, out.events, retry_invalid, sleep, check=check)
         if response and response.status == COMPLETED:
             out.events.append("SUCCESS")
             out.text, out.model = response.text, chain[k].name
@@ -113,13 +118,13 @@ def complete(model: Model, prompt: str, chain: Sequence[Candidate], retry_invali
     return out
 
 
-def map_prompts(prompts: DataFrame, model: Model, chain: Sequence[Candidate], prompt: str = "prompt", concurrency: int = V.CONCURRENCY, retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def map_prompts(prompts: DataFrame, model: Model, chain: Sequence[Candidate], prompt: str = "prompt", concurrency: int = V.CONCURRENCY, retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep, check: Check | None = None) -> DataFrame:
     """prompts with answer, model and events; calls run in as many tasks as concurrency allows, one at a time in each."""
     ship(prompts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [complete(model, p, chain, retry_invalid, sleep) for p in batch[prompt]]
+            done = [complete(model, p, chain, retry_invalid, sleep, check) for p in batch[prompt]]
             yield batch.assign(answer=[d.text for d in done], model=[d.model for d in done], events=[d.events for d in done])
 
     schema = ", ".join([*(f"`{n}` {t}" for n, t in prompts.dtypes), "answer string", "model string", "events array<string>"])

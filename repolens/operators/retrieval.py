@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +14,9 @@ from ..functions import scalars as X
 from ..functions import vocab as V
 from .select import of_project
 
+#: Queries that a task holds at a time: some MB of vectors.
+QUERIES_AT_ONCE = 5000
+
 NO_ANSWER = "Unable to answer question because no relevant code was found"
 
 
@@ -29,7 +33,15 @@ def nearest(rows: DataFrame, query: Sequence[float], vector: str = "contentVecto
 
 
 def nearest_of_many(rows: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, k: int = V.SEARCH_RESULTS) -> DataFrame:
-    """For each query (query_key, vector; a small stated set, sent to all tasks) its k nearest rows. The rank limit reaches below the shuffle: each task keeps its k best of each query."""
+    """For each query (query_key, vector) its k nearest rows. Queries are a stated set: they are counted, and go to all tasks in blocks of about QUERIES_AT_ONCE. The rank limit reaches below the shuffle: each task keeps its k best of each query."""
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    if blocks > 1:
+        block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
+        return reduce(DataFrame.unionByName, (_nearest_of_block(rows, queries.where(block == b), vector, key, query_key, k) for b in range(blocks)))
+    return _nearest_of_block(rows, queries, vector, key, query_key, k)
+
+
+def _nearest_of_block(rows: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, k: int) -> DataFrame:
     pairs = rows.select(key, F.col(vector).alias("_v")).join(F.broadcast(queries.select(query_key, F.col(vector).alias("_q"))))
     pairs = pairs.select(query_key, F.struct(euclidean(F.col("_v"), F.col("_q")).alias("distance"), F.col(key)).alias("hit")).where("hit.distance is not null")
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("hit"))

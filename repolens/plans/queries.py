@@ -5,10 +5,12 @@ The tables hold no nested records, so each query first folds rows into source fi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars as X
 from ..functions import vocab as V
@@ -18,12 +20,14 @@ from ..operators import batching as B
 from ..operators import graphs as G
 from ..operators import nested as N
 from ..operators import providers as P
+from ..operators import responses
 from ..operators import retrieval as R
 from ..operators import select as S
 from ..operators import windows as W
 from ..sources import ingest as I
 from ..sources import store
 from . import report as O
+from .json_forms import FORMS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -666,15 +670,42 @@ def json_fast_path(spark, sf_dir):
 BROKEN = ['{"k": %d,}', "```json\n{\"k\": %d}\n```", "Here it is: {'k': %d} I hope it helps", '{k: %d, "extra_text": "x"}', '{"k": %d /* c */, // d\n}', '{"k" %d', '{"k": %d]', '{“k”: %d', '{* "k": %d', '{"k": %d, "l": [1, 2}']
 
 
-@query(f"SELECT event_id, event_id % 1000 AS k, event_id % 10 <> 1 AS mutated FROM events WHERE event_id % {len(BROKEN)} <> 5")
+@query(f"SELECT event_id, event_id % 1000 AS k, event_id % 10 <> 1 AS mutated FROM events")
 def json_repair(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where(F.col("event_id") % len(BROKEN) != 5).select("event_id")
+    e = table(spark, sf_dir, "events").select("event_id")
     texts = [F.replace(F.lit(b.replace("%d", "%%")), F.lit("%%"), (F.col("event_id") % 1000).cast("string")) for b in BROKEN]
     broken = e.withColumn("t", F.get(F.array(*texts), (F.col("event_id") % len(BROKEN)).cast("int")))
     got = J.repaired(broken, "t")
     return got.select("event_id", F.get_json_object("repaired.json", "$.k").cast("long").alias("k"), F.coalesce("repaired.mutated", F.lit(False)).alias("mutated"))
 
 
+@query(f"SELECT v.kind, n_nationkey AS n, replace(v.json, '%d', CAST(n_nationkey AS VARCHAR)) AS json FROM nation, {values([(kind, json.dumps(json.loads(whole.replace('%d', chr(34) + '%d' + chr(34))), ensure_ascii=False).replace(chr(34) + '%d' + chr(34), '%d')) for kind, _, whole in FORMS], 'kind, json')}")
+def json_forms(spark, sf_dir):
+    """Each kind of damage, with the key of each nation as its number."""
+    forms = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(broken).alias("broken")) for kind, broken, _ in FORMS)))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), forms.alias("f"))
+    texts = n.select("f.kind", "n", F.replace("f.broken", F.lit("%d"), F.col("n").cast("string")).alias("t"))
+    return J.repaired(texts, "t").select("kind", "n", F.col("repaired.json").alias("json"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 'INVALID' ELSE 'COMPLETED' END AS text_status, CASE WHEN event_id % 5 IN (2, 4) THEN 'COMPLETED' ELSE 'INVALID' END AS json_status, CASE WHEN event_id % 5 IN (2, 4) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events""")
+def response_gate(spark, sf_dir):
+    """Answers that are missing, blank, JSON, plain text and JSON that needs repair, held against the gate of both formats."""
+    case = F.col("event_id") % 5
+    content = F.when(case == 1, " \n\t ").when(case == 2, F.col("props")).when(case == 3, F.col("event_type")).when(case == 4, F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
+    e = table(spark, sf_dir, "events").select("event_id", content.alias("content"))
+    of_text = responses.gated(e, "content").select("event_id", "content", F.col("status").alias("text_status"))
+    got = responses.gated(of_text, "content", responses.JSON, StructType([StructField("k", LongType())]))
+    return got.select("event_id", "text_status", F.col("status").alias("json_status"), "generated.k")
+
+
+@query("""WITH o AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 = 0) SELECT user_id AS "filepath", 'p' AS "projectName" FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM o WHERE user_id IS NOT NULL) GROUP BY 1""")
+def unseen_rows(spark, sf_dir):
+    """What a buffered writer adds: each user once, without those of the events that are there already."""
+    e = table(spark, sf_dir, "events").where("user_id is not null").select(F.lit("p").alias("projectName"), F.col("user_id").alias("filepath"), "event_id")
+    return store.unseen(e.drop("event_id"), e.where("event_id % 7 = 0"), ("projectName", "filepath")).select("filepath", "projectName")
+
+
 @query("SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS a, event_id % 100 + 0.5 AS b, CAST(event_id % 100 AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS d FROM events")
 def numeric_coercion(spark, sf_dir):
     n = (F.col("event_id") % 100).cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +34,24 @@ def split_valid(rows: DataFrame, valid: Column | None = None) -> tuple[DataFrame
 
 
 def insert(rows: DataFrame, path: str, rejects: str | None = None, valid: Column | None = None, key: str = "projectName") -> None:
-    """Append valid rows; the others go to a table of their own, or are dropped. No row, no write."""
+    """Append valid rows; the others go to a table of their own, or are dropped. rows are evaluated once for each table."""
     good, bad = split_valid(rows, valid)
-    if not good.isEmpty():
-        good.write.mode("append").partitionBy(key).parquet(path)
-    if rejects and not bad.isEmpty():
+    good.write.mode("append").partitionBy(key).parquet(path)
+    if rejects:
+        bad.write.mode("append").parquet(rejects)
+
+
+def unseen(rows: DataFrame, old: DataFrame, unique: Sequence[str]) -> DataFrame:
+    """rows whose values of the unique columns are in no row of old, one of each. Only the unique columns of old are read."""
+    return rows.dropDuplicates(list(unique)).join(old.select(*unique), list(unique), "left_anti").select(*rows.columns)
+
+
+def insert_new(rows: DataFrame, path: str, unique: Sequence[str] = ("projectName", "filepath"), rejects: str | None = None, valid: Column | None = None, key: str = "projectName") -> None:
+    """insert() without what is there already: of rows that repeat the unique columns, within rows or in the table, the first written stays. A failed batch can so be written again whole."""
+    good, bad = split_valid(rows, valid)
+    old = read(rows.sparkSession, path, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
+    unseen(good, old, unique).write.mode("append").partitionBy(key).parquet(path)
+    if rejects:
         bad.write.mode("append").parquet(rejects)
 
 
