@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm import decontaminate, htmltext, langid, pii, toxicity
 from repolens.llm.boosting import boost, calibrate
-from repolens.llm.licenses import RULES, SENTENCES, TRIGGER, scan_licences
+from repolens.llm.licenses import RULES, SENTENCES, TRIGGER, oracle, scan_licences
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, t string, score double, held_out boolean, ids string, base string"
 
@@ -26,45 +26,76 @@ def held_out(i):
 # licences
 
 
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n"
+MIT = "MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n"
+GPL = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version %s of the License, or\n(at your option) any later version.\n"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+THIRD = "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+
+
+def commented(text, mark):
+    return "".join(f"{mark} {line}\n" for line in text.split("\n"))
+
+
+LICENCES = [
+    ("Words.\nLicensed under the Apache License, Version 2.0.\nMore", "Apache-2.0"),
+    (APACHE, "Apache-2.0"),
+    (commented(APACHE, "#"), "Apache-2.0"),
+    ("/*\n" + commented(APACHE, " *") + " */", "Apache-2.0"),
+    ("Apache License\n   Version 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "LGPL-3.0"),
+    (MIT, "MIT"),
+    (commented(MIT, "//"), "MIT"),
+    (GPL % 2, "GPL-2.0-or-later"),
+    (commented(GPL % 3, ";;"), "GPL-3.0-or-later"),
+    (BSD, "BSD-2-Clause"),
+    (BSD + THIRD, "BSD-3-Clause"),
+    (commented(BSD + THIRD, "--"), "BSD-3-Clause"),
+    ("// SPDX-License-Identifier: MIT\n// SPDX-FileCopyrightText: someone\nint x;", "MIT"),
+    ("# spdx-license-identifier: GPL-2.0+", "GPL-2.0-or-later"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"),
+    ("SPDX-License-Identifier: MIT OR Foo-1.0", "UNKNOWN"),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttp://www.eclipse.org/legal/epl-2.0.", "EPL-2.0"),
+    ("This project is distributed under the terms of the Mozilla Public License 2.0.", "MPL-2.0"),
+    ("Released under the Frobnicate License, version 7.", "UNKNOWN"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Released under the MIT License. licensed under cc by-nc 4.0!\nReleased under the MIT license.", "MIT,CC-BY-NC-4.0"),
+    ("This is unlicensed under nothing. Permission was not granted.", ""),
+    (None, ""),
+    ("", ""),
+    ("x " * 100_000 + ".\nThis work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is dedicated to the public\ndomain.", "Public-Domain"),
+    ("This work is dedicated to the public  domain.", "Public-Domain"),
+    ("this work is dedicated to\n the public\xa0domain", "Public-Domain"),
+    ("Dedicated to the public\ndomain.", ""),
+]
+
+
 def test_licences(spark):
-    texts = {
-        1: "Words.\nLicensed under the Apache License, Version 2.0.\nMore",
-        2: "# Licensed under the Apache License,\n# Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#   http://www.apache.org/licenses/LICENSE-2.0\n",
-        3: "Released under the MIT License. licensed under cc by-nc 4.0!\nReleased under the MIT license.",
-        4: "This is unlicensed under nothing. Permission was not granted.",
-        5: None,
-        6: "",
-        7: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-        8: "x " * 100_000 + ".\nThis work is licensed under the GNU General Public License, version 3.",
-    }
-    rows = [(i, t, None) for i, t in texts.items()] + [(None, texts[1], None), (1, texts[1], None)]
-    got = {(r["doc_id"], r["sentence_ids"], r["licences"], r["n_sentences"]) for r in scan_licences(docs(spark, rows)).collect()}
-    assert got == {
-        (1, "ApacheRef2", "Apache-2.0", 1),
-        (None, "ApacheRef2", "Apache-2.0", 1),
-        (2, "ApacheRef2,ApacheUse,ApacheCopy,ApacheUrl", "Apache-2.0", 4),
-        (3, "MITRef,CCBYNC4,MITRef", "MIT,CC-BY-NC-4.0", 3),
-        (4, "", "", 0),
-        (5, "", "", 0),
-        (6, "", "", 0),
-        (7, "", "", 0),
-        (8, "GPLRef3", "GPL-3.0", 1),
-    }
+    rows = [(i, t, None) for i, (t, _) in enumerate(LICENCES)] + [(None, LICENCES[0][0], None), (1, APACHE, None)]
+    got = [(r["doc_id"], r["licences"]) for r in scan_licences(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(i, want) for i, (_, want) in enumerate(LICENCES)] + [(None, "Apache-2.0"), (1, "Apache-2.0")], key=str)
+    row = scan_licences(docs(spark, [(1, APACHE, None)])).first()
+    assert (row["sentence_ids"], row["n_sentences"]) == ("=Apache-2.0,ApacheUse,ApacheCopy,ApacheUrl,ApacheAsIs", 5)
     assert scan_licences(docs(spark, [])).count() == 0
 
 
-def test_licences_in_wrapped_sentences(spark):
-    """No other word of these texts is a trigger."""
-    texts = ["This work is dedicated to the public\ndomain.", "This work is dedicated to the public  domain.", "This work is dedicated to the public\tdomain.", "this work is dedicated to\n the public\xa0domain", "Dedicated to the public\ndomain."]
-    got = {r["doc_id"]: r["licences"] for r in scan_licences(docs(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
-    assert got == {0: "Public-Domain", 1: "Public-Domain", 2: "Public-Domain", 3: "Public-Domain", 4: ""}
-    assert all(any(re.search(TRIGGER, w) for w in s.split()) for s in SENTENCES)
+def test_licences_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, t, None) for i, (t, _) in enumerate(LICENCES)]
+    docs(spark, rows).select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = sorted(con.execute(oracle()).fetchall())
+    assert sorted((r["doc_id"], r["sentence_ids"], r["licences"], r["n_sentences"]) for r in scan_licences(docs(spark, rows)).collect()) == want
 
 
 def test_licence_rules_are_reachable():
-    assert {i for _, run in RULES for i in run} <= set(SENTENCES.values())
-    text = "licens permission redistribut software"
-    assert all(re.search("licens|permission|redistribut|software|public domain|either version|copyright|apache", s) for s in SENTENCES), text
+    """Each identifier of a rule is a sentence's, each licence has a rule, and each known sentence passes the guard."""
+    assert {i for _, run in RULES for i in run} <= {*SENTENCES.values(), "UNKNOWN"}
+    assert len({name for name, _ in RULES}) >= 50
+    assert all(any(re.search(TRIGGER, w) for w in s.split()) for s in SENTENCES)
 
 
 # languages
@@ -162,7 +193,52 @@ def test_windows_cover_every_word():
     for n in (1, 15, 16, 17, 32, 33, 48, 49, 200):
         w = toxicity.windows_of(np.arange(n))
         assert set(w[w >= 0].tolist()) == set(range(n)) and w.shape[1] == toxicity.WINDOW
-    assert toxicity.windows_of(np.array([5] * 90)).max(axis=1).tolist() == [5]
+    assert toxicity.windows_of(np.array([5] * 90)).max(axis=1).tolist() == [5] * 5
+
+
+def test_whole_words_are_spelled():
+    """Words that differ in the middle only, and a word that is read in pieces."""
+    a, b = "a" * 40 + "zozzle" + "b" * 40, "a" * 40 + "elzzoz" + "b" * 40
+    net = toxicity.Network.fresh(np.random.default_rng(1))
+    x = net.inputs_of([a, b])
+    assert np.abs(x[0, toxicity.DIM :] - x[1, toxicity.DIM :]).max() > 0
+    long = "".join(random.Random(2).choices("abcdef", k=2 * toxicity.LETTERS + 17))
+    assert np.allclose(net.inputs_of(["x", long, "y"]), net.inputs(toxicity.spell(["x", long, "y"]))[0], atol=1e-6)
+
+
+def test_the_network_learns_what_log_odds_cannot():
+    """Both words are in all texts; only their order tells. Log-odds of words or of n-grams within them are the same for both classes."""
+
+    def made(n, seed):
+        rng = random.Random(seed)
+        plain = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(300)]
+        rows = []
+        for i in range(n):
+            words = rng.choices(plain, k=rng.randint(4, 26))
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = ["zor", "mip"] if i % 2 else ["mip", "zor"]
+            rows.append((" ".join(words), i % 2))
+        return rows
+
+    rows = made(1500, 1)
+    net = toxicity.train([t for t, _ in rows], [y for _, y in rows])
+    unseen = made(400, 2)
+    right = [(s >= 0.5) == y for s, (_, y) in zip(toxicity.Scorer(net).scores([t for t, _ in unseen]), unseen)]
+    assert np.mean(right) > 0.9
+
+
+def test_learning_is_bounded_by_characters(spark):
+    rows = made_toxic(200)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    table = docs(spark, [(i, t, None) for i, t, _ in rows] + [(1000, "abc " * 300_000, None)])
+    seen = []
+    real = toxicity.train
+    try:
+        toxicity.train = lambda texts, labels, seed: seen.append(sum(map(len, texts)))
+        toxicity.learn(table, labels, train_characters=20_000)
+    finally:
+        toxicity.train = real
+    assert 15_000 < seen[0] <= 20_000
 
 
 # personal data
@@ -294,6 +370,28 @@ def test_extract_text(spark):
     assert htmltext.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "piece,text",
+    [
+        ('<script src="a.js"/>var leaked = 1;</script>', None),
+        ("<script src=https://cdn.x/y/>var leaked = 1;</script>", None),
+        ("<svg><g><svg><text>in</text></svg>inner text leak</g></svg>", None),
+        ("<svg/><p>More words stand here.</p>", "More words stand here."),
+        ("<template><p>x</p><template>y</template>z</template>", None),
+        ("<p>with <math><mi>x</mi><mo>+</mo></math> inside it.</p>", "with x+ inside it."),
+        ("<noscript><p>Text without scripts is here.</p></noscript>", "Text without scripts is here."),
+        ("<object><p>A fallback text is here for you.</p></object>", "A fallback text is here for you."),
+        ('<div style="display:none"><p>Hidden words that nobody sees.</p></div>', None),
+        ("<p hidden>Hidden words that nobody sees.</p>", None),
+        ('<p style="overflow:hidden" title="a hidden thing">Shown words are here, in a box.</p>', "Shown words are here, in a box."),
+    ],
+)
+def test_what_is_text_of_a_page(piece, text):
+    page = f"<body><nav><a href=/>a</a></nav><article><h1>Title of it</h1><p>First words are here.</p>{piece}<p>Last words are there, in the end.</p></article><footer>c</footer>"
+    got = htmltext.main_text(page, htmltext.default_model()).split("\n")
+    assert got == ["Title of it", "First words are here.", *([text] if text else []), "Last words are there, in the end."]
+
+
 # decontamination
 
 
