@@ -18,62 +18,90 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held, prepare
 
-DIMS = 512
-LETTERS = 64
-#: Rows of bound trigrams that a worker keeps: 32 MB.
-KEPT = 16_384
+DIMS = 4096
+#: Bound trigrams and letters that a worker keeps, as bytes: 64 MB and 16 MB; rows that are summed at a time.
+KEPT, LETTERS_KEPT, TOGETHER = 16_384, 4096, 1024
 UNKNOWN = "und"
-#: Most labelled rows, in expectation, that prototypes are learned from.
-TRAIN_ROWS = 20_000
+#: Most labelled rows of each language, in expectation, that prototypes are learned from.
+TRAIN_ROWS = 5000
+#: Tasks that sum the bundles of these rows.
+TRAIN_TASKS = 16
 
 
 @cache
-def letter_codes() -> np.ndarray:
-    """Code of each code point: 0 for what is no letter, 1 to 26 for a to z, the other letters dealt over 27 to 63."""
-    table = np.zeros(sys.maxunicode + 1, np.uint8)
-    letters = np.array([c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()])
-    table[letters] = 27 + letters * 7 % 37
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    return table
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([not 0xD800 <= c < 0xE000 and chr(c).isalpha() for c in range(sys.maxunicode + 1)])
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Trigram codes of a whole text in lower case. Runs of other characters count as one space; a text without letters has none."""
-    codes = letter_codes()[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)]
+    """Trigrams of a whole text in lower case, three code points of 21 bits each. Runs of other characters than letters count as one space (0); a text without letters has none."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    codes = np.where(letters()[codes], codes, 0)
     if not codes.any():
-        return np.zeros(0, np.int32)
-    codes = np.concatenate([[0], codes, [0]]).astype(np.int32)
+        return np.zeros(0, np.int64)
+    codes = np.concatenate([[0], codes, [0]])
     codes = codes[np.concatenate([[True], (codes[1:] != 0) | (codes[:-1] != 0)])]
-    return codes[:-2] * (LETTERS * LETTERS) + codes[1:-1] * LETTERS + codes[2:]
+    return codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
 
 
 class Bundler:
+    """Each letter's vector comes from its code point and the seed, so letters of all scripts have vectors of their own, alike everywhere."""
+
     def __init__(self, dims: int = DIMS, seed: int = 7):
-        letters = np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (LETTERS, dims))
-        self.turned = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
-        self.row = np.full(LETTERS**3, -1, np.int32)
-        self.bound = np.zeros((0, dims), np.float32)
+        if dims % 8:
+            raise ValueError("the number of dimensions must be a multiple of eight")
+        self.dims, self.seed = dims, seed
+        self.letter: dict[int, np.ndarray] = {}
+        #: Trigrams that are kept, sorted, and the row of each in bound.
+        self.codes, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: A byte for each place, 1 where the vector is +1, in numbers of eight; grows by doubling.
+        self.bound = np.zeros((0, dims // 8), np.uint64)
+
+    def vector(self, code: int) -> np.ndarray:
+        if code not in self.letter:
+            if len(self.letter) >= LETTERS_KEPT:
+                self.letter.clear()
+            self.letter[code] = np.random.default_rng([self.seed, code]).choice(np.array([-1, 1], np.int8), self.dims)
+        return self.letter[code]
 
     def bind(self, codes: np.ndarray) -> np.ndarray:
-        return self.turned[0][codes // LETTERS**2] * self.turned[1][codes // LETTERS % LETTERS] * self.turned[2][codes % LETTERS]
+        out = np.ones((len(codes), self.dims), np.int8)
+        for place, turn in ((42, 2), (21, 1), (0, 0)):
+            part, back = np.unique(codes >> place & 0x1FFFFF, return_inverse=True)
+            out *= np.stack([np.roll(self.vector(c), turn) for c in part.tolist()])[back]
+        return (out > 0).view(np.uint64)
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of bound trigrams (distinct, KEPT at most) in self.bound."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
+        known = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        if not known.all():
+            if len(self.codes) + int((~known).sum()) > KEPT:
+                self.codes, self.row, self.bound, known = self.codes[:0], self.row[:0], self.bound[:0], np.zeros(len(codes), bool)
+            fresh = codes[~known]
+            rows = len(self.codes) + np.arange(len(fresh))
+            if rows[-1] >= len(self.bound):
+                self.bound = np.concatenate([self.bound, np.empty((max(len(self.bound), len(fresh), 64), self.dims // 8), np.uint64)])
+            for k in range(0, len(fresh), TOGETHER):
+                self.bound[rows[k : k + TOGETHER]] = self.bind(fresh[k : k + TOGETHER])
+            to = np.searchsorted(self.codes, fresh)
+            self.codes, self.row = np.insert(self.codes, to, fresh), np.insert(self.row, to, rows)
+            at = np.searchsorted(self.codes, codes)
+        return self.row[at]
 
     def bundle(self, text: str | None) -> np.ndarray:
-        codes = trigrams(text)
-        rows = self.row[codes]
-        if (rows < 0).any():
-            fresh = np.unique(codes[rows < 0])
-            if len(self.bound) + len(fresh) > KEPT:
-                self.row[:] = -1
-                self.bound, fresh = self.bound[:0], np.unique(codes)
-                if len(fresh) > KEPT:
-                    fresh, counts = np.unique(codes, return_counts=True)
-                    return sum(counts[k : k + KEPT].astype(np.float32) @ self.bind(fresh[k : k + KEPT]) for k in range(0, len(fresh), KEPT))
-            self.row[fresh] = len(self.bound) + np.arange(len(fresh))
-            self.bound = np.concatenate([self.bound, self.bind(fresh)])
-            rows = self.row[codes]
-        counts = np.bincount(rows, minlength=1)
-        there = np.flatnonzero(counts)
-        return counts[there].astype(np.float32) @ self.bound[there] if len(codes) else np.zeros(self.bound.shape[1], np.float32)
+        """Sum of a text's bound trigrams. Eight places are added at a time, as bytes of one number, 255 rows at most, so that no byte overflows; repeats go by the binary digits of their counts."""
+        codes, counts = np.unique(trigrams(text), return_counts=True)
+        plus = np.zeros(self.dims, np.int64)
+        step = min(TOGETHER, KEPT)
+        for k in range(0, len(codes), step):
+            rows, some = self.rows(codes[k : k + step]), counts[k : k + step]
+            for digit in range(int(some.max()).bit_length()):
+                there = rows[some >> digit & 1 == 1]
+                for j in range(0, len(there), 255):
+                    plus += np.add.reduce(self.bound[there[j : j + 255]], axis=0).view(np.uint8).astype(np.int64) << digit
+        return (2 * plus - counts.sum()).astype(np.float32)
 
 
 def bundler(dims: int, seed: int) -> Bundler:
@@ -86,11 +114,13 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS, dims: int = DIMS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Prototypes from the rows outside the held-out fold whose text and language aren't null; of more than train_rows of these, a sample by a hash of the id that has train_rows in expectation. Each partition sums its bundles; one vector per language reaches the driver."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    share = train_rows / max(1, rows.count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Prototypes from the rows outside the held-out fold whose text and language aren't null; of a language with more than train_rows of these, a sample by a hash of the id that has train_rows in expectation. So a rare language is learned as well as a common one. Few tasks sum the bundles of what is sampled; one vector per language reaches the driver."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)).alias("at"))
+    many = {r["lang"]: int(1_000_000 * train_rows / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > train_rows).collect()}
+    if many:
+        share = F.map_from_arrays(F.array(*map(F.lit, many)), F.array(*map(F.lit, many.values())))
+        rows = rows.where(F.col("at") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1_000_000)))
+    rows = rows.select("text", "lang").repartition(TRAIN_TASKS)
 
     def sums(batches):
         own, total = bundler(dims, seed), {}
@@ -99,7 +129,7 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                 total[lang] = total.get(lang, 0) + own.bundle(text).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "bundle"])
 
-    parts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(sums, "lang string, bundle array<long>")
+    parts = rows.mapInArrow(sums, "lang string, bundle array<long>")
     found: dict[str, np.ndarray] = {}
     for r in parts.select("lang", F.posexplode("bundle").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).collect():
         found.setdefault(r["lang"], np.zeros(dims))[r["k"]] = r["x"]

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,32 +107,65 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_revisits(headers: DataFrame, tmp: Scratch, id_type: str = "long", at_least: int = 0) -> DataFrame:
-    """headers with the response that each record repeats: first_id, first_uri, first_date (null for responses).
+    """headers with the response that each record repeats: first_id, first_uri, first_date. They are null for the first response of a payload, and for records that were revisits before and whose response isn't there: these stay as they are.
 
     Only headers are shuffled. Groups are reduced to their first record before the shuffle, and written, so that the join back deals large groups out over several tasks.
     """
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").cast(id_type).alias("n"), "path", "ord", "id", "uri", "date")
-    firsts = headers.where(F.col("payload_bytes") >= at_least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    response = F.when(F.col("type") == "response", order)
+    firsts = headers.where(F.col("payload_bytes") >= at_least).groupBy("digest").agg(F.min(response).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
     firsts = tmp.save(firsts, "firsts")
     other = (F.col("payload_bytes") >= at_least) & F.col("first").isNotNull() & ~((F.col("first.path") == F.col("path")) & (F.col("first.ord") == F.col("ord")))
     of_first = lambda c: F.when(other, F.coalesce(F.col(f"first.{c}"), F.lit(""))).alias(f"first_{c}")
     return headers.join(firsts, "digest", "left").select(*headers.columns, of_first("id"), of_first("uri"), of_first("date"))
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Spark writes it, and the path in it."""
+    uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    return fs.FileSystem.from_uri(uri)
+
+
+def opens(path: str) -> bool:
+    """Whether tasks can open files of a path by themselves."""
+    try:
+        store, at = store_of(path)
+        return store.get_file_info(at).type != fs.FileType.NotFound
+    except (OSError, ValueError, pa.ArrowException):
+        return False
+
+
+def _fresh(head: dict[str, str], block: bytes, first: dict | None, date: str) -> bytes:
+    """A record with fresh headers; a revisit of first, if there is one, without its payload."""
+    revisit = head["warc-type"] == "revisit"
+    size = head.get("x-payload-length", "0") if revisit else len(_payload(block))
+    lines = ["WARC/1.1", "WARC-Type: " + ("revisit" if revisit or first else "response"), f"WARC-Record-ID: {head['warc-record-id']}", f"WARC-Target-URI: {head['warc-target-uri']}", f"WARC-Date: {date}", f"WARC-Payload-Digest: {head['warc-payload-digest']}", f"X-Payload-Length: {size}"]
+    if first:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID_PREFIX}{first['first_id']}>", f"WARC-Refers-To-Target-URI: {first['first_uri']}", f"WARC-Refers-To-Date: {first['first_date']}"]
+    elif revisit:
+        lines += [f"{name}: {head[name.lower()]}" for name in ("WARC-Profile", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date") if name.lower() in head]
+    if first and not revisit:
+        block = block[: len(block) - len(_payload(block))]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + END.encode() + block
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an archive's path and its resolved headers (and its content, where tasks can't open it) -> fresh records, some MB at a time."""
     for batch in batches:
-        for content, firsts, date in zip(batch.column("content"), batch.column("firsts"), batch.column("date")):
-            first = {x["ord"]: x for x in firsts.as_py()}
+        contents = batch.column("content") if "content" in batch.schema.names else [None] * batch.num_rows
+        for path, content, firsts, date in zip(batch.column("path").to_pylist(), contents, batch.column("firsts"), batch.column("date").to_pylist()):
+            if content is None:
+                store, at = store_of(path)
+                with store.open_input_stream(at, compression=None) as stream:
+                    archive = stream.read()
+            else:
+                archive = content.as_py()
+            first = {x["ord"]: x for x in firsts.as_py() if x["first_id"] is not None}
             out, held = [], 0
-            for k, (head, block) in enumerate(parse(content.as_py())):
-                x, digest = first[k], head["warc-payload-digest"]
-                lines = ["WARC/1.1", "WARC-Type: " + ("response" if x["first_id"] is None else "revisit"), f"WARC-Record-ID: {head['warc-record-id']}", f"WARC-Target-URI: {head['warc-target-uri']}", f"WARC-Date: {date.as_py()}", f"WARC-Payload-Digest: {digest}", f"X-Payload-Length: {len(_payload(block))}"]
-                if x["first_id"] is not None:
-                    lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID_PREFIX}{x['first_id']}>", f"WARC-Refers-To-Target-URI: {x['first_uri']}", f"WARC-Refers-To-Date: {x['first_date']}"]
-                    block = block[: len(block) - len(_payload(block))]
-                lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-                out.append("\r\n".join(lines).encode("utf-8", "surrogateescape") + END.encode() + block)
-                held += len(block)
+            for k, (head, block) in enumerate(parse(archive)):
+                out.append(_fresh(head, block, first.get(k), date))
+                held += len(out[-1])
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out, held = [], 0
@@ -140,15 +174,18 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, tmp: Scratch, date: str, id_type: str = "long", at_least: int = 0) -> None:
-    """Write the archives of source anew to target: of responses with equal payloads of at least at_least bytes all but the first (least id) become revisit records without payload, all with fresh headers."""
+    """Write the archives of source anew to target: of responses with equal payloads of at least at_least bytes all but the first (least id) become revisit records without payload, all with fresh headers.
+
+    Resolved headers go to the tasks by their archive's path, and each task opens its own archives, so no payload is shuffled. Only where Python can't open the store (store_of) do Spark's reader and a join bring the contents.
+    """
     headers = tmp.save(read_headers(spark, source), "headers")
     resolved = resolve_revisits(headers, tmp, id_type, at_least)
-    firsts = resolved.groupBy("path").agg(F.collect_list(F.struct("ord", "first_id", "first_uri", "first_date")).alias("firsts"))  # at most RECORDS_PER_FILE in a list
     # As many tasks as the number of files asks for, so that a task holds a few files at any size of the input.
-    files = read_files(spark, source)
-    tasks = -(-files.select("path").count() // FILES_PER_TASK)
-    files = files.repartition(max(1, tasks), "path").join(firsts.repartition(max(1, tasks), "path"), "path").withColumn("date", F.lit(date))
-    write_archives(files.mapInArrow(_rewrite, "record binary"), target)
+    tasks = max(1, -(-headers.select("path").distinct().count() // FILES_PER_TASK))
+    firsts = resolved.groupBy("path").agg(F.collect_list(F.struct("ord", "first_id", "first_uri", "first_date")).alias("firsts")).withColumn("date", F.lit(date)).repartition(tasks, "path")  # at most RECORDS_PER_FILE in a list
+    if not opens(source):
+        firsts = read_files(spark, source).repartition(tasks, "path").join(firsts, "path")
+    write_archives(firsts.mapInArrow(_rewrite, "record binary"), target)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: int = 0, date: str | None = None) -> DataFrame:

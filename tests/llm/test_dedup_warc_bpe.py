@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from repolens.llm import exact_dedup, golay, simhash
+from repolens.llm import exact_dedup, golay, simhash, warc
 from repolens.llm.bpe import WordBpe, encode_documents
 from repolens.llm.components import connected_components
 from repolens.llm.common import Scratch
@@ -195,6 +195,29 @@ def test_archives(spark):
     assert [r[0] for r in sized] == ["response"]
 
 
+@pytest.mark.parametrize("opened", [True, False])
+def test_archives_that_hold_revisits(spark, tmp_path, monkeypatch, opened):
+    """A second pass changes nothing but dates; a revisit whose response isn't there stays one, whatever its id; where tasks can't open files, contents are joined."""
+    if not opened:
+        monkeypatch.setattr(warc, "opens", lambda path: False)
+    pages = spark.createDataFrame([(k, f"http://h/{k}", f"text {k % 7}" if k < 30 else None) for k in range(40)], "page_id long, url string, html string")
+    at = lambda k: f"file://{tmp_path}/{k}"
+    warc.write_archives(warc.response_records(pages, "page_id", "url", "html", "2020-01-01T00:00:00Z"), at(0))
+    alone = warc._fresh({"warc-type": "response", "warc-record-id": "<urn:page:-5>", "warc-target-uri": "http://h/x", "warc-payload-digest": "sha1:" + "A" * 32}, b"HTTP/1.1 200 OK\r\n\r\ngone", {"first_id": "99", "first_uri": "http://h/y", "first_date": "2019-01-01T00:00:00Z"}, "2019-01-01T00:00:00Z")
+    early = warc._fresh({"warc-type": "response", "warc-record-id": "<urn:page:-9>", "warc-target-uri": "http://h/z", "warc-payload-digest": "sha1:" + base64.b32encode(hashlib.sha1(b"text 3").digest()).decode()}, b"HTTP/1.1 200 OK\r\n\r\ntext 3", {"first_id": "98", "first_uri": "u", "first_date": "d"}, "2019-01-01T00:00:00Z")
+    spark.createDataFrame([(alone,), (early,)], "record binary").select(F.col("record").cast("string").alias("record")).write.mode("append").options(lineSep=warc.END, compression="gzip").text(at(0))
+    seen = []
+    with Scratch(spark, "warc_test") as tmp:
+        for k in (0, 1):
+            warc.deduplicate_archives(spark, at(k), at(k + 1), tmp, "2021-01-01T00:00:00Z")
+            tmp.drop("headers", "firsts")
+            seen.append(sorted((r["id"], r["type"], r["digest"], r["payload_bytes"], r["refers_to"]) for r in warc.read_headers(spark, at(k + 1)).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 42
+    by = {r[0]: r for r in seen[0]}
+    assert by["-5"][1:] == ("revisit", "A" * 32, 4, "99") and by["-9"][1] == "revisit" and by["-9"][3:] == (6, "3")
+    assert [by[str(k)][1] for k in (3, 10, 30, 31)] == ["response", "revisit", "response", "revisit"] and by["10"][4] == "3"
+
+
 def test_parse_rejects_what_is_cut():
     import gzip
 

@@ -118,20 +118,35 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.identify_languages(docs(spark, [(1, "abc", None)])).collect()} == {"und"}
 
 
-def test_bundles_are_sums_of_bound_trigrams():
-    own, table = langid.Bundler(64), langid.letter_codes()
-    rng = np.random.default_rng(7)
-    letters = rng.choice(np.array([-1, 1], np.float32), (langid.LETTERS, 64))
-    text = " héllo wörld"
-    codes = [0] + [int(table[ord(c)]) for c in text.strip()] + [0]
-    want = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+def test_bundles_are_sums_of_bound_trigrams(monkeypatch):
+    own = langid.Bundler(64)
+    vector = lambda c: np.random.default_rng([7, c]).choice(np.array([-1, 1], np.int8), 64).astype(int)
+    text = " héllo wörld 語 дом"
+    codes = [0] + [ord(c) if c != " " else 0 for c in text.strip()] + [0]
+    want = sum(np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(codes, codes[1:], codes[2:]))
     assert np.array_equal(own.bundle(text), want) and np.array_equal(own.bundle(text.upper() + "!!"), want)
-    small = langid.KEPT
-    try:
-        langid.KEPT = 5
+    for kept, together, letters in ((5, 3, 2), (7, 100, 4096)):
+        monkeypatch.setattr(langid, "KEPT", kept)
+        monkeypatch.setattr(langid, "TOGETHER", together)
+        monkeypatch.setattr(langid, "LETTERS_KEPT", letters)
         assert np.array_equal(langid.Bundler(64).bundle(text), want)
-    finally:
-        langid.KEPT = small
+
+
+def test_scripts_are_kept_apart():
+    """Texts in letters that share no code are told apart though their shapes are alike."""
+    own = langid.Bundler()
+    cosine = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    plain = "the word of a text "
+    for start in (0x430, 0x3B1, 0x5D0, 0x905, 0x4E00, 0xAC00):
+        other = "".join(chr(start + ord(c) - 97) if c.isalpha() else c for c in plain)
+        assert abs(cosine(own.bundle(plain), own.bundle(other))) < 0.45 and cosine(own.bundle(other), own.bundle(other * 2)) > 0.9
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["kato", "mika", "toka"], k=30)), "aa") for i in range(400)] + [(1000 + i, " ".join(rng.choices(["bless", "brust", "strub"], k=30)), "bb") for i in range(8)]
+    found = langid.learn_prototypes(docs(spark, rows), train_rows=20)
+    assert sorted(found) == ["aa", "bb"] and all(np.linalg.norm(p) for p in found.values())
 
 
 # toxicity
