@@ -495,6 +495,47 @@ def test_contamination_of_short_items_and_amid_rare_words(spark):
     assert all(0 <= r["cosine"] <= 1 for r in got)
 
 
+def test_contamination_by_kind(spark, monkeypatch):
+    """Items of all lengths, whole and with words replaced, in prose: what occurs is found in each kind, and by the latent space alone if the item has 15 words or more. Clashing columns, and a benchmark in several blocks."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(4000)]
+    weights = [1 / (k + 5) for k in range(4000)]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [text(length) for length in (6, 8, 10, 15, 25, 40, 60, 120) for _ in range(12)]
+    rows, kinds = [], {}
+    for part in (0.0, 0.1, 0.2, 0.25, 0.29):
+        for i, words in enumerate(items):
+            new = list(words)
+            for k in rng.sample(range(len(new)), int(part * len(new))):
+                new[k] = "zz" + rng.choice(vocabulary)
+            around = text(rng.randint(30, 200))
+            at = rng.randint(0, len(around))
+            kinds.setdefault(("short" if len(words) < 15 else "long" if len(words) > 60 else "middle", part), []).append((len(rows), i))
+            rows.append((len(rows), " ".join(around[:at] + new + around[at:]), None))
+    benchmark = spark.createDataFrame([(i, " ".join(w), "x", 0.0, 1) for i, w in enumerate(items)], "item_id long, text string, doc_id string, cosine double, i int")
+    pairs = lambda: sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(docs(spark, rows), benchmark).collect())
+    got = pairs()
+    for kind, planted in kinds.items():
+        holds = []
+        for d, i in planted:
+            q, w = items[i], rows[d][1].split()
+            near = lambda start: w[max(0, start - len(q)) : start + decontaminate.WINDOW + len(q)]
+            tail = q[-max(1, min(len(q), max(3, len(q) // 5))) :]
+            if any(len(set(q) & set(near(a))) >= 0.7 * len(set(q)) - 1e-9 and decontaminate.lcs(q, near(a)) / len(q) >= 0.7 and decontaminate.lcs(tail, near(a)) >= 0.5 * len(tail) for a, _ in decontaminate.passage_spans(len(w))):
+                holds.append((d, i))
+        assert len(holds) > 0.6 * len(planted) and len(set(holds) & set(got)) >= 0.98 * len(holds), kind
+    planted = {x for found in kinds.values() for x in found}
+    assert all(x in planted or len(items[x[1]]) < 15 for x in got)
+    monkeypatch.setattr(decontaminate.Matcher, "by_rarest", lambda *_: iter(()))
+    alone = set(pairs())
+    for (size, part), found in kinds.items():
+        if size != "short" and part <= 0.1:
+            assert len(alone & set(found)) >= 0.9 * len(found), (size, part)
+    monkeypatch.undo()
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 40)
+    assert pairs() == got
+
+
 @pytest.mark.parametrize("n", [1, 16, 17, 32, 33, 100])
 def test_passages_cover_every_word(n):
     spans = decontaminate.passage_spans(n)
