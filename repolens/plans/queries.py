@@ -699,11 +699,11 @@ def response_gate(spark, sf_dir):
     return got.select("event_id", "text_status", F.col("status").alias("json_status"), "generated.k")
 
 
-@query("""WITH o AS (SELECT DISTINCT user_id FROM events WHERE event_id % 7 = 0) SELECT user_id AS "filepath", 'p' AS "projectName" FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM o WHERE user_id IS NOT NULL) GROUP BY 1""")
+@query("""WITH o AS (SELECT DISTINCT user_id FROM events WHERE event_id % 701 = 0) SELECT user_id AS "filepath", 'p' AS "projectName" FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT user_id FROM o WHERE user_id IS NOT NULL) GROUP BY 1""")
 def unseen_rows(spark, sf_dir):
     """What a buffered writer adds: each user once, without those of the events that are there already."""
     e = table(spark, sf_dir, "events").where("user_id is not null").select(F.lit("p").alias("projectName"), F.col("user_id").alias("filepath"), "event_id")
-    return store.unseen(e.drop("event_id"), e.where("event_id % 7 = 0"), ("projectName", "filepath")).select("filepath", "projectName")
+    return store.unseen(e.drop("event_id"), e.where("event_id % 701 = 0"), ("projectName", "filepath")).select("filepath", "projectName")
 
 
 @query("SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS a, event_id % 100 + 0.5 AS b, CAST(event_id % 100 AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS d FROM events")
