@@ -270,9 +270,10 @@ def train(texts: list[str], labels: list[int], seed: int = 5, epochs: int = 8, b
     if len(set(labels)) < 2:
         return None
     net, number = Network.fresh(rng), {}
-    cut = [words_of(t) for t in texts]
-    docs = [np.array([number.setdefault(w, len(number)) for w in c], np.int32) if max(map(len, c), default=0) <= TRAIN_WORD else np.zeros(0, np.int32) for c in cut]
-    del cut
+    docs = []
+    for t in texts:
+        cut = words_of(t)
+        docs.append(np.array([number.setdefault(w, len(number)) for w in cut] if max(map(len, cut), default=0) <= TRAIN_WORD else [], np.int32))
     keep = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in keep], y[keep]
     if len(set(y.tolist())) < 2:
