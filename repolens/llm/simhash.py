@@ -6,7 +6,7 @@ The 64 bits are cut into three segments of 22, 21 and 21 bits, each padded with
 Each key has 34 bits, so chance meetings stay rare among billions of fingerprints.
 So two linked fingerprints share a key for certain; each pair in a bucket is verified by its Hamming distance.
 
-Where a stage asks for it, texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more are linked too. Candidates come from a prefix filter, which is exact: of each set, ordered alike everywhere (shingles that a sample finds often come last), the first fifth and one more are keys, and two such sets share a key. Each candidate is verified on the whole sets.
+Where a stage asks for it, texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more are linked too. Candidates come from a prefix filter, which is exact: of each set, ordered alike everywhere (shingles that a sample finds often come last), the first fifth and one more are keys, and two such sets share a key. The pairs of a bucket are held against each other by sketches of parities, which tell for certain that most aren't similar; each pair that is left is verified on the whole sets.
 
 Only distinct fingerprints take part. A bucket yields a spanning forest of its links, never all pairs. A bucket of more than BLOCK fingerprints is dealt into blocks; each pair of blocks is a bucket of its own, so that no task gets a whole large bucket, and no pair is lost.
 """
@@ -35,6 +35,8 @@ BLOCK = 2048
 WORDS, SIMILAR = 5, (4, 5)
 #: Documents, in expectation, that the order of shingles is drawn from; shingles that OFTEN or more of them have come last, COMMON of these at most. The order decides the number of candidates, never what is found.
 ORDER_DOCS, OFTEN, COMMON = 4000, 3, 50_000
+#: Bits of the sketches that buckets are compared by. In buckets of up to FEW texts all pairs are compared at once.
+NARROW, FEW = 512, 4
 #: Buckets up to this size are compared by shifted rows, larger ones by a search.
 SHIFTED = 12
 
@@ -215,53 +217,137 @@ def common_shingles(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndar
     return h[order], n[order]
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch, name: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) of the pairs (a, b: hashes of texts; u, v: fingerprints) whose sets of shingles are similar, and the sets (c, s). Only texts of pairs whose sets aren't known are shuffled."""
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    wanted = tmp.save(wanted if known is None else wanted.join(known.select("c"), "c", "left_anti"), f"{name}wanted")
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's hashes, dealt to 4 bits or more for each: a power of two, NARROW at least. Bits that differ between two sets' sketches of equal width are no more than the elements in just one of them. A sketch folds to half its width by XOR of its halves."""
+    width = max(NARROW, 1 << (4 * len(h) - 1).bit_length()) if len(h) else NARROW
+    odd = np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fold_to(z: np.ndarray, words: int) -> np.ndarray:
+    """A sketch in 64-bit words, folded to as many words."""
+    return np.bitwise_xor.reduce(z.reshape(-1, words), axis=0)
+
+
+def may_be_similar(zx: np.ndarray, zy: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """False only where sets of sizes nx and ny surely aren't similar: J >= p/q allows (q - p) / (q + p) of the sizes' sum in the sets' difference, and sizes in the proportion p/q. Sketches are rows of 64-bit words."""
+    p, q = SIMILAR
+    nx, ny = np.asarray(nx, np.int64), np.asarray(ny, np.int64)
+    apart = np.bitwise_count(zx ^ zy).sum(-1, dtype=np.int64)
+    return ((q + p) * apart <= (q - p) * (nx + ny)) & (q * np.minimum(nx, ny) >= p * np.maximum(nx, ny))
+
+
+def bucket_pairs(keys: np.ndarray, root: np.ndarray, n: np.ndarray, z: np.ndarray, side: np.ndarray, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows) of a bucket that may be similar and have different roots; rows of a bucket are adjacent.
+
+    If every, all of them (of a pair of blocks, those between the two sides). Else all of a bucket of up to FEW rows; in a larger one the first row that isn't claimed claims, and is paired with, all that may be similar to it, until all are claimed, so that there are fewer pairs than rows.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    small = np.repeat(sizes <= FEW, sizes)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, min(FEW, len(keys))):
+        x = np.flatnonzero((keys[k:] == keys[:-k]) & small[k:] & (root[k:] != root[:-k]))
+        x = x[may_be_similar(z[x], z[x + k], n[x], n[x + k])]
+        a.append(x)
+        b.append(x + k)
+    for s, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        left = np.arange(s, s + size)
+        while len(left) > 1:
+            x, left = left[0], left[1:]
+            same = root[left] == root[x]
+            near = may_be_similar(z[left], z[x], n[left], n[x])
+            hit = left[near & ~same & ((side[left] != side[x]) | (side[x] < 0))] if every else left[near & ~same]
+            a.append(np.full(len(hit), x))
+            b.append(hit)
+            if not every:
+                left = left[~(near | same)]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs(every: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket; a bucket that may go on in the next batch waits."""
+        held("simhash", dict)
+        kept: list[np.ndarray] = []
+
+        def done(of: list[np.ndarray]) -> pa.RecordBatch:
+            keys, c, fp, root, n, side, z = of
+            x, y = bucket_pairs(keys, root, n, z, side, every)
+            x, y = np.where(c[x] > c[y], y, x), np.where(c[x] > c[y], x, y)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in (c[x], c[y], fp[x], fp[y], n[x], n[y])], ["a", "b", "u", "v", "na", "nb"])
+
+        for batch in batches:
+            if batch.num_rows:
+                now = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("bucket", "c", "fp", "root", "n", "side")]
+                now.append(np.frombuffer(b"".join(batch.column("z").to_pylist()), np.uint64).reshape(-1, NARROW // 64))
+                kept = [np.concatenate(two) for two in zip(kept, now)] if kept else now
+                if n := int(np.searchsorted(kept[0], kept[0][-1])):
+                    yield done([k[:n] for k in kept])
+                    kept = [k[n:] for k in kept]
+        if kept:
+            yield done(kept)
+
+    return of
+
+
+def candidate_pairs(member: DataFrame, sketches: DataFrame, every: bool, tmp: Scratch, name: str, block: int) -> DataFrame:
+    """Distinct pairs (a < b: hashes of texts; u, v: fingerprints; na, nb: sizes) from the buckets of member (key, rows in the bucket, c, fp, n, root). Large buckets are dealt into blocks, as those of fingerprints are."""
+    blocks = F.ceil(F.col("rows") / block)
+    own = F.pmod(F.xxhash64("c"), blocks)
+    met = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = member.join(sketches.select("c", "z").hint("merge"), "c").select("key", "c", "fp", "root", "n", "z", own.alias("own"), F.explode(met).alias("met"))
+    side = F.when(F.col("own") == F.col("met"), -1).otherwise(F.col("own"))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met")).alias("bucket"), "c", "fp", "root", "n", side.cast("long").alias("side"), "z")
+    found = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_pairs(every), "a long, b long, u long, v long, na int, nb int")
+    return tmp.save(found.distinct(), f"{name}pairs")
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("simhash", dict)
+    for batch in batches:
+        good = []
+        for x, y, nx, ny in zip(*(batch.column(k).to_pylist() for k in ("za", "zb", "na", "nb"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words = min(len(x), len(y))
+            good.append(bool(may_be_similar(fold_to(x, words), fold_to(y, words), nx, ny)))
+        yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "u", "v"])
+
+
+def similar_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch, name: str) -> DataFrame:
+    """Links (u, v) of the pairs whose sets of shingles are similar: those that whole sketches (c, wide) leave are verified on the sets. Only texts of these are shuffled."""
+    wide = lambda k: sketches.select(F.col("c").alias(k), F.col("wide").alias(f"z{k}")).hint("merge")
+    pairs = tmp.save(pairs.join(wide("b"), "b").join(wide("a"), "a").mapInArrow(_sketched, "a long, b long, u long, v long"), f"{name}left")
+    wanted = tmp.save(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), f"{name}wanted")
     texts = docs.select(F.xxhash64(text_col).alias("c"), F.col(text_col).alias("t")).join(wanted, "c", "left_semi").groupBy("c").agg(F.first("t").alias("t"))
     sets = tmp.save(texts.mapInArrow(_set, "c long, s array<long>"), f"{name}sets")
-    sets = sets if known is None else known.unionByName(sets)
     of = lambda k: sets.select(F.col("c").alias(k), F.col("s").alias(f"s{k}")).hint("merge")
     shared = F.size(F.array_intersect("sa", "sb"))
     good = pairs.join(of("b"), "b").join(of("a"), "a").where(SIMILAR[1] * shared >= SIMILAR[0] * (F.size("sa") + F.size("sb") - shared))
     links = tmp.save(good.select("u", "v").distinct(), f"{name}links")
-    tmp.drop(f"{name}wanted")
-    return links, sets
+    tmp.drop(f"{name}left", f"{name}wanted", f"{name}sets")
+    return links
 
 
-def similar_links(keyed: DataFrame, links: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch) -> DataFrame:
-    """links, and enough links (u, v) of fingerprints to join all texts that are similar. keyed: key, c (hash of the text), fp, n (size of the set).
+def similar_links(featured: DataFrame, links: DataFrame, docs: DataFrame, text_col: str, tmp: Scratch, block: int = BLOCK) -> DataFrame:
+    """links, and enough links (u, v) of fingerprints to join all texts that are similar. featured: c (hash of the text), fp, n (size of the set), keys, z and wide (its sketch, folded and whole); rows may repeat.
 
-    First each text of a bucket is held against the bucket's least and greatest one, so that a large group costs a pair or two for each of its texts. Then all pairs of a bucket that aren't joined yet are held against each other.
+    First in each large bucket some texts are held against those that may be similar to them, so that a large group costs a pair for each of its texts. Then all pairs of a bucket that may be similar and aren't joined yet are held against each other.
     """
-    one = F.struct("c", "fp", "n")
-    ends = keyed.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("fp").alias("f"), F.max("fp").alias("g")).where("f <> g").select("key", "lo", "hi")
-    ends = tmp.save(ends, "ends")
-    member = tmp.save(keyed.join(ends.hint("merge"), "key"), "met")
-    tmp.drop("ends")
-    near = lambda m, n: (SIMILAR[1] * F.least(m, n) >= SIMILAR[0] * F.greatest(m, n))
-
-    def pairs(df: DataFrame, x: str, y: str) -> DataFrame:
-        swap = F.col(f"{x}c") > F.col(f"{y}c")
-        either = lambda k, a, b: F.when(swap, F.col(f"{a}{k}")).otherwise(F.col(f"{b}{k}"))
-        return df.where(near(F.col(f"{x}n"), F.col(f"{y}n"))).select(either("c", y, x).alias("a"), either("c", x, y).alias("b"), either("fp", y, x).alias("u"), either("fp", x, y).alias("v"))
-
-    first = pairs(member.where("fp <> lo.fp"), "", "lo.").unionByName(pairs(member.where("fp <> hi.fp"), "", "hi."))
-    first = tmp.save(first.distinct(), "first")
-    more, sets = similar_pairs(first, docs, text_col, tmp, "first")
-    links = links.unionByName(more)
+    texts = tmp.save(featured.select("c", "fp", "n", "keys", "z", "wide").dropDuplicates(["c"]), "texts")
+    keyed = texts.select(F.explode("keys").alias("key"), "c", "fp", "n")
+    several = lambda df, root: df.groupBy("key").agg(F.min(root).alias("f"), F.max(root).alias("g"), F.count(F.lit(1)).alias("rows")).where("f <> g").select("key", "rows")
+    member = tmp.save(keyed.join(tmp.save(several(keyed, "fp"), "buckets").hint("merge"), "key"), "member0")
+    first = candidate_pairs(member.withColumn("root", F.col("fp")), texts, False, tmp, "first", block)
+    links = links.unionByName(similar_pairs(first, texts, docs, text_col, tmp, "first"))
     stars = tmp.save(connected_components(links, tmp, "joined").withColumnRenamed("node", "fp"), "joined")
-    rooted = tmp.save(member.select("key", "c", "fp", "n").distinct().join(stars, "fp", "left").select("key", "c", "fp", "n", F.coalesce("root", "fp").alias("root")), "metroots")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("f"), F.max("root").alias("g")).where("f <> g").select("key")
-    still = tmp.save(rooted.join(apart.hint("merge"), "key"), "still")
-    x, y = (still.select("key", *(F.col(k).alias(f"{side}{k}") for k in ("c", "fp", "n", "root"))) for side in "xy")
-    rest = pairs(x.join(y.hint("merge"), "key").where("xroot < yroot"), "x", "y").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    rest = tmp.save(rest, "rest")
-    tmp.drop("met", "metroots", "still")
-    more, _ = similar_pairs(rest, docs, text_col, tmp, "rest", sets)
-    tmp.drop("firstsets", "restsets")
-    return links.unionByName(more)
+    rooted = tmp.save(member.drop("rows").join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "member1")
+    member = tmp.save(rooted.join(several(rooted, "root").hint("merge"), "key"), "member2")
+    tmp.drop("buckets", "member0", "member1")
+    rest = candidate_pairs(member, texts, True, tmp, "rest", block).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.unionByName(similar_pairs(rest, texts, docs, text_col, tmp, "rest"))
+    tmp.drop("member2", "texts")
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, similar: bool = False) -> DataFrame:
@@ -280,24 +366,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             def with_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held("simhash", dict)
                 for batch in batches:
-                    fps, sizes, keys = [], [], []
+                    fps, sizes, keys, wide, z = [], [], [], [], []
                     for t in batch.column("t").to_pylist():
                         words = words_of(t)
                         h = shingles(words)
                         fps.append(of_words(words))
                         sizes.append(len(h))
                         keys.append(prefix(h, common, counts).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["id", "c", "fp", "n", "keys"])
+                        wide.append(sketch(h))
+                        z.append(fold_to(np.frombuffer(wide[-1], np.uint64), NARROW // 64).tobytes())
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(z, pa.binary()), pa.array(wide, pa.binary())], ["id", "c", "fp", "n", "keys", "z", "wide"])
 
             read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("c"))
-            featured = tmp.save(read.mapInArrow(with_prefix, f"id {dict(docs.dtypes)[id_col]}, c long, fp long, n int, keys array<long>"), "featured")
+            featured = tmp.save(read.mapInArrow(with_prefix, f"id {dict(docs.dtypes)[id_col]}, c long, fp long, n int, keys array<long>, z binary, wide binary"), "featured")
             rows = tmp.save(featured.select("id", "fp"), "rows", keep=True)
         else:
             rows = tmp.save(docs.select(F.col(id_col).alias("id"), fingerprint_udf(F.col(text_col)).alias("fp")), "rows", keep=True)
         fps = tmp.save(rows.groupBy("fp").agg(F.min("id").alias("least")), "fps", keep=True)
         links = link_table(fps, tmp, block)
         if similar:
-            links = similar_links(featured.select(F.explode("keys").alias("key"), "c", "fp", "n"), links, docs, text_col, tmp)
+            links = similar_links(featured, links, docs, text_col, tmp, block)
         stars = tmp.save(connected_components(links, tmp), "stars")
         rooted = tmp.save(fps.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
         leasts = tmp.save(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "leasts")

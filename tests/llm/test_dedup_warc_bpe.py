@@ -157,13 +157,45 @@ def test_near_duplicates_by_five_words(spark, monkeypatch):
                 old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
                 comp = [new if c == old else c for c in comp]
     assert missed > 100
-    for often in (3, 10**6):
+    for often, block in ((3, simhash.BLOCK), (10**6, 7)):
         monkeypatch.setattr(simhash, "OFTEN", often)
-        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows), similar=True).collect()}
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows), block=block, similar=True).collect()}
         assert got == dict(enumerate(comp))
     assert near_duplicates(docs(spark, []), similar=True).count() == 0
 
 
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(5)
+    left, apart = 0, 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 900))
+        a = rng.integers(0, 2**64, n, np.uint64)
+        b = np.concatenate([a[: n - int(n * rng.uniform(0, 0.25))], rng.integers(0, 2**64, int(n * rng.uniform(0, 0.25)), np.uint64)])
+        x, y = (np.frombuffer(simhash.sketch(h), np.uint64) for h in (a, b))
+        both = len(np.intersect1d(a, b))
+        similar = 5 * both >= 4 * (len(a) + len(b) - both)
+        for words in (8, min(len(x), len(y))):
+            may = simhash.may_be_similar(simhash.fold_to(x, words), simhash.fold_to(y, words), len(a), len(b))
+            assert may or not similar
+        left, apart = left + (may and not similar), apart + (not similar)
+    assert apart > 500 and left < 0.3 * apart
+
+
+def test_pairs_of_buckets():
+    """All pairs of every bucket that may be similar and have different roots; those of the first pass are among them, fewer than rows in each large bucket."""
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**64, 100, np.uint64) for _ in range(4)]
+    keys = np.sort(rng.integers(0, 12, 150))
+    rows = [np.concatenate([sets[rng.integers(4)][: 100 - cut], rng.integers(0, 2**64, cut, np.uint64)]) for cut in rng.integers(0, 15, 150)]
+    z = np.stack([simhash.fold_to(np.frombuffer(simhash.sketch(h), np.uint64), 8) for h in rows])
+    n, root, side = np.full(150, 100), rng.integers(0, 40, 150), np.full(150, -1)
+    want = {(x, y) for y in range(150) for x in range(y) if keys[x] == keys[y] and root[x] != root[y] and simhash.may_be_similar(z[x], z[y], 100, 100)}
+    as_set = lambda found: {(min(x, y), max(x, y)) for x, y in zip(*(v.tolist() for v in found))}
+    assert as_set(simhash.bucket_pairs(keys, root, n, z, side, True)) == want
+    some = as_set(simhash.bucket_pairs(keys, root, n, z, side, False))
+    assert some < want and all(sum(keys[x] == k for x, _ in some) < size for k, size in zip(*np.unique(keys, return_counts=True)) if size > simhash.FEW)
+
+
 def test_fingerprint_is_spark_xxhash(spark):
     text = "A b c D e"
     hashes = [r[0] & (1 << 64) - 1 for r in spark.sql("select xxhash64(s) from values ('a b c d'), ('b c d e') as t(s)").collect()]
