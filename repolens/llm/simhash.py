@@ -291,12 +291,12 @@ def _pairs(every: bool):
     return of
 
 
-def candidate_pairs(member: DataFrame, sketches: DataFrame, every: bool, tmp: Scratch, name: str, block: int) -> DataFrame:
-    """Distinct pairs (a < b: hashes of texts; u, v: fingerprints; na, nb: sizes) from the buckets of member (key, rows in the bucket, c, fp, n, root). Large buckets are dealt into blocks, as those of fingerprints are."""
+def candidate_pairs(member: DataFrame, texts: DataFrame, every: bool, tmp: Scratch, name: str, block: int) -> DataFrame:
+    """Distinct pairs (a < b: hashes of texts; u, v: fingerprints; na, nb: sizes) from the buckets of member (key, rows in the bucket, c) for texts (c, fp, n, z, root). Large buckets are dealt into blocks, as those of fingerprints are."""
     blocks = F.ceil(F.col("rows") / block)
     own = F.pmod(F.xxhash64("c"), blocks)
     met = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    dealt = member.join(sketches.select("c", "z").hint("merge"), "c").select("key", "c", "fp", "root", "n", "z", own.alias("own"), F.explode(met).alias("met"))
+    dealt = member.join(texts.select("c", "fp", "n", "z", "root").hint("merge"), "c").select("key", "c", "fp", "root", "n", "z", own.alias("own"), F.explode(met).alias("met"))
     side = F.when(F.col("own") == F.col("met"), -1).otherwise(F.col("own"))
     dealt = dealt.select(F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met")).alias("bucket"), "c", "fp", "root", "n", side.cast("long").alias("side"), "z")
     found = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_pairs(every), "a long, b long, u long, v long, na int, nb int")
@@ -335,18 +335,22 @@ def similar_links(featured: DataFrame, links: DataFrame, docs: DataFrame, text_c
     First in each large bucket some texts are held against those that may be similar to them, so that a large group costs a pair for each of its texts. Then all pairs of a bucket that may be similar and aren't joined yet are held against each other.
     """
     texts = tmp.save(featured.select("c", "fp", "n", "keys", "z", "wide").dropDuplicates(["c"]), "texts")
-    keyed = texts.select(F.explode("keys").alias("key"), "c", "fp", "n")
-    several = lambda df, root: df.groupBy("key").agg(F.min(root).alias("f"), F.max(root).alias("g"), F.count(F.lit(1)).alias("rows")).where("f <> g").select("key", "rows")
-    member = tmp.save(keyed.join(tmp.save(several(keyed, "fp"), "buckets").hint("merge"), "key"), "member0")
-    first = candidate_pairs(member.withColumn("root", F.col("fp")), texts, False, tmp, "first", block)
+    # Keys are unique in a text, and only they and the text's hash are shuffled.
+    keyed = texts.select(F.explode("keys").alias("key"), "c")
+    buckets = tmp.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "buckets")
+    member = tmp.save(keyed.join(buckets.hint("merge"), "key"), "member")
+    tmp.drop("buckets")
+    first = candidate_pairs(member, texts.withColumn("root", F.col("fp")), False, tmp, "first", block)
     links = links.unionByName(similar_pairs(first, texts, docs, text_col, tmp, "first"))
     stars = tmp.save(connected_components(links, tmp, "joined").withColumnRenamed("node", "fp"), "joined")
-    rooted = tmp.save(member.drop("rows").join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "member1")
-    member = tmp.save(rooted.join(several(rooted, "root").hint("merge"), "key"), "member2")
-    tmp.drop("buckets", "member0", "member1")
-    rest = candidate_pairs(member, texts, True, tmp, "rest", block).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    joined = tmp.save(texts.select("c", "fp", "n", "z").join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "joinedtexts")
+    rooted = tmp.save(member.join(joined.select("c", "root").hint("merge"), "c"), "memberroots")
+    tmp.drop("member")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("f"), F.max("root").alias("g")).where("f <> g").select("key")
+    rest = candidate_pairs(rooted.drop("root").join(apart.hint("merge"), "key"), joined, True, tmp, "rest", block).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    tmp.drop("memberroots", "joinedtexts")
     links = links.unionByName(similar_pairs(rest, texts, docs, text_col, tmp, "rest"))
-    tmp.drop("member2", "texts")
+    tmp.drop("texts")
     return links
 
 
