@@ -45,6 +45,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
 
+    def claim(self, name: str, keep: bool = False) -> str:
+        """A path that is deleted like a table of this name."""
+        path = f"{self.root}/{name}"
+        self.made[path] = keep
+        return path
+
     def save(self, df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.options(**options).parquet(path)

@@ -14,9 +14,14 @@ from .htmltext import extract_text
 from .langid import identify_languages
 from .licenses import oracle as licence_sql
 from .licenses import scan_licences
+from .media import media_columns
 from .pii import find_personal_data
+from .resampling import oracle as resampling_sql
+from .resampling import resample
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
+from .vector_codes import compress
+from .vector_codes import oracle as vector_sql
 from .warc import BASE32, archive_pages
 
 
@@ -66,6 +71,18 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_sentences": op1_licence_sentences,
     "op2_warc_revisits": op2_warc_revisits,
@@ -77,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tree_model_html_text": op8_tree_model_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_latent_decontamination": op10_latent_decontamination,
+    "op11_media_columns": op11_media_columns,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: Base32 of a hexadecimal SHA-1 h: five digits make four letters.
@@ -89,6 +109,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url FROM p JOIN f USING (h)
     """,
     "op1_licence_sentences": licence_sql(),
+    "op12_vector_codes": vector_sql(),
+    "op13_importance_resampling": resampling_sql(),
     "op9_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
