@@ -1,14 +1,15 @@
-"""Repair and coercion as Columns. Texts that the JVM parses don't reach Python unless a schema has to be checked."""
+"""Repair and coercion as Columns. Texts that the JVM parses, and that fit the schema if there is one, don't reach Python."""
 
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StringType, StructField, StructType
 
 from ...session import ship
 from .driver import parse_and_validate
@@ -16,6 +17,15 @@ from .driver import parse_and_validate
 RESULT = StructType([StructField("json", StringType()), StructField("repairs", ArrayType(StringType())), StructField("steps", ArrayType(StringType())), StructField("mutated", BooleanType()), StructField("error", StringType())])
 
 
+def _json(data: object) -> str:
+    """JSON of parsed data; numbers that it can't hold become null."""
+    try:
+        return json.dumps(data, ensure_ascii=False, allow_nan=False)
+    except ValueError:
+        plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else [plain(v) for v in x] if isinstance(x, list) else None if isinstance(x, float) and not math.isfinite(x) else x
+        return json.dumps(plain(data), ensure_ascii=False)
+
+
 def _udf(schema: DataType | None):
     @pandas_udf(RESULT)
     def repair(texts: pd.Series) -> pd.DataFrame:
@@ -25,22 +35,55 @@ def _udf(schema: DataType | None):
                 rows.append((None, None, None, None, None))
                 continue
             r = parse_and_validate(text, schema)
-            rows.append((json.dumps(r.data, ensure_ascii=False) if r.ok else None, r.repairs, r.steps, r.significant or any(s not in ("structure: fences",) for s in r.steps), r.error))
+            rows.append((_json(r.data) if r.ok else None, r.repairs, r.steps, r.significant or any(s not in ("structure: fences",) for s in r.steps), r.error))
         return pd.DataFrame(rows, columns=RESULT.names)
 
     return repair
 
 
+def one_value(text: Column) -> Column:
+    """Whether a text is one whole JSON object or array. The JVM's parser stops after the first value, so the text stands in an object whose last property must be reached, and in an array that must have one element. What follows a first value can pass for the rest of an object, or for the rest of an array, but not for both."""
+    last = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"text":'), text, F.lit(',"_end_of_text":true}'))), "$._end_of_text", "boolean")
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    single = F.try_variant_get(alone, "$[0]", "variant").isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
+    return F.coalesce(last & single & F.ltrim(text).rlike(r"^\s*[{\[]"), F.lit(False))
+
+
+def fits(value: Column, schema: DataType) -> Column:
+    """Whether a variant fits a schema as it is, by the rules of coerce.invalid. Where the JVM can't tell, it says no."""
+    kind = F.schema_of_variant(value)
+    if isinstance(schema, StructType):
+        good = kind.startswith("OBJECT<")
+        for f in schema.fields:
+            if '"' in f.name or "\\" in f.name:
+                return F.lit(False)
+            field = F.try_variant_get(value, f'$["{f.name}"]', "variant")
+            good = good & F.when(field.isNull(), F.lit(f.nullable)).otherwise(fits(field, f.dataType))
+    elif isinstance(schema, ArrayType):
+        items = F.try_variant_get(value, "$", "array<variant>")
+        good = kind.startswith("ARRAY<") & F.forall(items, lambda x: fits(x, schema.elementType))
+    elif isinstance(schema, BooleanType):
+        good = kind == "BOOLEAN"
+    elif isinstance(schema, NumericType):
+        good = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    elif isinstance(schema, StringType):
+        good = kind == "STRING"
+    else:
+        good = value.isNotNull()
+    return F.coalesce(good, F.lit(False))
+
+
 def repaired(df: DataFrame, text: str, out: str = "repaired", schema: DataType | None = None) -> DataFrame:
-    """df with struct(json, repairs, steps, mutated, error) of a text column. Without a schema, texts that parse strictly are passed on as they are. A null text is an error."""
+    """df with struct(json, repairs, steps, mutated, error) of a text column. Texts that are whole JSON, and fit the schema if there is one, are passed on as they are. A null text is an error."""
     ship(df.sparkSession)
     c = F.col(text)
-    # The JVM's parser stops after the first value, so the text stands within an object whose last property must be reached.
-    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"text":'), c, F.lit(',"_end_of_text":true}'))), "$._end_of_text", "boolean")
-    good = F.lit(False) if schema is not None else F.coalesce(whole & F.ltrim(c).rlike(r"^\s*[{\[]"), F.lit(False))
+    good = one_value(c)
+    if schema is not None:
+        good = good & fits(F.try_parse_json(c), schema)
     fine = F.struct(c.alias("json"), F.array().cast("array<string>").alias("repairs"), F.array().cast("array<string>").alias("steps"), F.lit(False).alias("mutated"), F.lit(None).cast("string").alias("error"))
-    rest = _udf(schema)(F.when(~good, F.coalesce(c, F.lit(""))))
-    return df.withColumn(out, F.when(good, fine).otherwise(rest))
+    marked = df.withColumn("_whole", good)
+    rest = _udf(schema)(F.when(~F.col("_whole"), F.coalesce(c, F.lit(""))))
+    return marked.withColumn(out, F.when(F.col("_whole"), fine).otherwise(rest)).drop("_whole")
 
 
 def parsed(df: DataFrame, text: str, schema: DataType, out: str = "parsed") -> DataFrame:

@@ -16,7 +16,11 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"json_fast_path", "json_repair"}))
+#: Queries over texts that are broken, at least in part: the JVM tells which, and only those are repaired in Python.
+BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BROKEN_TEXTS))
 def test_queries_stay_in_the_jvm(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables")

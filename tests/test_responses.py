@@ -1,10 +1,12 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from repolens.functions.jsonrepair import columns
+from repolens.functions.jsonrepair.coerce import invalid
 from repolens.functions.jsonrepair.driver import parse
 from repolens.operators import batching, completion, responses, retrieval
 from repolens.operators.completion import Candidate, Response
@@ -37,6 +39,52 @@ def test_texts_that_go_on_after_the_first_value_are_repaired(spark):
     assert [r["mutated"] for r in got] == [True] * 5 + [False]
 
 
+WHOLE = ['{"k": 1}', ' {"k": 1.5, "more": [null]}\n', '{"k": 1e3, "x": {"k": "text"}}']
+#: Texts whose first value is followed by what could pass for the rest of an object or an array, and others that aren't JSON as they stand.
+NOT_WHOLE = ['{"k": 1},"b": {"c": 2}', '[1, 2],"x":3', '{"k": 1},"_end_of_text":true}', '[1],"_end_of_text":true} and more', '{"k": 1}, {"k": 2}', '{"k": 1}] and more', '[1], [2', '{"k": 1}}', '{"k": 1', "", "no JSON", '"text"', "3"]
+#: JSON that doesn't fit the schema as it is.
+UNFIT = ['{"k": "1"}', '{"k": null}', '{"l": 1}', "[1, 2]", '{"k": true}']
+
+
+def reached(monkeypatch, spark, texts, schema=None):
+    """The texts that Python gets to see."""
+
+    def mark(_):
+        @F.pandas_udf(columns.RESULT)
+        def python(x: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([(t, None, None, None, None if t is None else "python") for t in x], columns=columns.RESULT.names)
+
+        return python
+
+    monkeypatch.setattr(columns, "_udf", mark)
+    got = columns.repaired(spark.createDataFrame([(t,) for t in texts], "t string"), "t", schema=schema)
+    return [r["t"] for r in got.where("repaired.error = 'python'").collect()]
+
+
+def test_whole_texts_stay_in_the_jvm(spark, monkeypatch):
+    texts = [*WHOLE, *UNFIT, *NOT_WHOLE]
+    assert sorted(reached(monkeypatch, spark, texts)) == sorted(NOT_WHOLE)
+    assert sorted(reached(monkeypatch, spark, texts, SCHEMA)) == sorted([*UNFIT, *NOT_WHOLE])
+
+
+def test_what_passes_is_json(spark):
+    got = columns.repaired(spark.createDataFrame([(t,) for t in [*WHOLE, *NOT_WHOLE, '{"k": 1e999, x: [1e999, 2]}']], "t string"), "t").collect()
+    for r in got:
+        assert r["repaired"]["error"] or json.loads(r["repaired"]["json"], parse_constant=lambda c: pytest.fail(c)) is not None
+    assert {r["t"]: r["repaired"]["mutated"] for r in got if not r["repaired"]["error"]}['{"k": 1},"b": {"c": 2}']
+
+
+NESTED = StructType([StructField("name", StringType(), False), StructField("items", ArrayType(StructType([StructField("n", DoubleType(), False), StructField("on", BooleanType())]))), StructField("tags", ArrayType(StringType()))])
+
+
+def test_the_jvm_accepts_what_python_does(spark, monkeypatch):
+    """Every text that the JVM lets through fits the schema by Python's check, and every one that fits is let through."""
+    texts = ['{"name": "a"}', '{"name": "a", "items": []}', '{"name": "a", "items": [{"n": 1}, {"n": 2.5, "on": true}], "tags": ["x", ""]}', '{"name": "", "tags": [], "other": {"n": []}}']
+    wrong = ['{"name": 1}', "{}", '{"name": "a", "items": [{"on": true}]}', '{"name": "a", "items": {"n": 1}}', '{"name": "a", "items": [{"n": 1, "on": 0}]}', '{"name": "a", "tags": ["x", 1]}', '{"name": "a", "tags": ["x", null]}', '{"name": "a", "items": null}', '[{"name": "a"}]']
+    assert all(invalid(json.loads(t), NESTED) is None for t in texts) and all(invalid(json.loads(t), NESTED) for t in wrong)
+    assert sorted(reached(monkeypatch, spark, [*texts, *wrong], NESTED)) == sorted(wrong)
+
+
 def test_gate():
     assert responses.gate("some text").data == "some text"
     for blank in ("", " \n\t", " ﻿"):
