@@ -514,10 +514,18 @@ def token_batches(spark, sf_dir):
     return B.token_batches(table(spark, sf_dir, "conversations"), "role", ["conv_id", "turn"], "text", max_tokens=128, ratio=0.5, chars_per_token=4.0)
 
 
-@query(f"""WITH n AS (SELECT role, sum({TOKENS}) AS n, max(length(text)) AS m FROM conversations GROUP BY role) SELECT role, CASE WHEN n <= 64000000 THEN 'single-pass' ELSE 'map-reduce' END AS strategy FROM n""")
+@query(f"""SELECT conv_id, CASE WHEN sum({TOKENS}) <= 64 THEN 'single-pass' ELSE 'map-reduce' END AS strategy FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
 def batch_strategies(spark, sf_dir):
-    b = B.token_batches(table(spark, sf_dir, "conversations"), "role", ["conv_id", "turn"], "text", max_tokens=128_000_000, ratio=0.5, chars_per_token=4.0)
-    return B.strategies(b, "role").select("role", "strategy")
+    """Conversations that fit one batch, and others."""
+    b = B.token_batches(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", max_tokens=128, ratio=0.5, chars_per_token=4.0)
+    return B.strategies(b, "conv_id").select("conv_id", "strategy")
+
+
+@query("SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn, pos) - 1 AS position, w AS element FROM (SELECT role, conv_id, turn, pos, words[pos] AS w FROM (SELECT *, string_split(text, ' ') AS words FROM conversations), range(1, 100000) t(pos) WHERE pos <= len(words))")
+def combined_elements(spark, sf_dir):
+    """The words of all texts of a role, one list after the other, each with its position."""
+    c = table(spark, sf_dir, "conversations").select("role", F.struct("conv_id", "turn").alias("o"), F.split("text", " ").alias("words"))
+    return B.combined_elements(c, "role", "o", "words")
 
 
 @query("SELECT role, string_agg(text, '|' ORDER BY conv_id, turn) AS words FROM conversations WHERE text <> '' GROUP BY role")
