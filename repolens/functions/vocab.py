@@ -94,6 +94,7 @@ CHARS_PER_TOKEN, BATCH_RATIO = 3.6, 0.7
 COMPLETION_BUFFER, COMPLETION_RATIO, PROMPT_RATIO = 5, 0.75, 0.85
 ATTEMPTS, LEAST_DELAY_S, MOST_DELAY_S, CONCURRENCY = 3, 10, 90, 50
 SEARCH_RESULTS = 6
+SEARCH_CANDIDATES = 150
 #: By provider, in order: pattern (Java syntax), unit, and the groups of limit, prompt and completion (0: none).
 ERROR_PATTERNS = {
     "bedrock": (

@@ -1,22 +1,16 @@
-"""Vector search and retrieval for answers."""
+"""Search by one vector, and retrieval for answers. Searches by many vectors are in nearest.py, those by an index in vector_index.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import vocab as V
 from .select import of_project
 
-#: Queries that a task holds at a time: some MB of vectors.
-QUERIES_AT_ONCE = 5000
-
 NO_ANSWER = "Unable to answer question because no relevant code was found"
 
 
@@ -32,31 +26,6 @@ def nearest(rows: DataFrame, query: Sequence[float], vector: str = "contentVecto
     return rows.where(F.col(vector).isNotNull()).withColumn("distance", euclidean(F.col(vector), q)).where("distance is not null").orderBy("distance", key).limit(k)
 
 
-def nearest_of_many(rows: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, k: int = V.SEARCH_RESULTS) -> DataFrame:
-    """For each query (query_key, vector) its k nearest rows. Queries are a stated set: they are counted, and go to all tasks in blocks of about QUERIES_AT_ONCE. The rank limit reaches below the shuffle: each task keeps its k best of each query."""
-    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
-    if blocks > 1:
-        block = F.pmod(F.xxhash64(query_key), F.lit(blocks))
-        return reduce(DataFrame.unionByName, (_nearest_of_block(rows, queries.where(block == b), vector, key, query_key, k) for b in range(blocks)))
-    return _nearest_of_block(rows, queries, vector, key, query_key, k)
-
-
-def _nearest_of_block(rows: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, k: int) -> DataFrame:
-    pairs = rows.select(key, F.col(vector).alias("_v")).join(F.broadcast(queries.select(query_key, F.col(vector).alias("_q"))))
-    pairs = pairs.select(query_key, F.struct(euclidean(F.col("_v"), F.col("_q")).alias("distance"), F.col(key)).alias("hit")).where("hit.distance is not null")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy("hit"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(query_key, "rank", "hit.*")
-
-
-def nearest_approximate(rows: DataFrame, query: Sequence[float], vector: str = "contentVector", k: int = V.SEARCH_RESULTS, bucket: float = 2.0, tables: int = 4, seed: int = 1) -> DataFrame:
-    """Nearest rows among those that share a random-projection bucket with the query; may miss some."""
-    from pyspark.ml.linalg import Vectors
-
-    lsh = BucketedRandomProjectionLSH(inputCol="_vector", outputCol="_hash", bucketLength=bucket, numHashTables=tables, seed=seed)
-    data = rows.withColumn("_vector", array_to_vector(vector))
-    return lsh.fit(data).approxNearestNeighbors(data, Vectors.dense(query), k, distCol="distance").drop("_vector", "_hash")
-
-
 def markdown_context(files: DataFrame, kind: str = "fileExtension", content: str = "content", order: str = "distance") -> DataFrame:
     """Code blocks of a few files (the results of a search), in order, as one text."""
     blocks = F.sort_array(F.collect_list(F.struct(order, X.code_block(F.col(kind), F.col(content)).alias("block"))))

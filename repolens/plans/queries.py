@@ -23,7 +23,10 @@ from ..operators import providers as P
 from ..operators import responses
 from ..operators import retrieval as R
 from ..operators import select as S
+from ..operators import vector_index
 from ..operators import windows as W
+from ..operators.nearest import nearest_of_many
+from ..scratch import Scratch
 from ..sources import ingest as I
 from ..sources import store
 from . import report as O
@@ -492,7 +495,23 @@ def vector_search(spark, sf_dir):
     (SELECT q.vec_id AS query_id, e.vec_id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE))))) AS d FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 6""")
 def vector_search_many(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return R.nearest_of_many(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), "embedding", "vec_id", "query_id").select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+    return nearest_of_many(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), "embedding", "vec_id", "query_id").select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT vec_id AS query_id, vec_id AS nearest, 6 AS results, true AS in_project, true AS recalled FROM embeddings WHERE vec_id % 50 = 0 AND label < 5")
+def vector_index_recall(spark, sf_dir):
+    """An index over all vectors, searched by every vector whose id is divisible by 50, within the labels under 5: the nearest row found, the number of results, whether the filter held, and whether the results of all queries hold at least nine tenths of the exact ones."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0 AND label < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    with Scratch(spark, "vector_index") as tmp:
+        path = tmp.claim("index")
+        vector_index.build(e, path, "vec_id", "embedding", ("label",))
+        found = tmp.save(vector_index.search(spark, path, asked, "query_id", "embedding", where="label < 5"), "found", keep=True)
+    exact = nearest_of_many(e.where("label < 5"), asked, "embedding", "vec_id", "query_id").select("query_id", F.col("vec_id").alias("key"), F.lit(1).alias("right"))
+    both = found.join(exact, ["query_id", "key"], "left").join(e.select(F.col("vec_id").alias("key"), "label"), "key")
+    each = both.groupBy("query_id").agg(F.min_by("key", "rank").alias("nearest"), F.count(F.lit(1)).cast("int").alias("results"), F.bool_and(F.col("label") < 5).alias("in_project"), F.count("right").alias("right"))
+    whole = each.agg((F.sum("right") >= 0.9 * F.sum("results")).alias("recalled"))
+    return each.drop("right").join(F.broadcast(whole))
 
 
 @query("SELECT string_agg('```' || lang || chr(10) || text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY doc_id) AS context FROM documents WHERE doc_id < 6")

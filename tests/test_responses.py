@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, Stri
 from repolens.functions.jsonrepair import columns
 from repolens.functions.jsonrepair.coerce import invalid
 from repolens.functions.jsonrepair.driver import parse
-from repolens.operators import batching, completion, responses, retrieval
+from repolens.operators import batching, completion, nearest, responses, retrieval
 from repolens.operators.completion import Candidate, Response
 from repolens.plans.json_forms import FORMS
 from repolens.sources import store
@@ -162,7 +162,7 @@ def test_batches_of_texts_that_share_a_place(spark):
 
 def test_queries_in_blocks(spark, monkeypatch):
     rows = spark.range(50).select(F.col("id").alias("k"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("v"))
-    wanted = lambda: sorted(map(tuple, retrieval.nearest_of_many(rows, rows.where("k % 5 = 0").select(F.col("k").alias("q"), "v"), "v", "k", "q", 3).collect()))
+    wanted = lambda: sorted(map(tuple, nearest.nearest_of_many(rows, rows.where("k % 5 = 0").select(F.col("k").alias("q"), "v"), "v", "k", "q", 3).collect()))
     whole = wanted()
-    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(nearest, "QUERIES_AT_ONCE", 3)
     assert wanted() == whole and len(whole) == 30
