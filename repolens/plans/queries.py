@@ -29,6 +29,7 @@ from ..operators.nearest import nearest_of_many
 from ..scratch import Scratch
 from ..sources import ingest as I
 from ..sources import store
+from ..sources.tree import write_files
 from . import report as O
 from .json_forms import FORMS
 
@@ -564,6 +565,20 @@ def combine_texts(spark, sf_dir):
 NAMES = ["A.java", "b.min.js", "c.png", "d_pb2.py", "E.TAR", "readme.md", "g.generated.ts", "h.go"]
 
 
+FOLDERS = ["src", "node_modules", "src/deep/er", ".git", "lib/docs/x", "web"]
+
+
+@query("""SELECT CASE page_id % 6 WHEN 0 THEN 'src' WHEN 2 THEN 'src/deep/er' ELSE 'web' END || '/page' || page_id || '.html' AS filepath, strlen(coalesce(html, '')) AS size, length(coalesce(html, '')) AS chars FROM pages WHERE page_id % 6 IN (0, 2, 5)""")
+def source_tree(spark, sf_dir):
+    """Every page as a file of a tree some of whose folders are ignored, and what a scan of the tree finds."""
+    place = F.get(F.array(*(F.lit(f) for f in FOLDERS)), (F.col("page_id") % 6).cast("int"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(place, F.lit("/page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    with Scratch(spark, "tree") as tmp:
+        root = tmp.claim("files", keep=True)
+        write_files(pages, root)
+    return I.scan(spark, root).select("filepath", "size", F.char_length(F.col("content").cast("string")).cast("long").alias("chars"))
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, doc_id % 8 AS k, CASE WHEN doc_id % 11 = 0 THEN '// Code generated by x' || chr(10) || text WHEN doc_id % 13 = 0 THEN ' ' || chr(10) ELSE text END AS c FROM documents) WHERE k IN (0, 5, 7) AND NOT c LIKE '// Code generated by%' AND trim(c, ' ' || chr(10)) <> ''")
 def ingest_filters(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -10,27 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..functions import vocab as V
+from .tree import read_contents, read_tree
 
 
-def _plain(path: Column) -> Column:
-    return F.regexp_replace(path, "^file:/*", "/")
-
-
-def scan(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
-    """Files below one or several roots, without ignored folders and names and without dot files: sourceRoot, path, filepath (below the root), filename, size, content. Contents are only read if they are used."""
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    out = None
-    for root in roots:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        plain = re.sub("^file:/*", "/", root).rstrip("/")
-        path = _plain(F.col("path"))
-        some = files.select(F.lit(root).alias("sourceRoot"), path.alias("path"), X.relative_path(F.lit(plain), path).alias("filepath"), F.col("length").alias("size"), "content")
-        out = some if out is None else out.unionByName(some)
-    out = out.withColumn("filename", X.basename(F.col("path")))
-    folder = "|".join(re.escape(f) for f in V.IGNORED_FOLDERS)
-    hidden = F.col("filepath").rlike(r"(^|/)\.")
-    ignored = F.col("filepath").rlike(rf"(^|/)({folder})/") | F.col("filename").startswith(V.IGNORED_PREFIX) | F.col("filename").isin(*V.IGNORED_NAMES)
-    return out.where(~hidden & ~ignored)
+def scan(spark: SparkSession, roots: str | Sequence[str], content: bool = True) -> DataFrame:
+    """Files below one or several roots, without ignored folders and names and without dot files: sourceRoot, path, filepath (below the root), filename, size, and content if it is wanted. Ignored folders aren't entered; partitions have about as many bytes each."""
+    files = read_tree(spark, [roots] if isinstance(roots, str) else list(roots))
+    return read_contents(files) if content else files
 
 
 def largest_first(files: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -85,9 +71,9 @@ def new_files(files: DataFrame, known: DataFrame, key: str = "filepath") -> Data
 
 def ingest(spark: SparkSession, roots: str | Sequence[str], project: str, known: DataFrame | None = None) -> DataFrame:
     """Rows for the sources table; names are filtered before contents are read."""
-    files = scan(spark, roots)
+    files = scan(spark, roots, content=False)
     files = without_generated_names(without_binary(files.withColumn("fileExtension", X.extension(F.col("filename")))))
     if known is not None:
         files = new_files(files, known.where(F.col("projectName") == project))
-    rows = without_empty(without_generated_headers(describe(files)))
+    rows = without_empty(without_generated_headers(describe(read_contents(files))))
     return rows.select(F.lit(project).alias("projectName"), "filename", "filepath", "fileExtension", "canonicalType", "linesCount", "isCode", "content")

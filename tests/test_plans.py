@@ -18,11 +18,13 @@ def plan(df):
 
 #: Queries over texts that are broken, at least in part: the JVM tells which, and only those are repaired in Python.
 BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate"}
+#: Queries that read files themselves.
+FILES = {"source_tree"}
 #: Queries whose vectors are multiplied as matrices.
 MATRICES = {"vector_search_many", "vector_index_recall"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - BROKEN_TEXTS - MATRICES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BROKEN_TEXTS - FILES - MATRICES))
 def test_queries_stay_in_the_jvm(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
