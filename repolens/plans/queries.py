@@ -29,6 +29,7 @@ from ..operators.nearest import nearest_of_many
 from ..scratch import Scratch
 from ..sources import ingest as I
 from ..sources import store
+from ..sources.keyed import KeyIndex
 from ..sources.tree import write_files
 from . import report as O
 from .json_forms import FORMS
@@ -760,3 +761,34 @@ def string_to_array(spark, sf_dir):
     k = F.col("event_type")
     texts = {"a": F.concat(F.lit("- "), k, F.lit("\n* x")), "b": F.concat(F.lit("1. "), k, F.lit("\n2) y")), "c": F.concat(k, F.lit(", b; c")), "d": F.concat(k, F.lit(", as it is, was. It ended.")), "e": F.concat(F.lit("['"), k, F.lit("', 'q']"))}
     return table(spark, sf_dir, "events").select("event_id", *(F.array_join(J.list_column(c), "|").alias(n) for n, c in texts.items()))
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS s, count(*) AS rows, count(*) FILTER (o_orderkey % 7 <> 0 AND o_orderstatus IN ('F', 'O')) AS first_kept, count(*) FILTER (o_orderkey % 7 <> 0) AS second_kept FROM orders GROUP BY 1)
+    SELECT s AS status, first_kept AS kept, rows - first_kept AS refused, CAST(1 AS INTEGER) AS version FROM o UNION ALL SELECT s, second_kept, rows - second_kept, 2 FROM o""")
+def table_constraints(spark, sf_dir):
+    """Orders written to a table that demands a clerk and knows two statuses, and to it again when a third was added: rows kept and refused by status and version."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("projectName"), F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 7 != 0, F.struct(F.col("o_orderpriority").alias("name"))).alias("clerk"))
+    ddl, parts = "projectName string, key bigint, clerk struct<name: string>", []
+    with Scratch(spark, "constraints") as tmp:
+        for version, statuses in ((1, ["F", "O"]), (2, ["F", "O", "P"])):
+            at, bad = tmp.claim("orders", keep=True), tmp.claim(f"refused{version}", keep=True)
+            kept = store.create(spark, at, ddl, required=["key", "clerk", "clerk.name"], vocabularies={"projectName": statuses})
+            store.insert(o.withColumn("key", F.col("key") + F.lit(version) * (1 << 40)), at, bad)
+            good = store.read(spark, at).where(F.shiftright("key", 40) == version).groupBy(F.col("projectName").alias("status")).agg(F.count(F.lit(1)).alias("kept"))
+            refused = spark.read.parquet(bad).groupBy(F.col("projectName").alias("status")).agg(F.count(F.lit(1)).alias("refused"))
+            both = good.join(refused, "status", "full_outer").select("status", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("refused", F.lit(0)).alias("refused"), F.lit(kept.version).alias("version"))
+            parts.append(both)
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT user_id, min(event_id % 3) AS batch, true AS indexed FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def keyed_inserts(spark, sf_dir):
+    """Users of events, inserted in three batches through an index of keys: each stands in the table once, from its first batch, and in the index."""
+    e = table(spark, sf_dir, "events").where("user_id is not null").select(F.lit("p").alias("projectName"), F.col("user_id").cast("string").alias("filepath"), (F.col("event_id") % 3).alias("batch"))
+    with Scratch(spark, "keyed") as tmp:
+        at, _ = tmp.claim("users", keep=True), tmp.claim("users-keys", keep=True)
+        index = KeyIndex(spark, at, buckets=8)
+        for b in range(3):
+            store.insert_new(e.where(F.col("batch") == b), at, valid=F.lit(True), index=index)
+        keys = index.keys().groupBy(F.get_json_object("key", "$[1]").alias("filepath")).agg((F.count(F.lit(1)) == 1).alias("indexed"))
+    return store.read(spark, at).join(keys, "filepath").select(F.col("filepath").cast("long").alias("user_id"), "batch", "indexed")

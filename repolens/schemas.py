@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+# Names of fields, which stored data and model answers bear.
 FUNCTION = "STRUCT<name: STRING, purpose: STRING, parameters: ARRAY<STRUCT<name: STRING, type: STRING>>, returnType: STRING, cyclomaticComplexity: DOUBLE, linesOfCode: DOUBLE, codeSmells: ARRAY<STRING>>"
 STORED = "STRUCT<name: STRING, objectType: STRING, purpose: STRING, complexity: STRING, complexityReason: STRING, linesOfCode: DOUBLE>"
 SUMMARY = f"""STRUCT<

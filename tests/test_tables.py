@@ -41,7 +41,7 @@ def test_prompts_and_questions(spark, tmp_path):
 
 
 def test_store(spark, tree, tmp_path):
-    at, bad = str(tmp_path / "t"), str(tmp_path / "bad")
+    at, bad = str(tmp_path / "output/t"), str(tmp_path / "output/bad")  # in a folder that scans ignore
     store.create(spark, at)
     rows = ingest.ingest(spark, str(tree), "p")
     store.insert(rows.unionByName(rows.withColumn("projectName", F.lit("q"))).unionByName(rows.limit(1).withColumn("canonicalType", F.lit("odd"))), at, bad)
