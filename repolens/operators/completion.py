@@ -5,13 +5,18 @@ A model is a function(prompt, model name) -> Response. It runs in Python workers
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import time
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
+from itertools import groupby, islice
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,17 +123,98 @@ def complete(model: Model, prompt: str, chain: Sequence[Candidate], retry_invali
     return out
 
 
-def map_prompts(prompts: DataFrame, model: Model, chain: Sequence[Candidate], prompt: str = "prompt", concurrency: int = V.CONCURRENCY, retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep, check: Check | None = None) -> DataFrame:
-    """prompts with answer, model and events; calls run in as many tasks as concurrency allows, one at a time in each."""
-    ship(prompts.sparkSession)
+#: Folders that kept answers are dealt to; a task holds those of one folder at a time, by the hashes of their prompts. Answers that are kept at a time, and seconds after which fewer are.
+FOLDERS, KEPT_AT_ONCE, KEPT_AFTER_S = 256, 32, 10.0
+
+
+def _name(prompt: str | None, chain: Sequence[Candidate], retry_invalid: bool) -> str:
+    """What an answer is kept under: a prompt that is put to other models is another one."""
+    return hashlib.sha256(json.dumps([prompt, [(c.name, c.most_completion) for c in chain], retry_invalid]).encode()).hexdigest()
+
+
+class Answers:
+    """Outcomes of prompts, kept in files that are written once; None for a folder keeps nothing. A file that a lost worker left unfinished counts up to where it breaks off."""
+
+    def __init__(self, folder: str | None, name: str):
+        self.store, self.path = fs.FileSystem.from_uri(f"{folder.rstrip('/')}/{name}") if folder else (None, None)
+        self.known: dict[str, Outcome] = {}
+        self.waiting: list[tuple[str, Outcome]] = []
+        self.since = time.monotonic()
+        if self.store:
+            self.store.create_dir(self.path, recursive=True)
+            for info in self.store.get_file_info(fs.FileSelector(self.path)):
+                with self.store.open_input_stream(info.path) as f:
+                    for line in f.read().decode(errors="replace").splitlines():
+                        try:
+                            key, text, model, events = json.loads(line)
+                        except ValueError:
+                            continue
+                        self.known[key] = Outcome(text, model, events)
+
+    def add(self, key: str, outcome: Outcome, at_once: int = KEPT_AT_ONCE) -> None:
+        self.known[key] = outcome
+        self.waiting.append((key, outcome))
+        if len(self.waiting) >= at_once or time.monotonic() - self.since > KEPT_AFTER_S:
+            self.keep()
+
+    def keep(self) -> None:
+        if self.store and self.waiting:
+            with self.store.open_output_stream(f"{self.path}/{uuid.uuid4().hex}.jsonl") as f:
+                f.write("".join(json.dumps([k, o.text, o.model, o.events]) + "\n" for k, o in self.waiting).encode())
+        self.waiting, self.since = [], time.monotonic()
+
+
+def answered(rows: Iterable[tuple[str, str | None, str]], ask: Callable[[str | None], Outcome], answers: Callable[[str], Answers], threads: int, at_once: int) -> Iterator[Outcome]:
+    """Outcomes of (folder, prompt, key) rows in their order, by folder. Prompts without an answer are asked once each, so many at a time; what is done is kept even if a later call fails."""
+    held = None
+    with ThreadPoolExecutor(threads) as pool:
+        for folder, group in groupby(rows, key=lambda r: r[0]):
+            held = answers(folder)
+            group = list(group)
+            todo = {key: prompt for _, prompt, key in group if key not in held.known}
+            running, left = {}, iter(todo.items())
+            try:
+                while True:
+                    for key, prompt in islice(left, threads - len(running)):
+                        running[pool.submit(ask, prompt)] = key
+                    if not running:
+                        break
+                    done, _ = wait(running, return_when=FIRST_COMPLETED)
+                    for d in done:
+                        held.add(running.pop(d), d.result(), at_once)
+            finally:
+                held.keep()
+            yield from (held.known[key] for _, _, key in group)
+
+
+def map_prompts(prompts: DataFrame, model: Model, chain: Sequence[Candidate], prompt: str = "prompt", concurrency: int = V.CONCURRENCY, retry_invalid: bool = True, sleep: Callable[[float], None] = time.sleep, check: Check | None = None, answers: str | None = None, tasks: int | None = None, at_once: int = KEPT_AT_ONCE) -> DataFrame:
+    """prompts with answer, model and events; at most concurrency calls run at a time, in all tasks together.
+
+    Prompts are dealt to tasks by their hash, so equal ones are asked once, and each task makes its share of the calls at a time. With a folder for answers (in a store that pyarrow.fs opens), what is answered is kept there every at_once calls; a task that runs again, or a later job with the same prompts, models and folder, asks only the others. Failed prompts are kept, too: another folder asks them again. Without a folder nothing outlives a task.
+    """
+    spark = prompts.sparkSession
+    ship(spark)
+    tasks = max(1, min(concurrency, tasks or spark.sparkContext.defaultParallelism))
+    threads, chain = max(1, concurrency // tasks), list(chain)
+    folder = F.lower(F.hex(F.pmod(F.xxhash64(F.coalesce(prompt, F.lit(""))), F.lit(FOLDERS))))
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in prompts.dtypes), "answer string", "model string", "events array<string>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opened: list[tuple[str, Answers]] = []
+
+        def of(name: str) -> Answers:
+            if not opened or opened[0][0] != name:
+                opened[:] = [(name, Answers(answers, name))]
+            return opened[0][1]
+
         for batch in batches:
-            done = [complete(model, p, chain, retry_invalid, sleep, check) for p in batch[prompt]]
-            yield batch.assign(answer=[d.text for d in done], model=[d.model for d in done], events=[d.events for d in done])
+            texts = [None if pd.isna(p) else p for p in batch[prompt]]
+            rows = [(f, p, _name(p, chain, retry_invalid)) for f, p in zip(batch["_folder"], texts, strict=True)]
+            done = list(answered(rows, lambda p: complete(model, p, chain, retry_invalid, sleep, check), of, threads, at_once))
+            yield batch.drop(columns="_folder").assign(answer=[d.text for d in done], model=[d.model for d in done], events=[d.events for d in done])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in prompts.dtypes), "answer string", "model string", "events array<string>"])
-    return prompts.repartition(concurrency).mapInPandas(run, schema)
+    dealt = prompts.withColumn("_folder", folder).repartition(tasks, "_folder").sortWithinPartitions("_folder")
+    return dealt.mapInPandas(run, schema)
 
 
 def map_reduce(batches: DataFrame, group: str, model: Model, chain: Sequence[Candidate], instructions: str, sleep: Callable[[float], None] = time.sleep) -> DataFrame:

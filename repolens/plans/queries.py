@@ -17,6 +17,7 @@ from ..functions import vocab as V
 from ..functions.jsonrepair import columns as J
 from ..operators import aggregates as A
 from ..operators import batching as B
+from ..operators import completion as C
 from ..operators import graphs as G
 from ..operators import nested as N
 from ..operators import providers as P
@@ -433,6 +434,28 @@ def flowcharts(spark, sf_dir):
 
 
 
+@query("""WITH n AS (SELECT * FROM nation), u AS (SELECT s_suppkey AS k, s_nationkey AS n, s_name AS name FROM supplier), i AS (SELECT '    ' AS t),
+    l AS (SELECT n_regionkey AS graph, 0 AS part, n_nationkey AS a, 0 AS b, 0 AS c, t || 'subgraph n' || n_nationkey || '["' || n_name || '"]' AS line FROM n, i
+    UNION ALL SELECT n_regionkey, 0, n_nationkey, 1, 0, t || t || 'direction LR' FROM n, i
+    UNION ALL SELECT n_regionkey, 0, n_nationkey, 2, 0, t || t || 'subgraph s' || n_nationkey || '["Suppliers"]' FROM n, i
+    UNION ALL SELECT n_regionkey, 0, n_nationkey, 3, k, t || t || t || 'u' || k || '("' || name || '")' FROM n JOIN u ON n = n_nationkey, i
+    UNION ALL SELECT n_regionkey, 0, n_nationkey, 4, 0, t || t || 'end' FROM n, i
+    UNION ALL SELECT n_regionkey, 0, n_nationkey, 5, 0, t || 'end' FROM n, i
+    UNION ALL SELECT n_regionkey, 1, k, 0, 0, t || 'u' || k || ' -.-> n' || n FROM n JOIN u ON n = n_nationkey, i)
+    SELECT graph, 'flowchart TB' || chr(10) || string_agg(line, chr(10) ORDER BY part, a, b, c) AS chart FROM l GROUP BY graph""")
+def nested_flowcharts(spark, sf_dir):
+    """A chart per region: nations as subgraphs, in each a subgraph of its suppliers, and an edge from each supplier to its nation."""
+    n, u = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    outer = n.select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("pos"), name("n", "n_nationkey").alias("id"), F.col("n_name").alias("label"), none.alias("parent"), F.lit("LR").alias("direction"), none.alias("style"))
+    inner = n.select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("pos"), name("s", "n_nationkey").alias("id"), F.lit("Suppliers").alias("label"), name("n", "n_nationkey").alias("parent"), none.alias("direction"), none.alias("style"))
+    placed = u.join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    nodes = placed.select(F.col("n_regionkey").alias("graph"), F.col("s_suppkey").alias("pos"), name("u", "s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit("rounded").alias("shape"), name("s", "n_nationkey").alias("subgraph"))
+    edges = placed.select(F.col("n_regionkey").alias("graph"), F.col("s_suppkey").alias("pos"), name("u", "s_suppkey").alias("source"), name("n", "n_nationkey").alias("target"), F.lit("dotted").alias("kind"))
+    return G.nested_mermaid(nodes, edges, outer.unionByName(inner))
+
+
 def nation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project per region: its nations are services, components and activities."""
     n = table(spark, sf_dir, "nation")
@@ -792,3 +815,14 @@ def keyed_inserts(spark, sf_dir):
             store.insert_new(e.where(F.col("batch") == b), at, valid=F.lit(True), index=index)
         keys = index.keys().groupBy(F.get_json_object("key", "$[1]").alias("filepath")).agg((F.count(F.lit(1)) == 1).alias("indexed"))
     return store.read(spark, at).join(keys, "filepath").select(F.col("filepath").cast("long").alias("user_id"), "batch", "indexed")
+
+
+@query("SELECT s_suppkey AS k, 'asked once: ' || s_name AS answer FROM supplier")
+def resumed_calls(spark, sf_dir):
+    """Prompts answered by a model and kept, then put to one that always fails: the answers that were kept stay."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("prompt"))
+    chain = [C.Candidate("one")]
+    with Scratch(spark, "calls") as tmp:
+        kept = tmp.claim("answers", keep=True)
+        tmp.save(C.map_prompts(s, lambda p, m: C.Response(C.COMPLETED, f"asked once: {p}"), chain, answers=kept), "first")
+    return C.map_prompts(s, lambda p, m: C.Response(C.ERRORED), chain, answers=kept).select("k", "answer")

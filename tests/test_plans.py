@@ -20,11 +20,13 @@ def plan(df):
 BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate"}
 #: Queries that read files themselves.
 FILES = {"source_tree"}
+#: Queries that call models.
+CALLS = {"resumed_calls"}
 #: Queries whose vectors are multiplied as matrices.
 MATRICES = {"vector_search_many", "vector_index_recall"}
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - BROKEN_TEXTS - FILES - MATRICES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - BROKEN_TEXTS - FILES - CALLS - MATRICES))
 def test_queries_stay_in_the_jvm(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no tables")
