@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, Str
 
 from ...session import ship
 from .driver import parse_and_validate
+from .names import FARTHEST, SHORTEST_END, SHORTEST_FUZZY, SHORTEST_MIDDLE
 
 RESULT = StructType([StructField("json", StringType()), StructField("repairs", ArrayType(StringType())), StructField("steps", ArrayType(StringType())), StructField("mutated", BooleanType()), StructField("error", StringType())])
 
@@ -126,10 +127,6 @@ def list_column(c: Column) -> Column:
     )
 
 
-#: Least lengths for matches by beginning or end, by middle, and by edit distance; the largest distance.
-SHORTEST_END, SHORTEST_MIDDLE, SHORTEST_FUZZY, FARTHEST = 2, 4, 4, 2
-
-
 def nearest_name(fragment: Column, known: list[str]) -> Column:
     """The known property that a fragment stands for: equal, else the shortest that it begins, else that it ends, else equal or begun without separators, else the shortest that holds it, else the nearest by edit distance. Case doesn't count; null if none fits."""
     if not known:

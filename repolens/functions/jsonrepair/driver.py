@@ -8,10 +8,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from . import reader
-from .coerce import TRANSFORMS, Schema, invalid
+from .coerce import TRANSFORMS, Schema, invalid, restore_names
 from .words import INSIGNIFICANT
 
 
+RECOVERED = "recovering reader"
+
+
 @dataclass
 class Result:
     data: object = None
@@ -185,15 +188,20 @@ def parse(text: str | None) -> Result:
     try:
         out.data, notes = reader.read(text)
         out.repairs += [n for n in notes if n not in out.repairs]
-        out.steps.append("recovering reader")
+        out.steps.append(RECOVERED)
     except (ValueError, RecursionError, IndexError) as e:
         out.error = f"PARSE: {e}"
     return out
 
 
 def validate(out: Result, schema: Schema | None) -> Result:
-    """Data that fits the schema as it is stays; else transforms run in their order, and the result is validated again."""
-    if out.error or schema is None or not (wrong := invalid(out.data, schema)):
+    """Data that fits the schema as it is stays; else transforms run in their order, and the result is validated again. What the reader recovered may have lost parts of names that the schema doesn't demand, so names are restored in any case."""
+    if out.error or schema is None:
+        return out
+    if RECOVERED in out.steps and (named := restore_names(out.data, schema)) != out.data:
+        out.data = named
+        out.steps.append("restore names")
+    if not (wrong := invalid(out.data, schema)):
         return out
     data = out.data
     for name, transform in TRANSFORMS:

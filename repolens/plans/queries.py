@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import scalars as X
 from ..functions import vocab as V
@@ -772,6 +772,20 @@ def unseen_rows(spark, sf_dir):
     return store.unseen(e.drop("event_id"), e.where("event_id % 701 = 0"), ("projectName", "filepath")).select("filepath", "projectName")
 
 
+#: What is left of the name nationKey: its case, a beginning, an end, other separators, an inner part, a slip.
+LEFT = ["NATIONKEY", "nati", "onKey", "nation_key", "tionK", "natoinKey"]
+
+
+@query("SELECT s_suppkey AS k, s_nationkey AS \"nationKey\", s_name AS \"supplierName\", s_acctbal AS balance FROM supplier")
+def restored_names(spark, sf_dir):
+    """Suppliers as broken answers in which each of six things happened to a name, read with the schema."""
+    name = F.get(F.array(*(F.lit(x) for x in LEFT)), (F.col("s_suppkey") % 6).cast("int"))
+    text = F.concat(F.lit("{"), name, F.lit(": "), F.col("s_nationkey").cast("string"), F.lit(', "supplierName": "'), "s_name", F.lit('" "balance": '), F.col("s_acctbal").cast("string"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), text.alias("t"))
+    schema = StructType([StructField("nationKey", LongType()), StructField("supplierName", StringType(), False), StructField("balance", DoubleType())])
+    return J.parsed(s, "t", schema).select("k", "parsed.*")
+
+
 @query("SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS a, event_id % 100 + 0.5 AS b, CAST(event_id % 100 AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS d FROM events")
 def numeric_coercion(spark, sf_dir):
     n = (F.col("event_id") % 100).cast("string")

@@ -17,7 +17,7 @@ def plan(df):
 
 
 #: Queries over texts that are broken, at least in part: the JVM tells which, and only those are repaired in Python.
-BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate"}
+BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate", "restored_names"}
 #: Queries that read files themselves.
 FILES = {"source_tree"}
 #: Queries that call models.
