@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_dir  # noqa: F401  operators take them from here
 from ..session import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of one Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Most rows of an id list that drop_ids sends to every executor (8-byte ids: a few MB).
 BROADCAST_IDS = 200_000
 
@@ -24,69 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where it is unset and the executor runs in the driver (tests on one machine), a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        where = tempfile.mkdtemp(prefix="repolens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends at files that survive the loss of executors.
-
-    Used as a context manager: on exit, tables that weren't made with keep=True are deleted. Kept ones, which lazy results read, are deleted when the application's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
-
-    def claim(self, name: str, keep: bool = False) -> str:
-        """A path that is deleted like a table of this name."""
-        path = f"{self.root}/{name}"
-        self.made[path] = keep
-        return path
-
-    def save(self, df: DataFrame, name: str, keep: bool = False, **options) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
-        self.made[path] = keep
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
-            self.made.pop(f"{self.root}/{name}", None)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        if not any(self.made.values()):
-            self._delete(self.root)
-            return
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-        for path, keep in self.made.items():
-            if not keep:
-                self._delete(path)
-
-
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
-    """Send the package to executors, and bound what one Arrow batch holds, as texts may be long; a smaller setting of the session stays. The bound isn't taken back, as results are lazy and run under the session's settings of that time."""
+    """Send the package to executors, and bound what one Arrow batch holds, in rows and in bytes, as texts may be long; smaller settings of the session stay. The bounds aren't taken back, as results are lazy and run under the session's settings of that time."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    in_bytes = int(now) if now.lstrip("-").isdigit() else BATCH_BYTES + 1
+    if in_bytes <= 0 or in_bytes > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def ascii_lower(text: Column) -> Column:

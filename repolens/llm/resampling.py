@@ -17,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
 from .common import Scratch, held, prepare
 
 #: Buckets of features; a bucket fits 16 bits.
 BUCKETS = 10_000
 #: Longest run of words that makes a feature.
 RUN = 3
-#: A block ends with the document in which it reaches so many features (2 MB).
-BLOCK = 1 << 20
+#: A block ends with the document in which it reaches so many features (512 KB).
+BLOCK = 1 << 18
+#: Files of streams are written in small row groups, as a writer holds one in memory; a block is no word that a dictionary would be of use for.
+STREAM_FILES = {"parquet.block.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 #: Bytes of a text that are split into words at a time.
 PIECE = 1 << 20
 #: Documents with fewer words aren't drawn; of the others PERCENT are.
@@ -86,7 +89,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets.append(size)
             parts += got
             size += sum(map(len, got))
-            if size >= BLOCK or len(ids) >= BLOCK >> 4:
+            if size >= BLOCK or len(ids) >= BLOCK >> 2:
                 yield block()
                 ids, words, offsets, parts, size = [], [], [], [], 0
     if ids:
@@ -148,21 +151,6 @@ def gumbel(key: Column, seed: int) -> Column:
     return F.floor(F.lit(-1000.0) * F.ln(-F.ln((h + 0.5) / F.lit(4294967296.0)))).cast("long")
 
 
-def ranked(rows: DataFrame, tmp: Scratch, order: list[Column], name: str = "ranked") -> DataFrame:
-    """rows with rank 1, 2, 3, ... in an order: range partitions are sorted and written with each row's place; the rows in partitions before it (a number per partition) are added afterwards."""
-    place = F.monotonically_increasing_id()
-    spread = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    placed = tmp.save(spread.withColumn("_place", place), name, keep=True)
-    part = F.shiftrightunsigned("_place", 33)
-    before, total = [], 0
-    for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row per partition
-        before.append((r["part"], total))
-        total += r["n"]
-    starts = placed.sparkSession.createDataFrame(before, "_part bigint, _before bigint")
-    rank = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("rank", rank).drop("_part", "_before", "_place")
-
-
 def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "text", seed: int = 42, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """Draw documents towards the distribution of a target's texts.
 
@@ -171,14 +159,14 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts have no words, weight 0 and no rank. Texts without word characters likewise. Null ids draw with an empty key and stand behind others of equal score. Rows that repeat id and text have equal scores and stand next to each other, in no order that tells them apart. An empty table gives an empty result; an empty target leaves all counts of it 0. Other columns are not read. A text is read whole; its stream must fit a binary value, so texts of up to 700 MB can be held.
     """
     with Scratch(docs.sparkSession, "resampling") as tmp:
-        streams = tmp.save(bucket_streams(docs, id_col, text_col), "streams")
+        streams = tmp.save(bucket_streams(docs, id_col, text_col), "streams", **STREAM_FILES)
         gain = gains(counts(streams), counts(bucket_streams(target, None, target_col)))
         score = F.col("weight") + gumbel(F.col("doc_id"), seed)
         scored = tmp.save(weights(streams, gain).withColumn("score", score), "scored", keep=True)
         long_enough = scored.where(F.col("words") >= least_words)
         drawn = percent * long_enough.count() // 100
-        sorted_rows = ranked(long_enough, tmp, [F.desc("score"), F.asc_nulls_last("doc_id")])
-    sorted_rows = sorted_rows.withColumn("rank", F.when(F.col("rank") <= drawn, F.col("rank")))
+        placed = numbered(long_enough, tmp, [F.desc("score"), F.asc_nulls_last("doc_id")], "ranked")
+    sorted_rows = placed.withColumn("rank", F.when(F.col("idx") < drawn, F.col("idx") + 1)).drop("idx")
     rest = scored.where(F.col("words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     return sorted_rows.unionByName(rest).select(F.col("doc_id").alias(id_col), "n_features", "weight", "score", "rank")
 

@@ -10,10 +10,13 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from repolens.llm import media, resampling, vector_codes
+from repolens.llm.common import BATCH_BYTES, prepare
 
 LONG = "x y " * 40_000
 
@@ -308,6 +311,13 @@ def test_resampling_equals_its_sql(spark):
     assert rows_of(got, *DRAWN) == sorted(con.execute(resampling.oracle()).fetchall(), key=str)
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    prepare(spark)
+    big = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    sizes = big.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint").collect()
+    assert len(sizes) > 5 and max(r["n"] for r in sizes) <= BATCH_BYTES + (2 << 20)
+
+
 def test_queries_are_registered():
     from repolens.llm.queries import ORACLE_SQL, QUERIES
 
