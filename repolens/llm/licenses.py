@@ -177,16 +177,23 @@ SENTENCES = (
 )
 RULES = RUNS + tuple((x, (f"={x}",)) for x in (*NAMES, *LATER)) + ((UNKNOWN, (UNKNOWN,)),)
 
-#: Each known sentence holds one of these; texts without them aren't cut. Each lies within a word, as lines are joined and white space is folded only when a text is cut.
-TRIGGER = "licen[sc]|permission|redistribut|software|dedicated|public|either|copyright|apache|acknowledgement|version|fuck"
+#: Words of which each known sentence holds one, whatever it is led by (a reference says that something is under a licence, or uses one): texts without them aren't cut. Each lies within a word, as lines are joined and white space is folded only when a text is cut.
+TRIGGERS = ("licenc", "licens", "permission", "redistribut", "software", "dedicated", "public", "either", "copyright", "apache", "acknowledgement", "version", "fuck", "under", "use")
+TRIGGER = "|".join(TRIGGERS)
 #: Regular expressions of the cutting and the normalising, alike in Java and RE2: marks of comments at the beginnings of lines; SPDX lines; lines that go on after a comma or an opening bracket, or with a small letter, an opening mark or a word in capitals; stops; all that isn't kept.
 LEADER = r"(^|\n)[ \t]*(?://+!?|#+!?|/?\*+/?|;+|--+|%+|<!--|\.\.|dnl\b)[ \t]*"
-SPDX_LINE = r"(?i)SPDX-License-Identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+\-]+)*)"
+SPDX_LINE = r"(?i)SPDX-License-Identifier[ \t]*:[ \t]*([A-Za-z0-9.+\-()]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+\-()]+)*)"
 JOIN_COMMA, JOIN_NEXT = r"[,(][ \t]*\r?\n[ \t]*", r"\r?\n[ \t]*([a-z(]|[A-Z][A-Z])"
 STOP, OTHER = r"[.!?;:]+([ \t\r\n]|$)", r"[^a-z0-9.+\-\n]+"
 #: The ways to say that something is under a licence, which become REFERENCE, and an end that says no more.
 LEAD = r"^(?:(?:this|the|our|all) [a-z ]{2,40}? (?:is|are) )?(?:dual[ -])?(?:licensed|relicensed|released|distributed|published|available|made available) under (?:the terms (?:and conditions )?of )?(?:the |an |a )?"
 TAIL = r"^(licensed under .+?)(?: the license| which (?:accompanies this distribution and )?is available at.*)$"
+#: Other ways, which name a licence only if what follows is a known name: something is under it, or somebody uses it.
+LOOSE, LOOSE_END = r"^(?:[a-z][a-z ]{1,40}? (?:is|are) under |we use )(?:the terms (?:and conditions )?of )?(?:the |an |a )?", r" (?:for|in) (?:this|our|the|all) [a-z ]{2,40}$"
+#: What parts the licences of an expression or a reference, and an exception, which leaves the licence as it is.
+CHOICE, EXCEPTION = " (?:or|and) ", " with .*$"
+#: What a part may begin and end with, and the end that a name from SPDX doesn't have.
+ARTICLE, PLURAL, CALLED = "^(?:either )?(?:the |an |a )?", "(licen[cs]e)s$", " licen[cs]e$"
 LIKE = r"^(?:licensed under .*licen[cs]e|spdx-license-identifier |permission is hereby granted|redistribution and use in|permission to use copy)"
 
 
@@ -201,12 +208,21 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(t, "\n"), lambda s: F.regexp_replace(F.regexp_replace(F.btrim(s, F.lit(" .-")), LEAD, REFERENCE), TAIL, "$1"))
 
 
+def parts(sentence: Column, known: Column) -> Column:
+    """The sentences that a sentence stands for: one for each licence of an SPDX expression, or of a reference that isn't known as a whole. An exception to a licence goes."""
+    each = lambda head: F.transform(F.split(F.substr(sentence, F.lit(len(head) + 1)), CHOICE), lambda x: F.concat(F.lit(head), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, EXCEPTION, ""), ARTICLE, ""), PLURAL, "$1")))
+    several = sentence.startswith(REFERENCE) & ~F.coalesce(F.map_contains_key(known, sentence), F.lit(False)) & sentence.rlike(CHOICE)
+    return F.when(sentence.startswith(SPDX), each(SPDX)).when(several, each(REFERENCE)).otherwise(F.array(sentence))
+
+
 def identifiers(text: Column) -> Column:
     """Identifiers of a text's known sentences, in order, and UNKNOWN for others that name or grant a licence."""
     known = F.map_from_arrays(F.array(*map(F.lit, SENTENCES)), F.array(*map(F.lit, SENTENCES.values())))
-    identifier = lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.rlike(LIKE), UNKNOWN))
+    loose = lambda s: F.when(s.rlike(LOOSE), F.regexp_replace(F.regexp_replace(s, LOOSE, REFERENCE), LOOSE_END, ""))
+    called = lambda s: F.when(s.startswith(REFERENCE), F.concat(F.lit(SPDX), F.regexp_replace(F.substr(s, F.lit(len(REFERENCE) + 1)), CALLED, "")))
+    identifier = lambda s: F.coalesce(F.try_element_at(known, s), F.try_element_at(known, called(s)), F.try_element_at(known, loose(s)), F.when(s.rlike(LIKE), UNKNOWN))
     triggered = F.coalesce(ascii_lower(text).rlike(TRIGGER), F.lit(False))
-    return F.when(triggered, F.filter(F.transform(sentences(text), identifier), lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return F.when(triggered, F.filter(F.transform(F.flatten(F.transform(sentences(text), lambda s: parts(s, known))), identifier), lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:
@@ -229,6 +245,7 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def oracle() -> str:
     """The same in DuckDB's SQL: sentences as rows, joined with a table of known ones; the rules one after the other."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    each = lambda head: f"list_transform(string_split_regex(substr(s, {len(head) + 1}), '{CHOICE}'), lambda x: '{head}' || regexp_replace(regexp_replace(regexp_replace(x, '{EXCEPTION}', ''), '{ARTICLE}', ''), '{PLURAL}', '\\1'))"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in SENTENCES.items())
     steps = [(LEADER, r"'\1'"), (SPDX_LINE, r"chr(10) || 'Spdx-license-identifier \1.' || chr(10)"), (JOIN_COMMA, "', '"), (JOIN_NEXT, r"' \1'"), (STOP, "chr(10)")]
     cut = "text"
@@ -243,8 +260,11 @@ def oracle() -> str:
         WITH known(s, id) AS (VALUES {known}),
         cut AS (SELECT doc_id, unnest({cut}) AS s, generate_subscripts({cut}, 1) AS k FROM documents WHERE text IS NOT NULL),
         plain AS (SELECT doc_id, k, regexp_replace(regexp_replace(trim(s, ' .-'), {quote(LEAD)}, '{REFERENCE}'), {quote(TAIL)}, '\\1') AS s FROM cut),
-        named AS (SELECT doc_id, k, coalesce(id, CASE WHEN regexp_matches(plain.s, {quote(LIKE)}) THEN '{UNKNOWN}' END) AS id FROM plain LEFT JOIN known USING (s)),
-        found AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS joined, string_agg(id, '||' ORDER BY k) AS ids, count(*) AS n FROM named WHERE id IS NOT NULL GROUP BY doc_id),
+        split AS (SELECT doc_id, k, unnest(p) AS s, generate_subscripts(p, 1) AS j FROM (SELECT doc_id, k, CASE WHEN starts_with(s, '{SPDX}') THEN {each(SPDX)} WHEN starts_with(s, '{REFERENCE}') AND s NOT IN (SELECT s FROM known) AND regexp_matches(s, '{CHOICE}') THEN {each(REFERENCE)} ELSE [s] END AS p FROM plain)),
+        named AS (SELECT doc_id, k, j, coalesce(known.id, called.id, loose.id, CASE WHEN regexp_matches(split.s, {quote(LIKE)}) THEN '{UNKNOWN}' END) AS id FROM split LEFT JOIN known USING (s)
+            LEFT JOIN known AS called ON starts_with(split.s, '{REFERENCE}') AND called.s = '{SPDX}' || regexp_replace(substr(split.s, {len(REFERENCE) + 1}), '{CALLED}', '')
+            LEFT JOIN known AS loose ON regexp_matches(split.s, {quote(LOOSE)}) AND loose.s = regexp_replace(regexp_replace(split.s, {quote(LOOSE)}, '{REFERENCE}'), {quote(LOOSE_END)}, '')),
+        found AS (SELECT doc_id, string_agg(id, ',' ORDER BY k, j) AS joined, string_agg(id, '||' ORDER BY k, j) AS ids, count(*) AS n FROM named WHERE id IS NOT NULL GROUP BY doc_id),
         seq AS (SELECT doc_id, coalesce(n, 0) AS n, ids FROM documents LEFT JOIN found USING (doc_id)),
         {", ".join(rules)}
         SELECT r.doc_id, coalesce(found.joined, '') AS sentence_ids, array_to_string(r.found, ',') AS licences, r.n AS n_sentences

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm import decontaminate, htmltext, langid, pii, toxicity
 from repolens.llm.boosting import boost, calibrate
-from repolens.llm.licenses import RULES, SENTENCES, TRIGGER, oracle, scan_licences
+from repolens.llm.licenses import NAMES, RULES, SENTENCES, TRIGGER, oracle, scan_licences
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, t string, score double, held_out boolean, ids string, base string"
 
@@ -55,7 +55,7 @@ LICENCES = [
     ("// SPDX-License-Identifier: MIT\n// SPDX-FileCopyrightText: someone\nint x;", "MIT"),
     ("# spdx-license-identifier: GPL-2.0+", "GPL-2.0-or-later"),
     ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"),
-    ("SPDX-License-Identifier: MIT OR Foo-1.0", "UNKNOWN"),
+    ("SPDX-License-Identifier: MIT OR Foo-1.0", "MIT,UNKNOWN"),
     ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttp://www.eclipse.org/legal/epl-2.0.", "EPL-2.0"),
     ("This project is distributed under the terms of the Mozilla Public License 2.0.", "MPL-2.0"),
     ("Released under the Frobnicate License, version 7.", "UNKNOWN"),
@@ -91,6 +91,21 @@ def test_licences_equal_their_sql(spark, tmp_path):
     assert sorted((r["doc_id"], r["sentence_ids"], r["licences"], r["n_sentences"]) for r in scan_licences(docs(spark, rows)).collect()) == want
 
 
+LEADS = ("Licensed under ", "Released under the ", "This work is distributed under ", "Made available under ", "The code is dual-licensed under the ", "Published under the terms of the ", "Code is under the ", "We use the ")
+
+
+def test_every_name_after_every_lead(spark):
+    duckdb = pytest.importorskip("duckdb")
+    cases = [(f"{lead}{name.upper() if k % 2 else name}.", licence) for k, lead in enumerate(LEADS) for licence, names in NAMES.items() for name in names]
+    cases += [("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("// SPDX-License-Identifier: (MIT AND GPL-2.0-only WITH Classpath-exception-2.0)", "GPL-2.0,MIT"), ("Licensed under MIT OR Apache-2.0.", "Apache-2.0,MIT"), ("Dual-licensed under the MIT and Apache 2.0 licenses.", "Apache-2.0,MIT"), ("SPDX-License-Identifier: Foo-1.0 OR MIT", "MIT,UNKNOWN"), ("We use the MIT license for this project.", "MIT"), ("The house is under the bridge. We use a hammer.", "")]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"], r["n_sentences"]) for r in scan_licences(docs(spark, [(i, t, None) for i, (t, _) in enumerate(cases)])).collect()}
+    assert [(t, got[i][1]) for i, (t, _) in enumerate(cases)] == [(t, x) for t, x in cases]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(cases)])
+    assert {r[0]: r[1:] for r in con.execute(oracle()).fetchall()} == got
+
+
 def test_licence_rules_are_reachable():
     """Each identifier of a rule is a sentence's, each licence has a rule, and each known sentence passes the guard."""
     assert {i for _, run in RULES for i in run} <= {*SENTENCES.values(), "UNKNOWN"}
