@@ -840,3 +840,6 @@ def resumed_calls(spark, sf_dir):
         kept = tmp.claim("answers", keep=True)
         tmp.save(C.map_prompts(s, lambda p, m: C.Response(C.COMPLETED, f"asked once: {p}"), chain, answers=kept), "first")
     return C.map_prompts(s, lambda p, m: C.Response(C.ERRORED), chain, answers=kept).select("k", "answer")
+
+
+from . import inventory  # noqa: E402, F401  registers its queries, which are built from what stands above

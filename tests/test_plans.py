@@ -17,11 +17,11 @@ def plan(df):
 
 
 #: Queries over texts that are broken, at least in part: the JVM tells which, and only those are repaired in Python.
-BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate", "restored_names"}
+BROKEN_TEXTS = {"json_fast_path", "json_repair", "json_forms", "response_gate", "restored_names", "coerced_answers"}
 #: Queries that read files themselves.
 FILES = {"source_tree"}
 #: Queries that call models.
-CALLS = {"resumed_calls"}
+CALLS = {"resumed_calls", "model_outcomes", "map_reduced"}
 #: Queries whose vectors are multiplied as matrices.
 MATRICES = {"vector_search_many", "vector_index_recall"}
 
