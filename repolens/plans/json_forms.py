@@ -11,7 +11,7 @@ FORMS: list[tuple[str, str, str]] = [
     ("asterisk before an element", '{"n": %d, "a": [\n  *   "x.A",\n  *   "x.B"\n]}', '{"n": %d, "a": ["x.A", "x.B"]}'),
     ("stray character after an element", '{"n": %d, "a": ["x">, "y"]}', '{"n": %d, "a": ["x", "y"]}'),
     ("stray word after an element", '{"n": %d, "a": ["x" garbage, "y"]}', '{"n": %d, "a": ["x", "y"]}'),
-    ("library name after an element", '{"n": %d, "a": [\n  "lib.Args",JACKSON-CORE-2.12.0.JAR"\n  "lib.Data"\n]}', '{"n": %d, "a": ["lib.Args", "lib.Data"]}'),
+    ("library name after an element", '{"n": %d, "a": [\n  "net.Pump",WATERWORKS-KIT-0.9.4.JAR"\n  "net.Valve"\n]}', '{"n": %d, "a": ["net.Pump", "net.Valve"]}'),
     ("comma and quote missing at a line end", '{"n": %d, "a": [\n  "x.One",\n  x.Two"\n]}', '{"n": %d, "a": ["x.One", "x.Two"]}'),
     ("comma missing between elements", '{"n": %d, "a": [\n  "x"\n  "y"\n]}', '{"n": %d, "a": ["x", "y"]}'),
     ("stray text after an inner closer", '{"n": %d, "a": [{"b": 1}stray, {"b": 2}]}', '{"n": %d, "a": [{"b": 1}, {"b": 2}]}'),
@@ -35,6 +35,7 @@ FORMS: list[tuple[str, str, str]] = [
     ("letter before a brace", '{"a": [{"b": 1}, c{"b": 2}], "n": %d}', '{"a": [{"b": 1}, {"b": 2}], "n": %d}'),
     # artifacts
     ("binary marker before a name", '{"n": %d,\n <x_bin_151>b": 1}', '{"n": %d, "b": 1}'),
+    # Fixed value: the words of the warning.
     ("warning of generated content", '{"n": %d,\nAI-generated content. Review and use carefully.\n"b": 1}', '{"n": %d, "b": 1}'),
     ("explanation between objects", '{"a": [{"b": []\n},\nthe remaining ones are left out for brevity\n{"b": [1]}], "n": %d}', '{"a": [{"b": []}, {"b": [1]}], "n": %d}'),
     # metadata
@@ -58,7 +59,7 @@ FORMS: list[tuple[str, str, str]] = [
     ("markup comment in a line", '{"n": %d,\n<!-- more -->\n"b": 1}', '{"n": %d, "b": 1}'),
     # damaged strings
     ("properties leaked into a string", '{"n": %d, "b": "0\\",\n \\"c\\": \\"String"}', '{"n": %d, "b": "0"}'),
-    ("instruction after the end", '{"n": %d}\n[instruction]Fix the bug in the following code', '{"n": %d}'),
+    ("instruction after the end", '{"n": %d}\n[instruction]Now sum up what the second chapter says', '{"n": %d}'),
     ("string cut off", '{"n": %d, "b": "some text that is', '{"n": %d, "b": "some text that is"}'),
     ("line end in a string", '{"n": %d, "b": "one\ntwo"}', '{"n": %d, "b": "one\\ntwo"}'),
     ("quotes within a string", '{"n": %d, "b": "the "best" one"}', '{"n": %d, "b": "the \\"best\\" one"}'),
