@@ -30,9 +30,12 @@ QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 HIDING = re.compile(r"style\s*=[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|aria-hidden\s*=\s*[\"']?true", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A line of rights, not a sentence about them.
+RIGHTS = re.compile(r"©|(?:copyright|\(c\))[\s:,]*(?:©|\(c\)|[12][0-9]{3}\b)", re.I)
 
-#: Elements whose content is no text of the page: scripts and styles, what is never shown, parts of forms. HTML ends all but the last ones at the first end tag, whatever stands between, and "/" in a start tag closes none.
+#: Elements whose content is no text of the page: scripts and styles, what is never shown, parts of forms. The text of xmp is shown as it is written. HTML ends all but the last ones at the first end tag, whatever stands between, and "/" in a start tag closes none.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+SHOWN_RAW = "xmp"
 #: The same, but these may nest, and drawings may be closed by their start tag.
 NESTED = frozenset("template select datalist svg".split())
 #: Block elements, by group.
@@ -49,7 +52,7 @@ GROUPS = {
     "footer": "footer",
     "aside": "aside",
     "form": "form button label legend option dialog",
-    "quote": "blockquote pre figure figcaption",
+    "quote": "blockquote pre figure figcaption xmp",
 }
 GROUP_OF = {tag: group for group, tags in GROUPS.items() for tag in tags.split()}
 VOID = frozenset("hr br img input meta link wbr area base col embed source track param".split())
@@ -59,13 +62,18 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 FOR = frozenset("article content post entry story main text prose body blog news paragraph".split())
 AGAINST = frozenset("nav navigation menu navbar topbar footer foot header head masthead side sidebar ad ads advert advertisement advertising banner sponsor sponsored promo comment comments reply replies discussion disqus share sharing social related recommended cookie cookies consent notice alert popup modal overlay breadcrumb breadcrumbs login signin signup form search widget copyright legal subscribe newsletter tags meta toolbar pagination pager skip".split())
 COMMENT = frozenset("comment comments reply replies discussion disqus respond".split())
+#: Words that say of a name's other words only which box they mean.
+BOXES = frozenset("area bar block body box bottom center col column container group inner item items left link links list message outer page panel right row section text top wrap wrapper".split())
+#: Words that say what an element has, not what it is.
+HAVING = frozenset("has have no with without".split())
 
 
 @dataclass
 class Node:
     tag: str
     parent: int
-    parts: frozenset[str] = frozenset()
+    parts: frozenset[str] = frozenset()  # cues
+    mixed: bool = False  # a name that may mean either
     hidden: bool = False
     text: str | None = None  # of leaves
     linked: int = 0  # characters in links
@@ -74,6 +82,7 @@ class Node:
     chars: int = 0
     links: int = 0
     inherited: frozenset[str] = field(default_factory=frozenset)
+    below_mixed: bool = False
 
 
 @cache
@@ -101,9 +110,25 @@ def is_hidden(attributes: str) -> bool:
     return ("hidden" in low or "none" in low) and bool(HIDING.search(attributes) or HIDDEN.search(QUOTED.sub('""', attributes)))
 
 
+def cues_of(said: str) -> tuple[frozenset[str], bool]:
+    """Cues of an element's names. As in English compounds the last word that names no box tells what a name means: one that ends in a cue against content ("site-header", "main-menu") speaks against it, one with such a cue further ahead ("comments-on-theory", "main-menu-content") is mixed, as is one that says what an element has ("page-with-sidebar"), and cues for content count wherever they stand."""
+    pure, mixed = set(), False
+    for name in said.split():
+        words = [w.lower() for w in PART.findall(name)]
+        against = {w for w in words if w in AGAINST or w in COMMENT}
+        if not against:
+            pure.update(w for w in words if w in FOR)
+        elif HAVING.isdisjoint(words) and next((w for w in reversed(words) if w not in BOXES or w in against), "") in against:
+            pure |= against
+        else:
+            mixed = True
+    return frozenset(pure), mixed
+
+
 def parse(page: str | None) -> list[Node]:
-    """Nodes in page order; a parent comes before its children."""
+    """Nodes in page order; a parent comes before its children. Open elements are known by name, so a page takes time by its length, however deep it nests."""
     nodes, stack, names = [Node("html", -1)], [0], ["html"]
+    places: dict[str, list[int]] = {"html": [0]}  # of open elements of a name in the stack
     run: list[tuple[str, bool]] = []
     link, at, page = False, 0, page or ""
 
@@ -117,7 +142,20 @@ def parse(page: str | None) -> list[Node]:
         link = False
 
     def close(k: int) -> None:
-        del stack[k:], names[k:]
+        while len(names) > k:
+            places[names.pop()].pop()
+            stack.pop()
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def start(tag: str, attributes: str) -> None:
+        # Names of the whole page tell nothing of its parts.
+        said = " ".join(v for x in ATTRIBUTE.findall(attributes) for v in x) if attributes and tag not in ("html", "body") else ""
+        nodes.append(Node(tag, stack[-1], *cues_of(said), bool(attributes) and is_hidden(attributes)))
+        places.setdefault(tag, []).append(len(names))
+        stack.append(len(nodes) - 1)
+        names.append(tag)
 
     while True:
         m = TOKEN.search(page, at)
@@ -131,9 +169,9 @@ def parse(page: str | None) -> list[Node]:
             continue
         if m[1]:
             if tag in GROUP_OF:
-                if tag in names[1:]:
+                if at_stack := innermost({tag}):
                     flush()
-                    close(len(names) - 1 - names[::-1].index(tag))
+                    close(at_stack)
                 elif tag == "p":
                     flush()
             elif tag == "a":
@@ -141,6 +179,12 @@ def parse(page: str | None) -> list[Node]:
             continue
         if tag in RAW:
             end = ends_of(tag).search(page, at)
+            if tag == SHOWN_RAW:
+                flush()
+                start(tag, m[3])
+                run.append((page[at : end.start() if end else len(page)], False))
+                flush()
+                close(len(names) - 1)
             at = end.end() if end else len(page)
             run.append((" ", link))
         elif tag in NESTED:
@@ -154,26 +198,20 @@ def parse(page: str | None) -> list[Node]:
             flush()
         elif tag in GROUP_OF and tag not in VOID:
             flush()
-            if tag in ("html", "body") and tag in names:
+            if tag in ("html", "body") and places.get(tag):
                 continue
             if names[-1] == "p" or (names[-1] in GROUPS["heading"] and tag in GROUPS["heading"]):
                 close(len(names) - 1)
             if tag in CLOSES:
                 ends, limit = CLOSES[tag]
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in limit:
-                        break
-                    if names[k] in ends:
-                        close(k)
-                        break
-            said = "".join(v for x in ATTRIBUTE.findall(m[3]) for v in (" ", *x)) if m[3] else ""
-            nodes.append(Node(tag, stack[-1], frozenset(p.lower() for p in PART.findall(said)), bool(m[3]) and is_hidden(m[3])))
-            stack.append(len(nodes) - 1)
-            names.append(tag)
+                if (k := innermost(ends)) > innermost(limit):
+                    close(k)
+            start(tag, m[3])
     flush()
     for n in nodes[1:]:
         up = nodes[n.parent]
         n.inherited = up.inherited | up.parts if up.parts else up.inherited
+        n.below_mixed = up.below_mixed or up.mixed
         n.hidden |= up.hidden
         up.children += 1
     for n in reversed(nodes):
@@ -185,7 +223,7 @@ def parse(page: str | None) -> list[Node]:
     return nodes
 
 
-NAMES = ["leaf", "node", *(f"node {g}" for g in GROUPS), *(f"leaf in {g}" for g in GROUPS), "for", "against", "leaf below for", "leaf below against", "leaf below comments", "hidden", "leaf words", "leaf links", "leaf sentence", "leaf short", "leaf copyright", "node words", "node links", "node many children"]
+NAMES = ["leaf", "node", *(f"node {g}" for g in GROUPS), *(f"leaf in {g}" for g in GROUPS), "for", "against", "leaf below for", "leaf below against", "leaf below comments", "mixed", "leaf below mixed", "hidden", "leaf words", "leaf links", "leaf sentence", "leaf short", "leaf copyright", "node words", "node links", "node many children"]
 AT = {name: k for k, name in enumerate(NAMES)}
 
 
@@ -194,10 +232,10 @@ def features(nodes: list[Node], k: int) -> list[tuple[int, float]]:
     if n.text is not None:
         up, text = nodes[n.parent], n.text
         out = [(AT["leaf"], 1.0), (AT[f"leaf in {GROUP_OF[up.tag]}"], 1.0), (AT["leaf words"], math.log1p(n.words) / 3), (AT["leaf links"], min(1.0, n.links / max(1, n.chars)))]
-        out += [(AT[name], 1.0) for name, holds in (("leaf sentence", text[-1] in ".!?…\"”’:;" and n.words > 3), ("leaf short", n.words < 4), ("leaf copyright", text[0] == "©" or "copyright" in text[:40].lower()), ("leaf below for", not FOR.isdisjoint(n.inherited)), ("leaf below against", not AGAINST.isdisjoint(n.inherited)), ("leaf below comments", not COMMENT.isdisjoint(n.inherited))) if holds]
+        out += [(AT[name], 1.0) for name, holds in (("leaf sentence", text[-1] in ".!?…\"”’:;" and n.words > 3), ("leaf short", n.words < 4), ("leaf copyright", bool(RIGHTS.match(text))), ("leaf below for", not FOR.isdisjoint(n.inherited)), ("leaf below against", not AGAINST.isdisjoint(n.inherited)), ("leaf below comments", not COMMENT.isdisjoint(n.inherited)), ("leaf below mixed", n.below_mixed)) if holds]
     else:
         out = [(AT["node"], 1.0), (AT[f"node {GROUP_OF[n.tag]}"], 1.0), (AT["node words"], math.log1p(n.words) / 3), (AT["node links"], min(1.0, n.links / max(1, n.chars)))]
-        out += [(AT[name], 1.0) for name, holds in (("for", not FOR.isdisjoint(n.parts)), ("against", not AGAINST.isdisjoint(n.parts)), ("node many children", n.children > 3)) if holds]
+        out += [(AT[name], 1.0) for name, holds in (("for", not FOR.isdisjoint(n.parts)), ("against", not AGAINST.isdisjoint(n.parts)), ("mixed", n.mixed), ("node many children", n.children > 3)) if holds]
     if n.hidden:
         out.append((AT["hidden"], 1.0))
     return out
@@ -249,19 +287,20 @@ def example_page(rng: random.Random) -> str:
     if rng.random() < 0.5:
         body.append(f"<p><b>{text('c', 3, 30)}<br>")
     for _ in range(rng.randint(0, 9)):
-        body.append(some(*[para] * 6, lambda: f"<h2>{text('c', 1, 6, '')}</h2>", lambda: f"<ul>{''.join(f'<li>{text(chr(99), 2, 20)}</li>' for _ in range(rng.randint(2, 5)))}</ul>", lambda: f"<blockquote>{para()}</blockquote>", lambda: f"<pre>{text('c', 3, 20)}</pre>", lambda: f"<table><tr><td>{text('c', 1, 5, '')}<td>{text('c', 1, 5, '')}</table>", lambda: f"<figure><img src=x><figcaption>{text('c', 3, 12)}</figcaption></figure>", lambda: f"<div class=ad>{text('x', 2, 12)}</div>", lambda: f"<aside{attr('related', 'pullout')}>{links()}</aside>")())
+        body.append(some(*[para] * 6, lambda: f"<h2>{text('c', 1, 6, '')}</h2>", lambda: f"<ul>{''.join(f'<li>{text(chr(99), 2, 20)}</li>' for _ in range(rng.randint(2, 5)))}</ul>", lambda: f"<blockquote>{para()}</blockquote>", lambda: f"<pre>{text('c', 3, 20)}</pre>", lambda: f"<table><tr><td>{text('c', 1, 5, '')}<td>{text('c', 1, 5, '')}</table>", lambda: f"<figure><img src=x><figcaption>{text('c', 3, 12)}</figcaption></figure>", lambda: f"<div class=ad>{text('x', 2, 12)}</div>", lambda: f"<aside{attr('related', 'pullout')}>{links()}</aside>", lambda: f"<p>Copyright {text('c', 4, 30)}</p>", lambda: f'<section {some("class", "id")}="{some("comments", "social", "legal", "share", "sponsor", "head", "search", "form", "story", "meta")}-{word("c")}{some("", "-" + word("c"))}">{para()}</section>')())
     unseen = lambda: some("", "", "", "", f'<div {some("hidden", "style=display:none", "style='color:red; display: none'", "aria-hidden=true")}><p>{text("x", 3, 60)}</p>{some("", links())}</div>', f'<p {some("hidden", "style=display:none")}>{text("x", 3, 40)}</p>')
     body.insert(rng.randint(0, len(body)), unseen())
     inner = "".join(body)
     nav = some(f"<nav>{links()}</nav>", f"<div{attr('menu', 'nav', 'navbar')}>{links()}</div>", f"<header>{text('x', 1, 5, '')}{links()}</header>", f"<header><h2>{text('x', 1, 4, '')}</h2><nav>{links()}</nav></header>", links())
-    ad = lambda: some(f'<div class="{some("ad", "ads", "banner", "sponsor", "promo-box")}">{text("x", 3, 16)}</div>', "", "")
+    ad = lambda: some(f'<div class="{some("ad", "ads", "banner", "sponsor", "promo-box")}">{text("x", 3, 16)}</div>', "", "", f'<div class="{some("ad", "promo", "share", "related")}-{word("x")}">{text("x", 2, 10, "")}</div>')
     side = lambda: some("", f"<aside{attr('sidebar', 'widget')}><h3>{text('x', 1, 4, '')}</h3>{links()}<p>{text('x', 3, 30)}</p></aside>", f'<div class="{some("sidebar", "side", "related")}"><p>{text("x", 3, 25)}</p>{links()}</div>')
     notice = lambda: some("", "", f'<div class="{some("cookie-notice", "consent", "popup", "alert notice")}"><p>{text("x", 5, 30)}</p><button>{word("x")}</button></div>', f"<form{attr('search', 'newsletter')}><label>{text('x', 1, 6, '')}</label><p>{text('x', 2, 15)}</p><input><button>{word('x')}</button></form>")
     comments = lambda: some("", "", f'<{(t := some("div", "section"))} {some("class", "id")}="comments"><h3>{text("x", 1, 3, "")}</h3>' + "".join(f"<div class=comment><p>{text('x', 3, 60)}</p></div>" for _ in range(rng.randint(1, 4))) + f"</{t}>", f'<ol class="replies">{"".join(f"<li><p>{text(chr(120), 4, 50)}</p></li>" for _ in range(rng.randint(1, 4)))}</ol>')
     foot = some(f"<footer>&copy; {text('x', 3, 25)}</footer>", f"<footer><p>{text('x', 2, 20)}</p>{links()}</footer>", f"<div{attr('footer', 'copyright', 'legal')}>&copy; {text('x', 2, 15)}</div>", f"<footer>{links()}</footer>")
     main = some(f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", f'<div class="{some("content", "post", "entry-content", "article-body", "main")}">{inner}</div>', f'<div id="{some("content", "story", "main-text")}">{inner}</div>', f"<div><div>{inner}</div></div>" if len(inner) > 300 else f"<article>{inner}</article>")
     middle = [main + comments() if rng.random() < 0.7 else main.replace("</article>", comments() + "</article>")]
-    return f"<html><head><title>{word('x')}</title></head><body>{notice()}{unseen()}{nav}{ad()}{side()}{''.join(middle)}{ad()}{side()}{notice()}{foot}" + some("</body></html>", "")
+    name = some("", "", "", f' id="{some("main", "page", "post", word("x"))}-{some("menu", "header", "sidebar", "footer")}-{some("content", "body", word("x"))}"', f' class="{some("single-post", "article", "has-sidebar", "page-with-comments", "home")}"')
+    return f"<html><head><title>{word('x')}</title></head><body{name}>{notice()}{unseen()}{nav}{ad()}{side()}{''.join(middle)}{ad()}{side()}{notice()}{foot}" + some("</body></html>", "")
 
 
 def train(pages: list[str], epochs: int = 40, seed: int = 3) -> Model:
@@ -273,7 +312,7 @@ def train(pages: list[str], epochs: int = 40, seed: int = 3) -> Model:
         for k in range(len(nodes) - 1, -1, -1):
             n = nodes[k]
             if n.text is not None:
-                content[k] = n.words * n.text.lstrip("© ").startswith("c")
+                content[k] = n.words * n.text.lstrip("© ").lower().startswith("c")
             if n.parent >= 0:
                 content[n.parent] += content[k]
         data.append((nodes, [features(nodes, k) for k in range(len(nodes))], [int(2 * c > n.words) for c, n in zip(content, nodes)]))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 import zlib
 
@@ -382,7 +383,7 @@ def test_html_accuracy_on_unseen_layouts():
     for _ in range(200):
         nodes = htmltext.parse(htmltext.example_page(rng))
         p, _ = model.marginals(nodes, [htmltext.features(nodes, k) for k in range(len(nodes))])
-        leaves = [(n.text.lstrip("© ").startswith("c"), q > 0.5) for n, q in zip(nodes, p) if n.text is not None]
+        leaves = [(n.text.lstrip("© ").lower().startswith("c"), q > 0.5) for n, q in zip(nodes, p) if n.text is not None]
         wrong, total = wrong + sum(a != b for a, b in leaves), total + len(leaves)
     assert wrong < 0.02 * total
 
@@ -414,6 +415,10 @@ def test_extract_text(spark):
         ('<div style="display:none"><p>Hidden words that nobody sees.</p></div>', None),
         ("<p hidden>Hidden words that nobody sees.</p>", None),
         ('<p style="overflow:hidden" title="a hidden thing">Shown words are here, in a box.</p>', "Shown words are here, in a box."),
+        ("<p>Copyright law is the subject of this article, which says a lot.</p>", "Copyright law is the subject of this article, which says a lot."),
+        ('<section class="comments-on-theory"><p>What others say of it stands in this section.</p></section>', "What others say of it stands in this section."),
+        ("<xmp>a <b>shown</b> &amp; raw text of a page.</xmp>", "a <b>shown</b> &amp; raw text of a page."),
+        ('<div class="reader-comments"><p>I think that this is a comment.</p></div>', None),
     ],
 )
 def test_what_is_text_of_a_page(piece, text):
@@ -422,6 +427,39 @@ def test_what_is_text_of_a_page(piece, text):
     assert got == ["Title of it", "First words are here.", *([text] if text else []), "Last words are there, in the end."]
 
 
+def test_names_of_a_body_hide_no_page():
+    page = '<body id="main-menu-content" class="page-with-sidebar-left"><nav><a href=/>a</a></nav><article><h1>Title of it</h1><p>First words are here.</p></article></body>'
+    assert htmltext.main_text(page, htmltext.default_model()) == "Title of it\nFirst words are here."
+
+
+def test_cues_of_names():
+    assert htmltext.cues_of("site-header") == (frozenset({"header"}), False)
+    assert htmltext.cues_of("mainMenu wide") == (frozenset({"menu"}), False)
+    assert htmltext.cues_of("comment-list") == (frozenset({"comment"}), False)
+    assert htmltext.cues_of("comments-on-theory") == (frozenset(), True)
+    assert htmltext.cues_of("post-content main-menu-content") == (frozenset({"post", "content"}), True)
+    assert htmltext.cues_of("page-with-sidebar-left") == (frozenset(), True)
+    assert htmltext.cues_of("") == (frozenset(), False)
+
+
+def test_deep_pages_take_linear_time():
+    def seconds(n):
+        page = "<div>" * n + "<p>Words in the depth are here." + "</div>" * n + "<li>" * n
+        at = time.process_time()
+        htmltext.main_text(page, model)
+        return time.process_time() - at
+
+    model = htmltext.default_model()
+    seconds(1000)
+    assert seconds(80_000) < 12 * seconds(20_000)
+
+
+def test_html_with_clashing_columns(spark):
+    rows = [(1, "u", "<article><p>Words of the page are here.</p></article>", "mine", 7, "x", "y")]
+    got = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long, page string, parts string"))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and [tuple(r) for r in got.collect()] == [(1, "u", "Words of the page are here.", 27)]
+
+
 # decontamination
 
 
