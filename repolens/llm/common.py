@@ -6,6 +6,8 @@ import ctypes
 import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +55,29 @@ def drop_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 _held: dict[object, object] = {}
+_task: list[int] = []
+
+
+def give_back() -> None:
+    """Return what the C library and Arrow's own pool hold of freed memory: neither sees the other's, and reused workers would keep the most that any task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library gives memory back in its own time
 
 
 def held(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker keeps from task to task, for one operator at a time: workers are reused, and the caches of all operators together would outgrow an executor. An operator that keeps nothing calls it to have others' caches dropped."""
-    if key not in _held:
+    """What a Python worker keeps from task to task, for one operator at a time: workers are reused, and the caches of all operators together would outgrow an executor. An operator that keeps nothing calls it to have others' caches dropped. A worker's first call in a task gives freed memory back."""
+    task = TaskContext.get()
+    now = task.taskAttemptId() if task else -1
+    new = key not in _held
+    if new:
         _held.clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library gives memory back in its own time
+    if new or _task != [now]:
+        _task[:] = [now]
+        give_back()
+    if new:
         _held[key] = make()
     return _held[key]
