@@ -10,6 +10,7 @@ from ..functions import vocab as V
 from ..functions.jsonrepair import columns as J
 from ..operators import batching as B
 from ..operators import completion as C
+from ..operators import prompts as PR
 from ..operators import select as S
 from ..scratch import Scratch
 from ..sources import ingest as I
@@ -168,3 +169,25 @@ def model_outcomes(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("prompt"))
     got = C.map_prompts(p, model, C.candidates([C.Candidate("never"), C.Candidate("small"), C.Candidate("large")], 1), sleep=lambda s: None)
     return got.select("p_partkey", "answer", F.array_join("events", ",").alias("events"))
+
+
+PERSONA_SQL = "'You are an experienced developer who studies the code of an existing application. The section '"
+SCHEMA_SQL = """'Answer with JSON of this schema and nothing else:' || chr(10) || '{"type": "object"}'"""
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn % 5 AS k, chr(10) || chr(10) AS gap FROM conversations),
+    p AS (SELECT conv_id, turn, CASE
+    WHEN k = 0 THEN {PERSONA_SQL} || 'CODE below holds a class. From it, give:' || gap || '__Basics__' || chr(10) || '* Its name' || chr(10) || '* Its purpose' || chr(10) || '* Smells' || gap || {SCHEMA_SQL} || gap || 'Names are whole.' || gap || 'CODE:' || chr(10) || '```' || chr(10) || text || chr(10) || '```'
+    WHEN k = 1 THEN {PERSONA_SQL} || 'FILE_SUMMARIES below holds summaries of files. From it, give:' || gap || '* Technologies' || gap || {SCHEMA_SQL} || gap || CASE WHEN conv_id % 2 = 0 THEN 'These are a part of many more file summaries; tell only what this part shows.' || gap ELSE '' END || 'FILE_SUMMARIES:' || chr(10) || text
+    WHEN k = 2 THEN {PERSONA_SQL} || 'FRAGMENTED_DATA below holds partial results for ''technologies'' as JSON, which may repeat each other. From it, give:' || gap || '* One list of ''technologies'' without repeats' || gap || {SCHEMA_SQL} || gap || 'FRAGMENTED_DATA:' || chr(10) || text
+    WHEN k = 3 THEN {PERSONA_SQL} || 'CODE below holds files of it. Answer the QUESTION in a few paragraphs, and name the places in the code that the answer rests on.' || gap || 'QUESTION:' || chr(10) || 'Why ' || conv_id || '?' || gap || 'CODE:' || chr(10) || text END AS prompt FROM c)
+    SELECT conv_id, turn, length(prompt) AS chars, md5(prompt) AS digest FROM p""")
+def built_prompts(spark, sf_dir):
+    """Prompts of each kind: for a file by type, for insights from all or a part of the summaries, for joining partial results, and for questions; types without a kind have none."""
+    c = table(spark, sf_dir, "conversations")
+    k, text, schema = F.col("turn") % 5, F.col("text"), {"type": "object"}
+    kinds = {"class": PR.Kind("a class", [("Basics", ["Its name", "Its purpose"]), "Smells"], schema, fenced=True, note="Names are whole.")}
+    insight = PR.Kind("summaries of files", ["Technologies"], schema, PR.FILE_SUMMARIES)
+    prompt = F.when(k == 1, PR.insight_prompt(insight, text, F.col("conv_id") % 2 == 0)).when(k == 2, PR.reduce_prompt("technologies", schema, text)).when(k == 3, PR.query_prompt(F.concat(F.lit("Why "), F.col("conv_id").cast("string"), F.lit("?")), text))
+    prompt = prompt.otherwise(PR.source_prompt(kinds, F.when(k == 0, "class").otherwise("other"), text))
+    return c.select("conv_id", "turn", F.char_length(prompt).cast("long").alias("chars"), F.md5(prompt.cast("binary")).alias("digest"))
