@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to FEATURES; document frequencies are counted over all documents. The latent space comes from a randomised singular value decomposition of TF-IDF passages: of all benchmark passages and of a bounded sample of the documents' (SAMPLE). Two distributed passes over these sum sparse rows times a random matrix, and project them; only the small factors reach the driver.
+Words are hashed to FEATURES; document frequencies are counted over all documents. The latent space comes from a randomised singular value decomposition of the TF-IDF rows of all passages, of the documents and of the benchmark. The hashed words are written once; a distributed pass over them sums sparse rows times a random matrix of signs; only this sketch, of bounded size, reaches the driver.
 All windows of all documents (WINDOW words, half overlapping) are projected, and compared with every benchmark passage, in blocks, by cosine: the latent product over the window's full TF-IDF norm, held against what the passage itself keeps in the latent space. For what passes, the cosine of the TF-IDF rows themselves is computed (SHARED). What is swamped by its surroundings (items much shorter than a window, rare words around them) comes from an index of each item's rarest words: so many that a place which passes the verification has one of them. So the pairs found are those that the verification accepts at any window. Each candidate is verified by the longest common subsequence of the item's words with the words around the window, and by an answer check: half of the item's last words must be there too.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 import re
 import sys
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -24,16 +23,16 @@ from .common import Scratch, held, prepare
 WORD = re.compile(r"[^\W_]+")
 FEATURES = 1 << 17
 WINDOW, BLOCK = 32, 16
-RANK, EXTRA = 64, 16
-#: Passages of documents, in expectation, that the latent space is fitted on, and documents that these are drawn from.
-SAMPLE, SAMPLE_DOCS = 3000, 2000
+RANK = 64
+#: Columns of the sketch that the space is fitted by, as a multiple of its rank; columns that a passage counts in; features that are summed together.
+SKETCH, SIGNS, PART = 2, 2, 2048
 #: A window is a candidate if its cosine is at least this part of the passage's own.
 COSINE = 0.45
 #: Least cosine of the TF-IDF rows.
 SHARED = 0.3
 #: Part of an item's words that must be a common subsequence; part of the answer's.
 SUBSEQUENCE, ANSWER = 0.7, 0.5
-#: Tasks that fit the space, and benchmark items that a task holds at a time: of more, each block takes a pass over the documents.
+#: Tasks that sum what fits the space, and benchmark items that a task holds at a time: of more, each block takes a pass over the documents.
 FIT_TASKS, ITEMS_AT_ONCE = 16, 4000
 #: Benchmark passages compared at a time, words projected at a time (at least one text).
 QUERIES, TOGETHER = 1024, 150_000
@@ -120,94 +119,142 @@ def portions(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield word_features(some)
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Documents that each feature occurs in, over all documents, and their number. Tasks count their own rows first; at most FEATURES rows reach the driver."""
+def blocks_of(f: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words in rows of BLOCK, each text from a new row, and a last row of padding (feature FEATURES); the rows before each text, the text of each row, and the two rows of each window. A window is a row and the next one of the same text; a text of one row has that and the padding."""
+    count = -(-size // BLOCK)
+    base = np.cumsum(count) - count
+    blocks = int(count.sum())
+    padded = np.full((blocks + 1) * BLOCK, FEATURES, np.int32)
+    padded[np.repeat(base * BLOCK - (np.cumsum(size) - size), size) + np.arange(len(f))] = f
+    text = np.repeat(np.arange(len(size)), count)
+    begin = np.flatnonzero(np.append(text[1:] == text[:-1], False) | (count[text] == 1))
+    then = np.where(count[text[begin]] == 1, blocks, begin + 1)
+    return padded.reshape(-1, BLOCK), base, text, begin, then
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def hashed(docs: DataFrame, text_col: str, tmp: Scratch, name: str) -> DataFrame:
+    """The features of all texts, written once for the passes that need no text: a row for each portion (f, k: features and sizes as bytes; n, passages: their numbers), and one for each task with the documents that each feature occurs in (at, df)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("decontaminate", dict)
-        df, n = np.zeros(FEATURES, np.int64), 0
+        df = np.zeros(FEATURES, np.int64)
+        row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, types)], names)
+        names, types = ["f", "k", "n", "passages", "at", "df"], [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             for f, k in portions(batch.column("t").to_pylist()):
-                n += k.size
                 for own in np.split(f, np.cumsum(k)[:-1]):
-                    df[np.unique(own)] += 1
+                    df[own] += 1  # a feature that repeats counts once
+                count = -(-k // BLOCK)
+                yield row(f.tobytes(), k.astype(np.int32).tobytes(), k.size, int(np.maximum(count - 1, count > 0).sum()), None, None)
         there = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(df[there], n))], ["f", "n"])
+        yield row(None, None, 0, 0, there.tobytes(), df[there].tobytes())
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
-    f, n = rows.column("f").to_numpy(), rows.column("n").to_numpy()
-    df = np.zeros(FEATURES, np.int64)
-    df[f[f >= 0]] = n[f >= 0]
-    return df, int(n[f < 0].sum())
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(work, "f binary, k binary, n long, passages long, at binary, df binary")
+    return tmp.save(rows, name, **{"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"})
 
 
-def _passage_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with a share to keep -> rows of features of their passages; the choice depends on the passage alone."""
-    for batch in batches:
-        rows = []
-        for text, share in zip(batch.column("t").to_pylist(), batch.column("share").to_pylist()):
-            words = words_of(text)
-            for a, b in passage_spans(len(words)):
-                if b > a and zlib.crc32(" ".join(words[a:b]).encode("utf-8", "replace")) < share * 2**32:
-                    rows.append(word_features([" ".join(words[a:b])])[0].astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64()))], ["f"])
-
-
-def fit_latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, n_docs: int, mean_passages: float, tmp: Scratch, text_col: str = "text", rank: int = RANK, seed: int = 11) -> np.ndarray:
-    """(FEATURES, rank) right singular vectors of the TF-IDF rows of passages, by a randomised range finder and a projection. Each row has length 1; benchmark passages make up about half the sum of squares."""
-    size = rank + EXTRA
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(1_000_000)) < int(1_000_000 * min(1, SAMPLE_DOCS / max(1, n_docs))))
-    share = min(1.0, SAMPLE / max(1.0, min(n_docs, SAMPLE_DOCS) * mean_passages))
-    rows = some.select(F.col(text_col).alias("t"), F.lit(float(share)).alias("share")).unionByName(items.select(F.col("t"), F.lit(1.0).alias("share")))
-    # Few texts are left, of a scan of any size: they are dealt out to as few tasks.
-    rows = tmp.save(rows.repartition(FIT_TASKS).mapInArrow(_passage_features, "f array<long>"), "passages")
-
-    def unit(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, tf = np.unique(f, return_counts=True)
-        w = tf * idf[at]
-        return at, w / max(float(np.linalg.norm(w)), 1e-9)
-
-    def range_finder(batches):
-        total: dict[int, np.ndarray] = {}
+def document_frequency(features: DataFrame) -> np.ndarray:
+    """Documents that each feature occurs in, over all documents. At most FEATURES rows reach the driver."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f in batch.column("f").to_pylist():
-                at, w = unit(np.array(f, np.int64))
-                g = np.random.default_rng([seed, zlib.crc32(np.array(f, np.int64).tobytes())]).standard_normal(size)
-                for k, x in zip(at.tolist(), w.tolist()):
-                    total[k] = total[k] + x * g if k in total else x * g
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], ["f", "v"])
+            for at, n in zip(batch.column("at").to_pylist(), batch.column("df").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(at, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["f", "n"])
+
+    got = features.where("df is not null").select("at", "df").mapInArrow(rows, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(FEATURES, np.int64)
+    df[got.column("f").to_numpy()] = got.column("n").to_numpy()
+    return df
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def sketch(into: np.ndarray, padded: np.ndarray, begin: np.ndarray, then: np.ndarray, idf: np.ndarray, seed: int, weight: float) -> None:
+    """Add the passages' rows times a sparse matrix of signs to into (size, FEATURES + 1). The SIGNS columns of a passage, and their signs, depend on its words alone. Passages are sorted by column, so that a column's part of the table stays in the processor's cache."""
+    size, flat = len(into), into.reshape(-1)
+    at = np.multiply.accumulate(np.full(2 * BLOCK, BASE, np.uint64))
+    half = lambda m: ((padded.astype(np.uint64) + np.uint64(1)) * m).sum(1)
+    h = mixed(half(at[:BLOCK])[begin] + half(at[BLOCK:])[then] + np.uint64(seed))
+    w = idf[padded]
+    norm = np.square(w).sum(1)
+    scale = np.sqrt(weight / (SIGNS * (norm[begin] + norm[then]))).astype(np.float32)
+    for _ in range(SIGNS):
+        h = mixed(h + np.uint64(BASE))
+        column = ((h >> np.uint64(33)) % np.uint64(size)).astype(np.int64)
+        order = np.argsort(column, kind="stable")
+        rows = np.stack([begin[order], then[order]], axis=1)
+        signed = np.where(h & np.uint64(1), scale, -scale)[order]
+        np.add.at(flat, (padded[rows] + (column[order] * (FEATURES + 1))[:, None, None]).reshape(-1), (w[rows] * signed[:, None, None]).reshape(-1))
+
+
+def projected(padded: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of a table's rows over the words of each row of padded."""
+    v = np.zeros((len(padded), table.shape[1]), np.float32)
+    for column in padded.T:
+        v += table[column]
+    return v
+
+
+def fit_latent_space(docs: DataFrame, items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 11) -> np.ndarray:
+    """(FEATURES, rank) right singular vectors of the TF-IDF rows of all passages of the documents and of the benchmark (both as hashed() writes them), by a randomised sketch of SKETCH * rank columns, whose own singular vectors are theirs, nearly. Each row has length 1, by the norm that the search uses; benchmark passages weigh so that they make up half the sum of squares."""
+    size = SKETCH * rank
+    idf = np.append(idf, np.float32(0))
+    number = [int(x.agg(F.sum("passages")).first()[0] or 0) for x in (docs, items)]
+    rows = docs.where("f is not null").select(F.lit(1.0).alias("weight"), "f", "k").unionByName(items.where("f is not null").select(F.lit(number[0] / number[1] if all(number) else 1.0).alias("weight"), "f", "k"))
+
+    def packed(part: int, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The columns of a part that aren't zero, as half-precision parts of the greatest number: the sketch is random, and needs no more digits."""
+        at = np.flatnonzero(z.any(0))
+        if len(at):
+            most = float(np.abs(z).max())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(at + part).astype(np.int32).tobytes()], pa.binary()), pa.array([most]), pa.array([(z[:, at].T / np.float32(most)).astype(np.float16).tobytes()], pa.binary())], ["part", "at", "most", "v"])
+
+    def unpacked(at: bytes, most: float, v: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(at, np.int32), np.frombuffer(v, np.float16).reshape(-1, size).astype(np.float32) * np.float32(most)
+
+    def sketched(batches):
+        held("decontaminate", dict)
+        z = np.zeros((size, FEATURES + 1), np.float32)
+        for batch in batches:
+            for weight, f, k in zip(*(batch.column(c).to_pylist() for c in ("weight", "f", "k"))):
+                f, k = np.frombuffer(f, np.int32), np.frombuffer(k, np.int32).astype(np.int64)
+                ends, at = np.cumsum(k), 0
+                while at < len(k):
+                    before = int(ends[at - 1]) if at else 0
+                    to = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+                    padded, _, _, begin, then = blocks_of(f[before : ends[to - 1]], k[at:to])
+                    sketch(z, padded, begin, then, idf, seed, weight)
+                    at = to
+        for part in range(0, FEATURES, PART):
+            yield from packed(part, z[:, part : min(part + PART, FEATURES)])
 
     def summed(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for f, v in zip(batch.column("f").to_pylist(), batch.column("v").to_pylist()):
-                total[f] = total[f] + np.frombuffer(v, np.float32) if f in total else np.frombuffer(v, np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["f", "v"])
-
-    z = np.zeros((FEATURES, size), np.float32)
-    # A row per feature at most reaches the driver: 42 MB, whatever the size of documents and benchmark.
-    got = rows.mapInArrow(range_finder, "f long, v binary").repartition(FIT_TASKS, "f").mapInArrow(summed, "f long, v binary").toArrow()
-    for f, v in zip(got.column("f").to_pylist(), got.column("v").to_pylist()):
-        z[f] = np.frombuffer(v, np.float32)
-    used = np.flatnonzero(z.any(1))
-    if not len(used):
-        return np.zeros((FEATURES, rank), np.float32)
-    basis = np.zeros((FEATURES, min(size, len(used))), np.float32)
-    basis[used] = np.linalg.qr(z[used].astype(np.float64))[0]
-
-    def project(batches):
-        gram = np.zeros((basis.shape[1], basis.shape[1]))
-        for batch in batches:
-            for f in batch.column("f").to_pylist():
-                at, w = unit(np.array(f, np.int64))
-                y = w @ basis[at]
-                gram += np.outer(y, y)
-        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["g"])
-
-    gram = sum(np.frombuffer(g, np.float64).reshape(basis.shape[1], -1) for g in rows.mapInArrow(project, "g binary").toArrow().column("g").to_pylist())
-    vectors = np.linalg.eigh(gram)[1][:, ::-1][:, :rank]
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "most", "v"))):
+                at, v = unpacked(*row)
+                total.setdefault(part, np.zeros((size, PART), np.float32))[:, at - part] += v.T
+        for part, z in total.items():
+            yield from packed(part, z)
+
+    schema = "part int, at binary, most double, v binary"
+    # A table of FEATURES * size for each core is shuffled (34 MB), and one reaches the driver, whatever the size of documents and benchmark.
+    parts = rows.coalesce(max(1, docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(sketched, schema).repartition(FIT_TASKS, "part").mapInArrow(summed, schema).toArrow()
+    parts = list(zip(*(parts.column(c) for c in ("at", "most", "v"))))
+    gram = np.zeros((size, size))
+    for row in parts:
+        v = unpacked(*(x.as_py() for x in row))[1].astype(np.float64)
+        gram += v.T @ v
+    values, vectors = (x[..., ::-1] for x in np.linalg.eigh(gram))
+    kept = np.flatnonzero(values[:rank] > 1e-7 * max(values[0], 1e-30))
+    turn = (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
     out = np.zeros((FEATURES, rank), np.float32)
-    out[:, : vectors.shape[1]] = basis @ vectors.astype(np.float32)
+    for row in parts:
+        at, v = unpacked(*(x.as_py() for x in row))
+        out[at, : len(kept)] = v @ turn
     return out
 
 
@@ -264,6 +311,7 @@ class Matcher:
         ends = np.cumsum(size)
         at = np.flatnonzero(self.is_key[f])
         text = np.searchsorted(ends, at, "right")
+        words = f.tolist() if len(at) else []
         for p, d, x in zip(at.tolist(), text.tolist(), f[at].tolist()):
             n = int(size[d])
             begin = int(ends[d]) - n
@@ -271,7 +319,7 @@ class Matcher:
                 # Windows that begin in (p - reach, p + length] have the word in what verify() looks at.
                 length = len(self.items[k][1])
                 reach = WINDOW + length
-                near = f[max(begin, p - reach - length) : min(begin + n, p + reach + length + 1)].tolist()
+                near = words[max(begin, p - reach - length) : min(begin + n, p + reach + length + 1)]
                 if len(self.features[k].intersection(near)) >= self.least[k]:
                     own = p - begin
                     first = max(0, -(-(own - reach + 1) // BLOCK) * BLOCK)
@@ -301,23 +349,10 @@ class Matcher:
             done += len(size)
 
     def _candidates(self, f: np.ndarray, size: np.ndarray, first_text: int) -> Iterator[tuple[int, int, int, float]]:
-        count = -(-size // BLOCK)
-        base = np.cumsum(count) - count
-        blocks = int(count.sum())
-        if not blocks:
+        if not len(f):
             return
-        # Words in rows of BLOCK, each text from a new row; a last row of padding follows.
-        padded = np.full((blocks + 1) * BLOCK, FEATURES, np.int32)
-        padded[np.repeat(base * BLOCK - (np.cumsum(size) - size), size) + np.arange(len(f))] = f
-        padded = padded.reshape(-1, BLOCK)
-        v = np.zeros((blocks + 1, self.latent.shape[1]), np.float32)
-        for column in padded.T:
-            v += self.latent[column]
-        norm = self.idf2[padded].sum(1)
-        text = np.repeat(np.arange(len(size)), count)
-        # A window is a block and the next one of the same text; a text of one block has that alone.
-        begin = np.flatnonzero(np.append(text[1:] == text[:-1], False) | (count[text] == 1))
-        then = np.where(count[text[begin]] == 1, blocks, begin + 1)
+        padded, base, text, begin, then = blocks_of(f, size)
+        v, norm = projected(padded, self.latent), self.idf2[padded].sum(1)
         v, norm = v[begin] + v[then], np.sqrt(norm[begin] + norm[then])
         for k in range(0, len(self.queries), QUERIES):
             column, has = self.has[k // QUERIES]
@@ -383,11 +418,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     number = given.count()
     if not number:
         return spark.createDataFrame([], schema)
-    df, n = document_frequency(docs, text_col)
-    idf = np.log((n + 1) / (df + 0.5)).clip(0.01).astype(np.float32)
     with Scratch(spark, "latent") as tmp:
-        words = int(df.sum()) / max(1, n)
-        latent = fit_latent_space(docs, benchmark.select(F.col(item_text_col).alias("t")), idf, n, max(1.0, words / BLOCK), tmp, text_col, rank)
+        features = hashed(docs, text_col, tmp, "documents")
+        n = int(features.agg(F.sum("n")).first()[0] or 0)
+        idf = np.log((n + 1) / (document_frequency(features) + 0.5)).clip(0.01).astype(np.float32)
+        latent = fit_latent_space(features, hashed(benchmark, item_text_col, tmp, "benchmark"), idf, rank)
     latent *= idf[:, None]
     item_type = benchmark.select(item_col).limit(0).toArrow().schema.field(0).type
 
