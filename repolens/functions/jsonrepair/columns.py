@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BooleanType, DataType, NumericType, StringType, StructField, StructType
 
 from ...session import ship
@@ -16,6 +16,7 @@ from .driver import parse_and_validate
 from .names import FARTHEST, SHORTEST_END, SHORTEST_FUZZY, SHORTEST_MIDDLE
 
 RESULT = StructType([StructField("json", StringType()), StructField("repairs", ArrayType(StringType())), StructField("steps", ArrayType(StringType())), StructField("mutated", BooleanType()), StructField("error", StringType())])
+TYPES = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.string()]
 
 
 def _json(data: object) -> str:
@@ -28,26 +29,31 @@ def _json(data: object) -> str:
 
 
 def _udf(schema: DataType | None):
-    @pandas_udf(RESULT)
-    def repair(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            if text is None:
-                rows.append((None, None, None, None, None))
-                continue
-            r = parse_and_validate(text, schema)
-            rows.append((_json(r.data) if r.ok else None, r.repairs, r.steps, r.significant or any(s not in ("structure: fences",) for s in r.steps), r.error))
-        return pd.DataFrame(rows, columns=RESULT.names)
+    @arrow_udf(RESULT)
+    def repair(texts: pa.Array) -> pa.Array:
+        """Texts that are equal within a batch are repaired once."""
+        done: dict[str | None, int] = {None: 0}
+        rows: list[tuple] = [(None, None, None, None, None)]
+        at = []
+        for text in texts.to_pylist():
+            k = done.get(text)
+            if k is None:
+                k = done[text] = len(rows)
+                r = parse_and_validate(text, schema)
+                rows.append((_json(r.data) if r.ok else None, r.repairs, r.steps, r.significant or any(s not in ("structure: fences",) for s in r.steps), r.error))
+            at.append(k)
+        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], RESULT.names).take(pa.array(at, pa.int32()))
 
     return repair
 
 
 def one_value(text: Column) -> Column:
-    """Whether a text is one whole JSON object or array. The JVM's parser stops after the first value, so the text stands in an object whose last property must be reached, and in an array that must have one element. What follows a first value can pass for the rest of an object, or for the rest of an array, but not for both."""
+    """Whether a text is one whole JSON object or array. The JVM's parser stops after the first value, so the text stands in an object whose last property must be reached, and in an array that must have one element. What follows a first value can pass for the rest of an object, or for the rest of an array, but not for both. Each parse is tried only on what the test before it lets through, as the parser's failures are dear."""
+    framed = F.rlike(text, F.lit(r"^\s*[{\[]")) & F.rlike(text, F.lit(r"[}\]]\s*$"))
     last = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"text":'), text, F.lit(',"_end_of_text":true}'))), "$._end_of_text", "boolean")
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     single = F.try_variant_get(alone, "$[0]", "variant").isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull()
-    return F.coalesce(last & single & F.ltrim(text).rlike(r"^\s*[{\[]"), F.lit(False))
+    return F.coalesce(F.when(framed, F.when(last, single)), F.lit(False))
 
 
 def fits(value: Column, schema: DataType) -> Column:
@@ -80,7 +86,7 @@ def repaired(df: DataFrame, text: str, out: str = "repaired", schema: DataType |
     c = F.col(text)
     good = one_value(c)
     if schema is not None:
-        good = good & fits(F.try_parse_json(c), schema)
+        good = F.when(good, fits(F.try_parse_json(c), schema)).otherwise(False)
     fine = F.struct(c.alias("json"), F.array().cast("array<string>").alias("repairs"), F.array().cast("array<string>").alias("steps"), F.lit(False).alias("mutated"), F.lit(None).cast("string").alias("error"))
     marked = df.withColumn("_whole", good)
     rest = _udf(schema)(F.when(~F.col("_whole"), F.coalesce(c, F.lit(""))))
