@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to FEATURES; document frequencies are counted over all documents. The latent space comes from a randomised singular value decomposition of the TF-IDF rows of all passages, of the documents and of the benchmark. The hashed words are written once; a distributed pass over them sums sparse rows times a random matrix of signs; only this sketch, of bounded size, reaches the driver.
-All windows of all documents (WINDOW words, half overlapping) are projected, and compared with every benchmark passage, in blocks, by cosine: the latent product over the window's full TF-IDF norm, held against what the passage itself keeps in the latent space. For what passes, the cosine of the TF-IDF rows themselves is computed (SHARED). What is swamped by its surroundings (items much shorter than a window, rare words around them) comes from an index of each item's rarest words: so many that a place which passes the verification has one of them. So the pairs found are those that the verification accepts at any window. Each candidate is verified by the longest common subsequence of the item's words with the words around the window, and by an answer check: half of the item's last words must be there too.
+All windows of all documents (WINDOW words, half overlapping) are projected, and compared with every benchmark passage, in blocks, by cosine: the latent product over the window's full TF-IDF norm, held against what the passage itself keeps in the latent space. For what passes, the cosine of the TF-IDF rows themselves is computed (SHARED), unless the rare words that a window and a passage share, and the weight of all the window's other words, show that it's less. What is swamped by its surroundings (items much shorter than a window, rare words around them) comes from an index of each item's rarest words: so many that a place which passes the verification has one of them, and so many more that it has several. So the pairs found are those that the verification accepts at any window. Each candidate is verified by the longest common subsequence of the item's words with the words around the window, and by an answer check: half of the item's last words must be there too.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ SUBSEQUENCE, ANSWER = 0.7, 0.5
 FIT_TASKS, ITEMS_AT_ONCE = 16, 4000
 #: Benchmark passages compared at a time, words projected at a time (at least one text).
 QUERIES, TOGETHER = 1024, 150_000
+#: A word is rare if it's in at most this part of the passages compared at a time, or in two of them. What a bound in single precision may lack.
+RARE, SLACK = 1 / 128, 1 - 1e-4
+#: Of an item's rarest words so many more must occur than the one that the verification leaves no choice about; occurrences counted at a time (at least one item's).
+MORE, OCCURRENCES = 4, 1 << 20
 #: Characters whose running sums are held at a time, at least one word.
 PIECE = 1 << 20
 
@@ -281,7 +285,7 @@ class Matcher:
         # latent product / (window's norm * passage's latent norm) >= COSINE * (passage's latent norm / its norm)
         self.queries = (q / np.maximum(kept[:, None] ** 2 / np.maximum(full, 1e-9)[:, None], 1e-9)).astype(np.float32)
         self.owner, self.full = np.array(owner, np.int64), full.astype(np.float32)
-        #: Of each block of passages: feature -> column (0: in none of them), and which passage has which.
+        #: Of each block of passages: feature -> column (0: in none of them), and which passage has which; of rare words, feature -> number and place of the passages that follow; of the others, feature -> weight.
         self.has = []
         for k in range(0, len(rows), QUERIES):
             some = rows[k : k + QUERIES]
@@ -291,40 +295,82 @@ class Matcher:
             has = np.zeros((len(some), len(there) + 1), bool)
             for j, f in enumerate(some):
                 has[j, column[f]] = True
-            self.has.append((column, has))
+            many = has.sum(0) > max(2, RARE * len(some))
+            _, passages = np.nonzero(has.T & ~many[:, None])
+            number = np.where(many, 0, has.sum(0))
+            self.has.append((column, has, number[column], (np.cumsum(number) - number)[column], passages, np.where(many[column], self.idf2, np.float32(0))))
         self.sets = [set(w) for _, w in self.items]
         # Of an item's distinct words the rarest, one more than may be missing: features -> items. Fewer features than words (shared ones) lower what a place must have.
         self.features, self.least, self.keys = [], [], {}
+        #: Features of the rarest MORE and these, which of them are keys, their items, and how many must stand around a key.
+        more: list[tuple[int, bool, int]] = []
+        self.around = np.ones(len(self.items), np.int64)
         for k, own in enumerate(self.sets):
             f = word_features([" ".join(sorted(own))])[0]
             need = math.ceil(SUBSEQUENCE * len(own) - 1e-9)
-            rarest = f[np.lexsort((f, -self.idf2[f]))][: len(own) - need + 1]
-            for x in set(rarest.tolist()):
+            ordered = f[np.lexsort((f, -self.idf2[f]))]
+            rarest = set(ordered[: len(own) - need + 1].tolist())
+            for x in rarest:
                 self.keys.setdefault(x, []).append(k)
+            self.around[k] += min(MORE, need - 1)
+            more += [(x, x in rarest, k) for x in sorted(set(ordered[: len(own) - need + int(self.around[k])].tolist()))]
             self.features.append(set(f.tolist()))
             self.least.append(need - (len(own) - len(self.features[-1])))
-        self.is_key = np.zeros(FEATURES, bool)
-        self.is_key[list(self.keys)] = True
+        self.more = tuple(np.array(x, t) for x, t in zip(zip(*more), (np.int64, bool, np.int64))) if more else (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+        self.is_more = np.zeros(FEATURES, bool)
+        self.is_more[self.more[0]] = True
+
+    def places(self, f: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, position) of each occurrence of an item's key that has enough of the item's rarest words around it. A place that passes the verification has: of its item's rarest words no more may be missing than the keys without one."""
+        at = np.flatnonzero(self.is_more[f])
+        if not len(at):
+            return
+        at = at[np.argsort(f[at], kind="stable")]
+        feature, key, item = self.more
+        first = np.searchsorted(f[at], feature)
+        number = np.searchsorted(f[at], feature, "right") - first
+        there = np.flatnonzero(number)
+        owner, ends = item[there], np.cumsum(size)
+        length = np.array([len(words) for _, words in self.items])
+        total, a = np.cumsum(number[there]), 0
+        while a < len(there):
+            # Whole items, in their order
+            b = int(np.searchsorted(total, (total[a - 1] if a else 0) + OCCURRENCES, "right"))
+            if b < len(there):
+                b = int(np.searchsorted(owner, owner[b]))
+            if b <= a:
+                b = int(np.searchsorted(owner, owner[a], "right"))
+            some, n = there[a:b], number[there[a:b]]
+            position = at[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            k = np.repeat(item[some], n)
+            order = np.sort(k * len(f) + position)
+            of_key = np.repeat(key[some], n)
+            position, k = position[of_key], k[of_key]
+            text = np.searchsorted(ends, position, "right")
+            reach = WINDOW + 2 * length[k]
+            low, high = np.maximum(ends[text] - size[text], position - reach), np.minimum(ends[text], position + reach + 1)
+            enough = np.searchsorted(order, k * len(f) + high) - np.searchsorted(order, k * len(f) + low) >= self.around[k]
+            yield from zip(text[enough].tolist(), k[enough].tolist(), position[enough].tolist())
+            a = b
+
+    def may_hold(self, item: int, near: np.ndarray) -> bool:
+        """Whether the features of so many words that verify() looks at are the item's."""
+        return len(self.features[item].intersection(near.tolist())) >= self.least[item]
 
     def by_rarest(self, f: np.ndarray, size: np.ndarray, first_text: int) -> Iterator[tuple[int, int, int, None]]:
         """(text, item, first word of the window, None) of each window around which enough of the item's words may stand."""
         ends = np.cumsum(size)
-        at = np.flatnonzero(self.is_key[f])
-        text = np.searchsorted(ends, at, "right")
-        words = f.tolist() if len(at) else []
-        for p, d, x in zip(at.tolist(), text.tolist(), f[at].tolist()):
+        for d, k, p in self.places(f, size):
             n = int(size[d])
             begin = int(ends[d]) - n
-            for k in self.keys[x]:
-                # Windows that begin in (p - reach, p + length] have the word in what verify() looks at.
-                length = len(self.items[k][1])
-                reach = WINDOW + length
-                near = words[max(begin, p - reach - length) : min(begin + n, p + reach + length + 1)]
-                if len(self.features[k].intersection(near)) >= self.least[k]:
-                    own = p - begin
-                    first = max(0, -(-(own - reach + 1) // BLOCK) * BLOCK)
-                    for start in range(first, min(own + length + 1, max(1, n - BLOCK)), BLOCK):
-                        yield first_text + d, k, start, None
+            # Windows that begin in (p - reach, p + length] have the word in what verify() looks at.
+            length = len(self.items[k][1])
+            reach = WINDOW + length
+            if self.may_hold(k, f[max(begin, p - reach - length) : min(begin + n, p + reach + length + 1)]):
+                own = p - begin
+                first = max(0, -(-(own - reach + 1) // BLOCK) * BLOCK)
+                for start in range(first, min(own + length + 1, max(1, n - BLOCK)), BLOCK):
+                    yield first_text + d, k, start, None
 
     def cosine(self, item: int, words: list[str], start: int) -> float:
         """The greatest latent cosine of a window with the item's passages, as a part of the passage's own."""
@@ -352,23 +398,39 @@ class Matcher:
         if not len(f):
             return
         padded, base, text, begin, then = blocks_of(f, size)
+        before = np.cumsum(size) - size
         v, norm = projected(padded, self.latent), self.idf2[padded].sum(1)
         v, norm = v[begin] + v[then], np.sqrt(norm[begin] + norm[then])
         for k in range(0, len(self.queries), QUERIES):
-            column, has = self.has[k // QUERIES]
-            queries = np.ascontiguousarray(self.queries[k : k + QUERIES].T)
+            column, has, number, place, passages, others = self.has[k // QUERIES]
+            queries, full = np.ascontiguousarray(self.queries[k : k + QUERIES].T), self.full[k : k + QUERIES]
             for j in range(0, len(v), 4096):
-                cos = v[j : j + 4096] @ queries
-                w, q = np.nonzero(cos >= COSINE * np.maximum(norm[j : j + 4096, None], np.float32(1e-9)))
-                for g in range(0, len(w), 65536):
-                    x, y = w[g : g + 65536], q[g : g + 65536]
-                    words = np.concatenate([padded[begin[j + x]], padded[then[j + x]]], axis=1)
-                    shared = (has[y[:, None], column[words]] * self.idf2[words]).sum(1)
-                    good = np.flatnonzero(shared >= SHARED * norm[j + x] * self.full[k + y])
+                cos, own = v[j : j + 4096] @ queries, norm[j : j + 4096]
+                least = COSINE * np.maximum(own, np.float32(1e-9))
+                words = np.concatenate([padded[begin[j : j + 4096]], padded[then[j : j + 4096]]], axis=1)
+                # Pairs that share rare words, with their weight there; what all other words of a window weigh bounds what they add. Where these alone may be enough, every passage is held against that.
+                at = np.flatnonzero(number[words])
+                hit = words.reshape(-1)[at]
+                n = number[hit]
+                pair = np.repeat(at // words.shape[1] * len(full), n) + passages[np.repeat(place[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                near = cos.reshape(-1)[pair] >= least[pair // len(full)]
+                pair, which = np.unique(pair[near], return_inverse=True)
+                rare = np.bincount(which, np.repeat(self.idf2[hit], n)[near], len(pair))
+                other = others[words].sum(1)
+                pair = pair[rare + other[pair // len(full)] >= SLACK * SHARED * own[pair // len(full)] * full[pair % len(full)]]
+                strong = np.flatnonzero(other >= SLACK * SHARED * own * full.min())
+                w, q = np.nonzero((cos[strong] >= least[strong, None]) & (other[strong, None] >= SLACK * SHARED * own[strong, None] * full))
+                pair = np.union1d(pair, strong[w] * len(full) + q)
+                for g in range(0, len(pair), 65536):
+                    x, y = np.divmod(pair[g : g + 65536], len(full))
+                    shared = (has[y[:, None], column[words[x]]] * self.idf2[words[x]]).sum(1)
+                    good = np.flatnonzero(shared >= SHARED * own[x] * full[y])
                     for x, y in zip(x[good].tolist(), y[good].tolist()):
                         b = int(begin[j + x])
-                        d = int(text[b])
-                        yield first_text + d, int(self.owner[k + y]), (b - int(base[d])) * BLOCK, float(cos[x, y] / norm[j + x])
+                        d, item = int(text[b]), int(self.owner[k + y])
+                        start, length = (b - int(base[d])) * BLOCK, len(self.items[item][1])
+                        if self.may_hold(item, f[before[d] + max(0, start - length) : before[d] + min(int(size[d]), start + WINDOW + length)]):
+                            yield first_text + d, item, start, float(cos[x, y] / own[x])
 
     def verify(self, item: int, words: list[str], start: int) -> tuple[float, float] | None:
         """Part of the item's words in a common subsequence with the words around a window, and part of its answer's."""

@@ -633,6 +633,57 @@ def test_the_space_is_fitted_on_all_passages(spark):
     assert np.trace(own.T @ grams[0] @ own) >= 0.75 * best
 
 
+@pytest.mark.parametrize("queries, occurrences", [(1024, 1 << 20), (50, 20)])
+def test_few_pairs_are_held_against_the_whole_cosine(monkeypatch, queries, occurrences):
+    """A space in which all is alike, so that nearly all windows pass the latent cosine with all passages: all that have the TF-IDF cosine, too, are found, and few are computed for that. What the rarest words lead to is all that the verification accepts."""
+    monkeypatch.setattr(decontaminate, "QUERIES", queries)
+    monkeypatch.setattr(decontaminate, "OCCURRENCES", occurrences, raising=False)
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(4000)]
+    text = lambda n: rng.choices(vocabulary, [1 / (k + 5) for k in range(4000)], k=n)
+    items = [(k, text(1 + rng.randrange(60))) for k in range(100)] + [(100, ["none", "of", "these"])]
+    texts = [text(rng.randint(0, 300)) for _ in range(30)] + [text(600), [], ["none"]]
+    for d in range(0, 30, 2):
+        words = list(items[d][1])
+        for k in rng.sample(range(len(words)), len(words) // (5 + d % 3)):
+            words[k] = rng.choice(vocabulary)
+        at = rng.randint(0, len(texts[d]))
+        texts[d][at:at] = words
+    given = [" ".join(t) for t in texts]
+    f, size = decontaminate.word_features(given)
+    df = np.zeros(decontaminate.FEATURES)
+    for own in np.split(f, np.cumsum(size)[:-1]):
+        df[own] += 1
+    idf = np.log((len(texts) + 1) / (df + 0.5)).clip(0.01).astype(np.float32)
+    matcher = decontaminate.Matcher(items, idf[:, None].copy(), idf * idf)
+    computed = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            computed.append(len(np.asarray(at[0])))
+            return np.asarray(super().__getitem__(at))
+
+    matcher.has = [(column, has.view(Counted), *others) for column, has, *others in matcher.has]
+    feature = lambda words: decontaminate.word_features([" ".join(words)])[0]
+    passages = [(k, feature(q[a:b])) for k, q in items for a, b in decontaminate.passage_spans(len(q))]
+    both, accepted, latent, windows = set(), set(), 0, 0
+    for d, t in enumerate(texts):
+        for a, b in decontaminate.passage_spans(len(t)) if t else ():
+            w = feature(t[a:b])
+            norm, windows = float(np.sqrt(np.square(idf[w]).sum())), windows + 1
+            accepted |= {(d, k, a) for k, _ in items if matcher.verify(k, t, a)}
+            for k, q in passages:
+                full = float(np.sqrt(np.square(idf[q]).sum()))
+                if idf[w].sum() / norm >= 0.45 * idf[q].sum() / full:
+                    latent += 1
+                    if np.square(idf[w[np.isin(w, q)]]).sum() >= 0.3 * norm * full and (d, k, a) in accepted:
+                        both.add((d, k, a))
+    found = {x[:3] for x in matcher._candidates(f, size, 0)}
+    assert {x for x in found if x in accepted} == both and len(both) > 10
+    assert latent > 0.5 * windows * len(passages) and sum(computed) < 0.25 * latent
+    assert {x[:3] for x in matcher.by_rarest(f, size, 0)} >= accepted > both
+
+
 @pytest.mark.parametrize("n", [1, 16, 17, 32, 33, 100])
 def test_passages_cover_every_word(n):
     spans = decontaminate.passage_spans(n)
