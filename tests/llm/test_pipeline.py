@@ -103,6 +103,22 @@ def test_decisions_are_by_row(spark, tables, tmp_path):
     assert [r[1] for r in rows if (r[0], r[1], r[3]) not in texts(left)] == [items[3][1]]
 
 
+def test_decontamination_fits_on_all_passages(spark, tables, monkeypatch):
+    """What the stage's latent space is fitted on holds each passage of the documents and of the benchmark."""
+    folder, _, _ = tables
+    docs, items = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "benchmark"))
+    seen, real = [], decontaminate.fit_latent_space
+
+    def fitted(*args):
+        seen.append([x.selectExpr("sum(passages)", "sum(length(f)) / 4").first() for x in args[:2]])
+        return real(*args)
+
+    monkeypatch.setattr(decontaminate, "fit_latent_space", fitted)
+    corpus_pipeline.decontamination(spark, docs, folder)
+    words = [[len(decontaminate.words_of(r["text"])) for r in x.collect()] for x in (docs, items)]
+    assert [[tuple(r) for r in x] for x in seen] == [[(sum(len(decontaminate.passage_spans(n)) for n in some if n), sum(some)) for some in words]]
+
+
 def test_empty_documents(spark, tables, tmp_path):
     folder, _, _ = tables
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
