@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.llm.bpe import encode_documents
-from repolens.llm.common import Scratch, drop_ids, table
+from repolens.llm.common import Scratch, drop_ids, lean, table
 from repolens.llm.decontaminate import find_contamination
 from repolens.llm.exact_dedup import exact_duplicates
 from repolens.llm.queries import tokenizer_path
@@ -19,6 +19,7 @@ from repolens.llm.toxicity import learn, with_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. The network learns from the labels of docs."""
+    lean(spark)
     net = learn(docs, table(spark, sf_dir, "labels"))
     return with_toxicity(docs, net, score_col="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
@@ -33,6 +34,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays; of rows that repeat both, one."""
+    lean(spark)
     rows = named(docs)
     with Scratch(spark, "exact_rows") as tmp:
         found = exact_duplicates(rows, ROW)
@@ -47,12 +49,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (fingerprints within 4 bits, or a five-word Jaccard similarity of at least 0.8) the document with the smallest doc_id stays."""
+    lean(spark)
     rows = named(docs)
     return drop_ids(rows, near_duplicates(rows, ROW, similar=True).where(F.col(ROW) != F.col("component_id")), ROW).drop(ROW)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    lean(spark)
     rows = named(docs)
     with Scratch(spark, "contaminated") as tmp:
         found = tmp.save(find_contamination(rows, table(spark, sf_dir, "benchmark"), ROW).select(ROW).distinct(), "ids", keep=True)
@@ -61,6 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of what is left."""
+    lean(spark)
     return encode_documents(docs, tokenizer_path())
 
 

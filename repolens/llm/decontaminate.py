@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, prepare
+from .common import Scratch, held, lean
 
 WORD = re.compile(r"[^\W_]+")
 FEATURES = 1 << 17
@@ -34,14 +34,16 @@ SHARED = 0.3
 SUBSEQUENCE, ANSWER = 0.7, 0.5
 #: Tasks that sum what fits the space, and benchmark items that a task holds at a time: of more, each block takes a pass over the documents.
 FIT_TASKS, ITEMS_AT_ONCE = 16, 4000
-#: Benchmark passages compared at a time, words projected at a time (at least one text).
-QUERIES, TOGETHER = 1024, 150_000
+#: Benchmark passages and windows compared at a time, words projected at a time (at least one text).
+QUERIES, WINDOWS, TOGETHER = 1024, 1024, 150_000
 #: A word is rare if it's in at most this part of the passages compared at a time, or in two of them. What a bound in single precision may lack.
 RARE, SLACK = 1 / 128, 1 - 1e-4
 #: Of an item's rarest words so many more must occur than the one that the verification leaves no choice about; occurrences counted at a time (at least one item's).
 MORE, OCCURRENCES = 4, 1 << 20
-#: Characters whose running sums are held at a time, at least one word.
-PIECE = 1 << 20
+#: Characters of the texts, and of the words whose running sums are held, at a time (at least one text, one word): what a worker holds besides its tables, and the size of a row of hashed words.
+PIECE = 1 << 18
+#: Bytes of a row group of hashed words, which a task that reads them holds whole.
+GROUP_BYTES = 4 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -154,7 +156,7 @@ def hashed(docs: DataFrame, text_col: str, tmp: Scratch, name: str) -> DataFrame
         yield row(None, None, 0, 0, there.tobytes(), df[there].tobytes())
 
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(work, "f binary, k binary, n long, passages long, at binary, df binary")
-    return tmp.save(rows, name, **{"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"})
+    return tmp.save(rows, name, **{"parquet.block.size": str(GROUP_BYTES), "parquet.enable.dictionary": "false"})
 
 
 def document_frequency(features: DataFrame) -> np.ndarray:
@@ -404,10 +406,10 @@ class Matcher:
         for k in range(0, len(self.queries), QUERIES):
             column, has, number, place, passages, others = self.has[k // QUERIES]
             queries, full = np.ascontiguousarray(self.queries[k : k + QUERIES].T), self.full[k : k + QUERIES]
-            for j in range(0, len(v), 4096):
-                cos, own = v[j : j + 4096] @ queries, norm[j : j + 4096]
+            for j in range(0, len(v), WINDOWS):
+                cos, own = v[j : j + WINDOWS] @ queries, norm[j : j + WINDOWS]
                 least = COSINE * np.maximum(own, np.float32(1e-9))
-                words = np.concatenate([padded[begin[j : j + 4096]], padded[then[j : j + 4096]]], axis=1)
+                words = np.concatenate([padded[begin[j : j + WINDOWS]], padded[then[j : j + WINDOWS]]], axis=1)
                 # Pairs that share rare words, with their weight there; what all other words of a window weigh bounds what they add. Where these alone may be enough, every passage is held against that.
                 at = np.flatnonzero(number[words])
                 hit = words.reshape(-1)[at]
@@ -474,7 +476,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     The benchmark is a stated query set. It is counted first; ITEMS_AT_ONCE items at a time, dealt by a hash, are held on the driver and in each worker, and documents are never shuffled. Null or empty texts and items match nothing; an item given twice with one id is found once for each different text, and equal rows once. Rows that repeat a document are each reported; a null doc_id is reported as null. Empty tables give an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    lean(spark)
     given = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).distinct()
     schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{item_col}` {dict(benchmark.dtypes)[item_col]}, cosine double, subsequence double, answer double"
     number = given.count()

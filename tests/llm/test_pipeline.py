@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -119,6 +120,29 @@ def test_decontamination_fits_on_all_passages(spark, tables, monkeypatch):
     assert [[tuple(r) for r in x] for x in seen] == [[(sum(len(decontaminate.passage_spans(n)) for n in some if n), sum(some)) for some in words]]
 
 
+def test_decontamination_holds_little_at_a_time(spark, tmp_path, monkeypatch):
+    """Rows of hashed words, and batches of them and of texts, stay small, however many texts a task has; all words are in them."""
+    texts = [f"{'alpha beta gamma delta ' * 1500}{k}" for k in range(150)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, " ".join(f"w{k}" for k in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen, real = [], decontaminate.fit_latent_space
+
+    def sizes(df):
+        return [r["n"] for r in df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()]
+
+    def fitted(docs, *rest):
+        seen.append(([r[0] for r in docs.where("f is not null").selectExpr("length(f)").collect()], sizes(docs.select("f"))))
+        return real(docs, *rest)
+
+    monkeypatch.setattr(decontaminate, "fit_latent_space", fitted)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    rows, batches = seen[0]
+    assert sum(rows) == 4 * sum(len(t.split()) for t in texts)
+    assert max(rows) <= 400_000 and max(batches) <= 3 << 20
+    assert max(sizes(docs.select("text"))) <= 3 << 20
+
+
 def test_empty_documents(spark, tables, tmp_path):
     folder, _, _ = tables
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
